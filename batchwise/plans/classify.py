@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import binary_metrics
+from ..operators.linear import DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_update
 from ..operators.naive_bayes import DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, mnb_predict
 from .tasks import SCORE_KEYS, Prepared
 
@@ -52,3 +53,32 @@ def nb_predictions(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPH
 def nb_metrics(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
     """Metrics per (cycle, batch_no, model) over the test batches."""
     return binary_metrics(nb_predictions(prep, model, alpha), by=("cycle", "batch_no", "model"))
+
+
+def batch_numbers(prep: Prepared) -> list[int]:
+    """Batch ordinals present, in order (scalars; the row table is partitioned by them)."""
+    return [r[0] for r in prep.rows.select("batch_no").distinct().orderBy("batch_no").collect()]
+
+
+def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearState, DataFrame]:
+    """M5 + M6 over the replay: one step per training batch in order; each test
+    batch is scored with the weights trained on every earlier training batch."""
+    sched = prep.schedule
+    state = linear_init(prep.rows.sparkSession, prep.n_features, lam)
+    parts = []
+    for b in batch_numbers(prep):
+        batch = prep.rows.where(F.col("batch_no") == b)
+        if (b - 1) % sched.n_total < sched.n_train:
+            state = linear_update(state, batch)
+        else:
+            scored = linear_predict(state, batch, ("batch_no", "cycle", "label"))
+            parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
+                                       "score", F.lit(LINEAR).alias("model")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return state, out
+
+
+def linear_metrics(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> DataFrame:
+    return binary_metrics(linear_replay(prep, lam)[1], by=("cycle", "batch_no", "model"))

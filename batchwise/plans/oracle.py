@@ -77,7 +77,8 @@ norms AS (
 rows_t AS (
   SELECT c.row_id, c.batch_no, c.cycle, c.phase, c.label,
          coalesce(n.n_tokens, 0) AS n_tokens, coalesce(n.nnz, 0) AS nnz,
-         coalesce(n.norm, 0.0) AS norm, coalesce(n.n_tokens / n.norm, 0.0) AS sum_x
+         coalesce(n.norm, 0.0) AS norm, coalesce(n.n_tokens / n.norm, 0.0) AS sum_x,
+         CASE WHEN coalesce(n.nnz, 0) > 0 THEN 1.0 ELSE 0.0 END AS sq_x
   FROM cleaned c LEFT JOIN norms n ON c.row_id = n.row_id),
 xl AS (
   SELECT r.row_id, r.batch_no, r.cycle, r.phase, r.label, f.bucket, f.cnt / r.norm AS x
@@ -176,3 +177,230 @@ def nb_scores_sql(model: str = "multinomial_nb", task: str = "language", n_featu
     return ("WITH " + feature_ctes(email_source(task), n_features).lstrip() + nb_state_ctes(alpha, n_features)
             + score(alpha, n_features)
             + "\nSELECT row_id, batch_no, cls AS label, round(score, 6) AS score FROM scores")
+
+
+# --------------------------------------------------------------------------- schedules
+
+def train_test_batches(n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> tuple[list[int], list[int]]:
+    train = [b for b in range(1, n_batches + 1) if (b - 1) % n_total < n_train]
+    test = [b for b in range(1, n_batches + 1) if (b - 1) % n_total >= n_train]
+    return train, test
+
+
+def _last_step_before(train: list[int], b: int) -> int:
+    return sum(1 for t in train if t < b)
+
+
+# --------------------------------------------------------------------------- linear model chain
+
+def linear_chain_ctes(train: list[int], lam: float = 1e-4, decay: float = 0.01) -> str:
+    parts = [""",
+rows_y AS (SELECT *, CAST(2 * label - 1 AS DOUBLE) AS y FROM rows_t),
+w0 AS (SELECT CAST(NULL AS INTEGER) AS bucket, CAST(NULL AS DOUBLE) AS w WHERE false),
+b0 AS (SELECT CAST(0.0 AS DOUBLE) AS b)"""]
+    for t, bn in enumerate(train, 1):
+        eta = 1.0 / (lam * (t + 1))
+        shrink = 1.0 - eta * lam
+        parts.append(f""",
+d{t} AS (SELECT x.row_id, sum(x.x * w.w) AS dot FROM xl x JOIN w{t - 1} w ON x.bucket = w.bucket
+        WHERE x.batch_no = {bn} GROUP BY x.row_id),
+m{t} AS (SELECT r.row_id, r.y, r.y * (coalesce(d.dot, 0.0) + (SELECT b FROM b{t - 1})) AS margin
+        FROM rows_y r LEFT JOIN d{t} d ON r.row_id = d.row_id WHERE r.batch_no = {bn}),
+g{t} AS (SELECT x.bucket, sum(m.y * x.x) AS g FROM xl x JOIN m{t} m ON x.row_id = m.row_id
+        WHERE m.margin < 1 GROUP BY x.bucket),
+w{t} AS (SELECT bucket, sum(w) AS w FROM (
+          SELECT bucket, w * {shrink!r} AS w FROM w{t - 1}
+          UNION ALL SELECT bucket, g * ({eta!r} / (SELECT count(*) FROM m{t})) AS w FROM g{t}) u
+        GROUP BY bucket),
+b{t} AS (SELECT (SELECT b FROM b{t - 1}) + {decay!r} * ({eta!r} / (SELECT count(*) FROM m{t}))
+               * coalesce((SELECT sum(y) FROM m{t} WHERE margin < 1), 0.0) AS b)""")
+    return "".join(parts)
+
+
+def linear_pred_ctes(train: list[int], test: list[int]) -> str:
+    selects = []
+    for bn in test:
+        t = _last_step_before(train, bn)
+        selects.append(f"""
+  SELECT r.row_id, r.batch_no, r.cycle, r.label AS actual,
+         coalesce(d.dot, 0.0) + (SELECT b FROM b{t}) AS score
+  FROM rows_t r LEFT JOIN (
+    SELECT x.row_id, sum(x.x * w.w) AS dot FROM xl x JOIN w{t} w ON x.bucket = w.bucket
+    WHERE x.batch_no = {bn} GROUP BY x.row_id) d ON d.row_id = r.row_id
+  WHERE r.batch_no = {bn}""")
+    return (",\nlscore AS (" + "\n  UNION ALL".join(selects) + "),\n"
+            "pred AS (SELECT row_id, batch_no, cycle, actual, CASE WHEN score > 0 THEN 1 ELSE 0 END AS predicted,"
+            " score FROM lscore)")
+
+
+def linear_metrics_sql(task: str = "language", n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8,
+                       n_train: int = 6, n_total: int = 8, lam: float = 1e-4) -> str:
+    train, test = train_test_batches(n_batches, n_train, n_total)
+    return ("WITH " + feature_ctes(email_source(task), n_features, n_batches, n_train, n_total).lstrip()
+            + linear_chain_ctes(train, lam) + linear_pred_ctes(train, test) + metrics_select("linear_sgd"))
+
+
+def linear_scores_sql(task: str = "language", n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8,
+                      n_train: int = 6, n_total: int = 8, lam: float = 1e-4) -> str:
+    train, test = train_test_batches(n_batches, n_train, n_total)
+    return ("WITH " + feature_ctes(email_source(task), n_features, n_batches, n_train, n_total).lstrip()
+            + linear_chain_ctes(train, lam) + linear_pred_ctes(train, test)
+            + "\nSELECT row_id, batch_no, predicted, round(score, 6) AS score FROM pred")
+
+
+# --------------------------------------------------------------------------- k-means chain
+
+def embedding_ctes(n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    """rows_t / xl for the dense embeddings (bucket = array position, x = value)."""
+    return f"""
+numbered AS (
+  SELECT vec_id AS row_id, embedding, label, row_number() OVER (ORDER BY vec_id) AS ord,
+         count(*) OVER () AS n_rows FROM embeddings),
+batched AS (
+  SELECT *, CAST(floor((ord - 1) / ceil(n_rows / {float(n_batches)})) AS INTEGER) + 1 AS batch_no FROM numbered),
+rows_t AS (
+  SELECT row_id, batch_no, CAST(floor((batch_no - 1) / {n_total}) AS INTEGER) + 1 AS cycle,
+         CASE WHEN (batch_no - 1) % {n_total} < {n_train} THEN 'train' ELSE 'test' END AS phase,
+         CAST(label AS INTEGER) AS label, len(embedding) AS nnz,
+         list_reduce(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)),
+                     lambda a, b: a + b) AS sq_x
+  FROM batched),
+xl AS (
+  SELECT r.row_id, r.batch_no, r.cycle, r.phase, r.label, e.bucket, e.x
+  FROM rows_t r JOIN (
+    SELECT vec_id AS row_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS bucket,
+           CAST(unnest(embedding) AS DOUBLE) AS x
+    FROM embeddings) e ON e.row_id = r.row_id)"""
+
+
+def _assign_sql(centers: str, norms: str, bn: int) -> str:
+    d2 = "round(r.sq_x - 2 * coalesce(d.dot, 0.0) + cn.cn, 9)"
+    return f"""(
+  SELECT row_id, batch_no, cycle, label, sq_x, cluster, d2 FROM (
+    SELECT r.row_id, r.batch_no, r.cycle, r.label, r.sq_x, k.cluster, {d2} AS d2,
+           row_number() OVER (PARTITION BY r.row_id ORDER BY {d2}, k.cluster) AS rk
+    FROM rows_t r CROSS JOIN clusters k
+    JOIN {norms} cn ON cn.cluster = k.cluster
+    LEFT JOIN (SELECT x.row_id, c.cluster, sum(x.x * c.c) AS dot FROM xl x JOIN {centers} c ON x.bucket = c.bucket
+               WHERE x.batch_no = {bn} GROUP BY x.row_id, c.cluster) d
+      ON d.row_id = r.row_id AND d.cluster = k.cluster
+    WHERE r.batch_no = {bn}) z
+  WHERE rk = 1)"""
+
+
+def _norms_sql(centers: str) -> str:
+    return (f"(SELECT k.cluster, coalesce(sum(c.c * c.c), 0.0) AS cn FROM clusters k "
+            f"LEFT JOIN {centers} c ON c.cluster = k.cluster GROUP BY k.cluster)")
+
+
+def _silhouette_sql(t: int) -> str:
+    return f""",
+sz{t} AS (SELECT cluster, count(*) AS size, sum(sq_x) AS q FROM l{t} GROUP BY cluster),
+cs{t} AS (SELECT l.cluster, x.bucket, sum(x.x) AS s FROM l{t} l JOIN xl x ON x.row_id = l.row_id
+         GROUP BY l.cluster, x.bucket),
+sd{t} AS (SELECT x.row_id, cs.cluster, sum(x.x * cs.s) AS dot FROM xl x JOIN l{t} l ON l.row_id = x.row_id
+         JOIN cs{t} cs ON cs.bucket = x.bucket GROUP BY x.row_id, cs.cluster),
+st{t} AS (SELECT l.row_id, l.batch_no, l.cluster AS own, sz.cluster, sz.size,
+                sz.size * l.sq_x - 2 * coalesce(sd.dot, 0.0) + sz.q AS tot
+         FROM l{t} l CROSS JOIN sz{t} sz LEFT JOIN sd{t} sd ON sd.row_id = l.row_id AND sd.cluster = sz.cluster),
+si{t} AS (SELECT row_id, batch_no, own AS cluster,
+                CASE WHEN b IS NULL THEN NULL WHEN own_size <= 1 THEN 0.0
+                     WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s
+         FROM (SELECT row_id, batch_no, own,
+                      max(CASE WHEN cluster = own THEN size END) AS own_size,
+                      max(CASE WHEN cluster = own AND size > 1 THEN tot / (size - 1) END) AS a,
+                      min(CASE WHEN cluster <> own AND size > 0 THEN tot / size END) AS b
+               FROM st{t} GROUP BY row_id, batch_no, own) q)"""
+
+
+def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True) -> str:
+    first = train[0]
+    parts = [f""",
+clusters AS (SELECT CAST(range AS INTEGER) AS cluster FROM range({k})),
+init_rows AS (
+  SELECT * FROM (SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS cluster
+                 FROM rows_t WHERE batch_no = {first}) i WHERE cluster < {k}),
+c0 AS (SELECT i.cluster, x.bucket, x.x AS c FROM init_rows i JOIN xl x ON x.row_id = i.row_id),
+n0 AS (SELECT cluster, CAST(0.0 AS DOUBLE) AS n FROM clusters)"""]
+    for t, bn in enumerate(train, 1):
+        parts.append(f""",
+a{t} AS {_assign_sql(f"c{t - 1}", _norms_sql(f"c{t - 1}"), bn)},
+m{t} AS (SELECT k.cluster, count(a.row_id) AS m FROM clusters k LEFT JOIN a{t} a ON a.cluster = k.cluster
+        GROUP BY k.cluster),
+s{t} AS (SELECT a.cluster, x.bucket, sum(x.x) AS s FROM a{t} a JOIN xl x ON x.row_id = a.row_id
+        GROUP BY a.cluster, x.bucket),
+c{t} AS (SELECT cluster, bucket, sum(v) AS c FROM (
+          SELECT c.cluster, c.bucket, c.c * (CASE WHEN m.m = 0 THEN 1.0 ELSE n.n / (n.n + m.m) END) AS v
+          FROM c{t - 1} c JOIN n{t - 1} n ON n.cluster = c.cluster JOIN m{t} m ON m.cluster = c.cluster
+          UNION ALL
+          SELECT s.cluster, s.bucket, s.s / (n.n + m.m) AS v
+          FROM s{t} s JOIN n{t - 1} n ON n.cluster = s.cluster JOIN m{t} m ON m.cluster = s.cluster) u
+        GROUP BY cluster, bucket),
+n{t} AS (SELECT n.cluster, n.n + m.m AS n FROM n{t - 1} n JOIN m{t} m ON m.cluster = n.cluster),
+l{t} AS {_assign_sql(f"c{t}", _norms_sql(f"c{t}"), bn)}""")
+        if silhouettes:
+            parts.append(_silhouette_sql(t))
+    return "".join(parts)
+
+
+def _kmeans_base(dense: bool, task: str, n_features: int, n_batches: int, n_train: int, n_total: int) -> str:
+    if dense:
+        return "WITH " + embedding_ctes(n_batches, n_train, n_total).lstrip()
+    return "WITH " + feature_ctes(email_source(task), n_features, n_batches, n_train, n_total).lstrip()
+
+
+def _test_assign(train: list[int], test: list[int]) -> str:
+    sel = []
+    for bn in test:
+        t = _last_step_before(train, bn)
+        sel.append(f"SELECT * FROM {_assign_sql(f'c{t}', _norms_sql(f'c{t}'), bn)} q{bn}")
+    return ",\nta AS (" + "\n  UNION ALL ".join(sel) + ")"
+
+
+def kmeans_metrics_sql(k: int = 2, task: str = "language", n_features: int = DEFAULT_N_FEATURES,
+                       n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    train, test = train_test_batches(n_batches, n_train, n_total)
+    return (_kmeans_base(False, task, n_features, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k, silhouettes=False) + _test_assign(train, test)
+            + ",\npred AS (SELECT row_id, batch_no, cycle, label AS actual, cluster AS predicted FROM ta)"
+            + metrics_select("kmeans"))
+
+
+def kmeans_train_report_sql(k: int = 2, dense: bool = False, task: str = "language",
+                            n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
+                            n_total: int = 8) -> str:
+    train, _ = train_test_batches(n_batches, n_train, n_total)
+    lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
+    sil = " UNION ALL ".join(f"SELECT * FROM si{t}" for t in range(1, len(train) + 1))
+    return (_kmeans_base(dense, task, n_features, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k) + f""",
+lab AS ({lab}),
+sil AS ({sil})
+SELECT i.batch_no, i.n_rows, round(i.inertia, 6) AS inertia, round(s.silhouette, 6) AS silhouette
+FROM (SELECT batch_no, count(*) AS n_rows, sum(d2) AS inertia FROM lab GROUP BY batch_no) i
+LEFT JOIN (SELECT batch_no, avg(s) AS silhouette FROM sil GROUP BY batch_no) s ON s.batch_no = i.batch_no""")
+
+
+def silhouette_samples_sql(k: int = 2, dense: bool = False, task: str = "language",
+                           n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
+                           n_total: int = 8) -> str:
+    train, _ = train_test_batches(n_batches, n_train, n_total)
+    sil = " UNION ALL ".join(f"SELECT * FROM si{t}" for t in range(1, len(train) + 1))
+    return (_kmeans_base(dense, task, n_features, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k) + f",\nsil AS ({sil})\n"
+            "SELECT row_id, batch_no, cluster, round(s, 6) AS s FROM sil")
+
+
+def kmeans_aligned_sql(k: int = 10, n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    train, test = train_test_batches(n_batches, n_train, n_total)
+    lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
+    return (_kmeans_base(True, "", 0, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k, silhouettes=False) + _test_assign(train, test) + f""",
+lab AS ({lab}),
+al AS (SELECT cluster, label AS aligned_label FROM (
+         SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) AS rk
+         FROM lab GROUP BY cluster, label) z WHERE rk = 1)
+SELECT t.cycle, t.batch_no, 'kmeans' AS model, count(*) AS n,
+       round(avg(CASE WHEN t.label = coalesce(al.aligned_label, -1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM ta t LEFT JOIN al ON al.cluster = t.cluster
+GROUP BY t.cycle, t.batch_no""")

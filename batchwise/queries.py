@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .operators.scoring import explode_scores
 from .plans import oracle as O
-from .plans.classify import BNB, MNB, nb_metrics, nb_predictions
-from .plans.tasks import language_task
+from .plans.classify import BNB, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions
+from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
+from .plans.tasks import embedding_task, language_task
 from .session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,59 @@ def bnb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     pred = nb_predictions(language_task(spark, sf_dir), BNB)
     return explode_scores(pred, ("row_id", "batch_no"))
+
+
+# --------------------------------------------------------------------------- linear model
+
+@register("linear_metrics", lambda: O.linear_metrics_sql())
+def linear_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 -> M6 -> E1-E4: one Pegasos step per training batch (chain)."""
+    ensure_checkpoint_dir(spark)
+    return linear_metrics(language_task(spark, sf_dir))
+
+
+@register("linear_scores", lambda: O.linear_scores_sql())
+def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 decision values per test row."""
+    ensure_checkpoint_dir(spark)
+    _, pred = linear_replay(language_task(spark, sf_dir))
+    return pred.select("row_id", "batch_no", "predicted", F.round("score", 6).alias("score"))
+
+
+# --------------------------------------------------------------------------- k-means
+
+@register("kmeans_metrics", lambda: O.kmeans_metrics_sql(k=2))
+def kmeans_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 (first-k init) -> M8 per training batch -> M9 on test -> E1-E4, raw ids."""
+    ensure_checkpoint_dir(spark)
+    run = kmeans_replay(language_task(spark, sf_dir), k=2, with_silhouette=False)
+    return kmeans_raw_metrics(run)
+
+
+@register("kmeans_train_report", lambda: O.kmeans_train_report_sql(k=2))
+def kmeans_train_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 inertia and M11 mean silhouette per training batch (hashed text, k = 2)."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_train_report(kmeans_replay(language_task(spark, sf_dir), k=2))
+
+
+@register("silhouette_samples", lambda: O.silhouette_samples_sql(k=2))
+def silhouette_samples_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-row silhouette in every training batch."""
+    ensure_checkpoint_dir(spark)
+    run = kmeans_replay(language_task(spark, sf_dir), k=2)
+    return run.silhouettes.select("row_id", "batch_no", "cluster", F.round("s", 6).alias("s"))
+
+
+@register("kmeans_embeddings_report", lambda: O.kmeans_train_report_sql(k=10, dense=True))
+def kmeans_embeddings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8, M10, M11 on the dense embeddings, k = 10."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10))
+
+
+@register("kmeans_aligned_metrics", lambda: O.kmeans_aligned_sql(k=10))
+def kmeans_aligned_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Majority-label alignment of clusters on the embeddings, accuracy per test batch."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_aligned_metrics(kmeans_replay(embedding_task(spark, sf_dir), k=10, with_silhouette=False))
