@@ -111,21 +111,21 @@ test_rows AS (SELECT * FROM rows_t WHERE phase = 'test'),
 test_xl AS (SELECT * FROM xl WHERE phase = 'test')"""
 
 
-def mnb_score_ctes(alpha: float = 1.0, n_features: int = DEFAULT_N_FEATURES) -> str:
+def mnb_score_ctes(alpha: float = 1.0, n_features: int = DEFAULT_N_FEATURES, name: str = "scores") -> str:
     a = float(alpha)
     return f""",
 mnb_dot AS (
   SELECT x.row_id, s.label, sum(x.x * (ln(s.sum_x + {a}) - ln({a}))) AS dot
   FROM test_xl x JOIN stats s ON x.bucket = s.bucket AND x.cycle = s.cycle
   GROUP BY x.row_id, s.label),
-scores AS (
+{name} AS (
   SELECT t.row_id, t.batch_no, t.cycle, t.label AS actual, c.label AS cls,
          c.lp + t.sum_x * (ln({a}) - ln(c.total_x + {a} * {n_features})) + coalesce(k.dot, 0.0) AS score
   FROM test_rows t JOIN cls c ON t.cycle = c.cycle
   LEFT JOIN mnb_dot k ON k.row_id = t.row_id AND k.label = c.label)"""
 
 
-def bnb_score_ctes(alpha: float = 1.0, n_features: int = DEFAULT_N_FEATURES) -> str:
+def bnb_score_ctes(alpha: float = 1.0, n_features: int = DEFAULT_N_FEATURES, name: str = "scores") -> str:
     a = float(alpha)
     return f""",
 bnb_dot AS (
@@ -134,7 +134,7 @@ bnb_dot AS (
   FROM test_xl x JOIN stats s ON x.bucket = s.bucket AND x.cycle = s.cycle
   JOIN docs d ON d.cycle = s.cycle AND d.label = s.label
   GROUP BY x.row_id, s.label),
-scores AS (
+{name} AS (
   SELECT t.row_id, t.batch_no, t.cycle, t.label AS actual, c.label AS cls,
          c.lp + c.log1m + ({n_features} - c.seen) * ln(1 - {a} / (c.n_docs + 2 * {a}))
          + t.nnz * ln({a} / (c.n_docs + {a})) + coalesce(k.dot, 0.0) AS score
@@ -142,13 +142,17 @@ scores AS (
   LEFT JOIN bnb_dot k ON k.row_id = t.row_id AND k.label = c.label)"""
 
 
-PRED_CTE = """,
-pred AS (
+def pred_cte(scores: str = "scores", name: str = "pred") -> str:
+    return f""",
+{name} AS (
   SELECT row_id, batch_no, cycle, actual, cls AS predicted FROM (
-    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, cls ASC) AS rk FROM scores) r
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, cls ASC) AS rk FROM {scores}) r
   WHERE rk = 1)"""
 
 
+PRED_CTE = pred_cte()
+
+
 def metrics_select(model: str, pred: str = "pred") -> str:
     return f"""
 SELECT cycle, batch_no, '{model}' AS model, tp, fp, fn, tn,
@@ -217,7 +221,7 @@ b{t} AS (SELECT (SELECT b FROM b{t - 1}) + {decay!r} * ({eta!r} / (SELECT count(
     return "".join(parts)
 
 
-def linear_pred_ctes(train: list[int], test: list[int]) -> str:
+def linear_pred_ctes(train: list[int], test: list[int], name: str = "pred") -> str:
     selects = []
     for bn in test:
         t = _last_step_before(train, bn)
@@ -229,7 +233,7 @@ def linear_pred_ctes(train: list[int], test: list[int]) -> str:
     WHERE x.batch_no = {bn} GROUP BY x.row_id) d ON d.row_id = r.row_id
   WHERE r.batch_no = {bn}""")
     return (",\nlscore AS (" + "\n  UNION ALL".join(selects) + "),\n"
-            "pred AS (SELECT row_id, batch_no, cycle, actual, CASE WHEN score > 0 THEN 1 ELSE 0 END AS predicted,"
+            f"{name} AS (SELECT row_id, batch_no, cycle, actual, CASE WHEN score > 0 THEN 1 ELSE 0 END AS predicted,"
             " score FROM lscore)")
 
 
@@ -404,3 +408,88 @@ SELECT t.cycle, t.batch_no, 'kmeans' AS model, count(*) AS n,
        round(avg(CASE WHEN t.label = coalesce(al.aligned_label, -1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM ta t LEFT JOIN al ON al.cluster = t.cluster
 GROUP BY t.cycle, t.batch_no""")
+
+
+# --------------------------------------------------------------------------- operator-level queries
+
+def _with_features(task: str = "language") -> str:
+    return "WITH " + feature_ctes(email_source(task)).lstrip()
+
+
+def batch_assign_sql() -> str:
+    return "WITH " + schedule_ctes(email_source()).lstrip() + "\nSELECT row_id, batch_no, cycle, phase FROM sched"
+
+
+def batch_row_count_sql() -> str:
+    return ("WITH " + schedule_ctes(email_source()).lstrip()
+            + "\nSELECT batch_no, count(*) AS n_rows FROM sched GROUP BY batch_no")
+
+
+def clean_text_sql() -> str:
+    return _with_features() + "\nSELECT row_id, c0 AS feature0, c1 AS feature1, c0 || ' ' || c1 AS text FROM cleaned"
+
+
+def token_counts_sql() -> str:
+    return _with_features() + f"""
+SELECT row_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct
+FROM (SELECT row_id, regexp_extract_all(lower(c0 || ' ' || c1), '{TOKEN_RE}') AS t FROM cleaned) q"""
+
+
+def hashed_features_sql() -> str:
+    return _with_features() + """
+SELECT f.row_id, f.bucket, f.cnt, round(f.cnt / n.norm, 6) AS x FROM feat f JOIN norms n ON n.row_id = f.row_id"""
+
+
+def label_dictionary_sql() -> str:
+    return f"""WITH emails AS ({email_source('lang')}),
+dict AS (
+  SELECT feature2, CAST(row_number() OVER (ORDER BY feature2) - 1 AS INTEGER) AS label
+  FROM (SELECT DISTINCT feature2 FROM emails WHERE feature2 IS NOT NULL) d)
+SELECT feature2, label FROM dict"""
+
+
+def class_list_sql() -> str:
+    return f"SELECT DISTINCT feature2 FROM ({email_source('lang')}) e WHERE feature2 IS NOT NULL"
+
+
+def nb_state_sql() -> str:
+    return _with_features() + """
+SELECT label, bucket, round(sum(x), 6) AS sum_x, count(*) AS n_present FROM xl WHERE phase = 'train'
+GROUP BY label, bucket"""
+
+
+def nb_class_docs_sql() -> str:
+    return _with_features() + "\nSELECT label, count(*) AS n_docs FROM rows_t WHERE phase = 'train' GROUP BY label"
+
+
+def all_metrics_ctes(n_features: int = DEFAULT_N_FEATURES, lam: float = 1e-4) -> str:
+    train, test = train_test_batches()
+    return (_with_features() + nb_state_ctes(1.0, n_features)
+            + mnb_score_ctes(1.0, n_features, "mnb_scores") + pred_cte("mnb_scores", "mnb_pred")
+            + bnb_score_ctes(1.0, n_features, "bnb_scores") + pred_cte("bnb_scores", "bnb_pred")
+            + linear_chain_ctes(train, lam) + linear_pred_ctes(train, test, "lin_pred")
+            + ",\nmetrics AS ((" + metrics_select("multinomial_nb", "mnb_pred") + ")\nUNION ALL ("
+            + metrics_select("linear_sgd", "lin_pred") + ")\nUNION ALL ("
+            + metrics_select("bernoulli_nb", "bnb_pred") + "))")
+
+
+def metric_history_sql() -> str:
+    longs = " UNION ALL ".join(
+        f"SELECT cycle, model, batch_no, '{m}' AS metric, {m} AS value FROM metrics"
+        for m in ("accuracy", "precision", "recall"))
+    return all_metrics_ctes() + f"""
+SELECT cycle, model, batch_no, metric, value,
+       CAST(row_number() OVER (PARTITION BY cycle, model, metric ORDER BY batch_no) AS INTEGER) AS idx
+FROM ({longs}) l"""
+
+
+def compare_models_sql() -> str:
+    cols = ", ".join(f"max(CASE WHEN model = '{m}' THEN accuracy END) AS {m}"
+                     for m in ("multinomial_nb", "linear_sgd", "bernoulli_nb"))
+    return all_metrics_ctes() + f"\nSELECT cycle, batch_no, {cols} FROM metrics GROUP BY cycle, batch_no"
+
+
+def metrics_summary_sql() -> str:
+    cols = ", ".join(f"round(avg({m}), 6) AS {m}_mean, min({m}) AS {m}_min, max({m}) AS {m}_max"
+                     for m in ("accuracy", "precision", "recall"))
+    return all_metrics_ctes() + f"\nSELECT cycle, model, count(*) AS n_batches, {cols} FROM metrics GROUP BY cycle, model"

@@ -59,18 +59,31 @@ class Prepared:
         return [r[0] for r in self.rows.select("cycle").distinct().orderBy("cycle").collect()]
 
 
-def prepare_email_task(emails: DataFrame, schedule: Schedule = Schedule(),
-                       n_features: int = DEFAULT_N_FEATURES, hash_name: str = "md5",
-                       stopwords: Sequence[str] | None = None, split_pattern: str = UNICODE_WHITESPACE,
-                       classes: list[str] | None = None, write: bool = True) -> Prepared:
-    """Email rows (row_id, feature0, feature1, feature2) -> Prepared row table."""
+def scheduled_emails(emails: DataFrame, schedule: Schedule = Schedule(),
+                     classes: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """S7 + E5 + E6 + T8: email rows with label, batch_no, phase and cycle."""
     classes = classes if classes is not None else class_values(emails, "feature2")
     labelled = encode_labels(emails, classes, "feature2", "label")
     batched = with_schedule(assign_batches(labelled, "row_id", n_batches=schedule.n_batches),
                             schedule.n_train, schedule.n_total)
+    return batched, classes
+
+
+def cleaned_emails(batched: DataFrame, stopwords: Sequence[str] | None = None,
+                   split_pattern: str = UNICODE_WHITESPACE) -> DataFrame:
+    """T1 + T3 + T4: both text parts cleaned, then joined into ``text``."""
     cleaned = clean_columns(batched, ("feature1", "feature0"), stopwords, split_pattern)
-    rows = hashed_rows(cleaned.withColumn("_text", concat_text("feature0", "feature1")), "_text", ROW_KEYS,
-                       n_features=n_features, hash_name=hash_name)
+    return cleaned.withColumn("text", concat_text("feature0", "feature1"))
+
+
+def prepare_email_task(emails: DataFrame, schedule: Schedule = Schedule(),
+                       n_features: int = DEFAULT_N_FEATURES, hash_name: str = "md5",
+                       stopwords: Sequence[str] | None = None, split_pattern: str = UNICODE_WHITESPACE,
+                       classes: list[str] | None = None, write: bool = True) -> Prepared:
+    """Email rows (row_id, feature0, feature1, feature2) -> Prepared row table."""
+    batched, classes = scheduled_emails(emails, schedule, classes)
+    cleaned = cleaned_emails(batched, stopwords, split_pattern)
+    rows = hashed_rows(cleaned, "text", ROW_KEYS, n_features=n_features, hash_name=hash_name)
     if write:
         rows = materialize(rows, "rows", partition_by=("batch_no",))
     return Prepared(rows, classes, n_features, schedule)

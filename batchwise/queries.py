@@ -12,11 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import tokenize
+from .operators.evaluate import compare_models, metric_history, summary
+from .operators.features import assemble_vectors, class_list, hashing_tf_vectors, label_dictionary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
-from .plans.classify import BNB, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions
+from .plans.classify import (BNB, CLASSIFIERS, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions,
+                             nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
-from .plans.tasks import embedding_task, language_task
+from .plans.tasks import cleaned_emails, embedding_task, language_task, scheduled_emails
+from .sources.batches import batch_row_count
+from .sources.tables import email_rows
 from .session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +128,119 @@ def kmeans_aligned_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Majority-label alignment of clusters on the embeddings, accuracy per test batch."""
     ensure_checkpoint_dir(spark)
     return kmeans_aligned_metrics(kmeans_replay(embedding_task(spark, sf_dir), k=10, with_silhouette=False))
+
+
+# --------------------------------------------------------------------------- sources, text, features
+
+def _language_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    batched, _ = scheduled_emails(email_rows(spark, sf_dir))
+    return batched
+
+
+@register("batch_assign", lambda: O.batch_assign_sql())
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + E5 + E6: batch ordinal, phase and cycle per row (8 batches, 6 train)."""
+    return _language_batched(spark, sf_dir).select("row_id", "batch_no", "cycle", "phase")
+
+
+@register("batch_row_count", lambda: O.batch_row_count_sql())
+def batch_row_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per batch."""
+    return batch_row_count(_language_batched(spark, sf_dir))
+
+
+@register("clean_text", lambda: O.clean_text_sql())
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + T2 + T3 + T4: noise tokens stripped from both parts, parts joined."""
+    return cleaned_emails(_language_batched(spark, sf_dir)).select("row_id", "feature0", "feature1", "text")
+
+
+@register("token_counts", lambda: O.token_counts_sql())
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: tokens and distinct tokens per row after cleaning."""
+    toks = tokenize(F.col("text"))
+    return cleaned_emails(_language_batched(spark, sf_dir)).select(
+        "row_id", F.size(toks).alias("n_tokens"), F.size(F.array_distinct(toks)).alias("n_distinct"))
+
+
+@register("hashed_features", lambda: O.hashed_features_sql())
+def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 + T7: (row, bucket) counts and L2-scaled values, md5 buckets mod 2^20."""
+    ensure_checkpoint_dir(spark)
+    rows = language_task(spark, sf_dir).rows
+    return rows.select("row_id", "norm", F.explode("features").alias("f")).select(
+        "row_id", F.col("f.bucket").alias("bucket"), F.col("f.cnt").alias("cnt"),
+        F.round(F.col("f.cnt") / F.col("norm"), 6).alias("x"))
+
+
+@register("label_dictionary", lambda: O.label_dictionary_sql())
+def label_dictionary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct label -> 0..k-1 (four-language labels)."""
+    return label_dictionary(email_rows(spark, sf_dir, "lang"), "feature2")
+
+
+@register("class_list", lambda: O.class_list_sql())
+def class_list_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels present (four-language labels)."""
+    return class_list(email_rows(spark, sf_dir, "lang"), "feature2")
+
+
+@register("feature_vectors")
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLlib SparseVector per row (MLlib boundary; rows-only check)."""
+    ensure_checkpoint_dir(spark)
+    return assemble_vectors(language_task(spark, sf_dir).rows, keep=("batch_no", "label"))
+
+
+@register("hashing_tf_vectors")
+def hashing_tf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MLlib HashingTF + Normalizer twin of T6/T7 (Murmur3 buckets; rows-only)."""
+    ensure_checkpoint_dir(spark)
+    cleaned = cleaned_emails(_language_batched(spark, sf_dir)).withColumn("tokens", tokenize(F.col("text")))
+    return hashing_tf_vectors(cleaned, "tokens", keep=("row_id", "batch_no"))
+
+
+# --------------------------------------------------------------------------- model state
+
+@register("nb_state", lambda: O.nb_state_sql())
+def nb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M3: per (class, bucket) sum of x and document count over the training batches."""
+    prep = language_task(spark, sf_dir)
+    state = nb_state_through(prep)
+    return state.stats.select("label", "bucket", F.round("sum_x", 6).alias("sum_x"), "n_present")
+
+
+@register("nb_class_docs", lambda: O.nb_class_docs_sql())
+def nb_class_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: documents per class over the training batches."""
+    prep = language_task(spark, sf_dir)
+    return nb_state_through(prep).docs
+
+
+# --------------------------------------------------------------------------- reports
+
+def _all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prep = language_task(spark, sf_dir)
+    return nb_metrics(prep, MNB).unionByName(linear_metrics(prep)).unionByName(nb_metrics(prep, BNB))
+
+
+@register("metric_history", lambda: O.metric_history_sql())
+def metric_history_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model and metric, the ordered series (idx from 1) of test-batch values."""
+    ensure_checkpoint_dir(spark)
+    return metric_history(_all_metrics(spark, sf_dir))
+
+
+@register("compare_models", lambda: O.compare_models_sql())
+def compare_models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the three classifiers side by side per test batch."""
+    ensure_checkpoint_dir(spark)
+    return compare_models(_all_metrics(spark, sf_dir), CLASSIFIERS, "accuracy")
+
+
+@register("metrics_summary", lambda: O.metrics_summary_sql())
+def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean / min / max of accuracy, precision, recall per model."""
+    ensure_checkpoint_dir(spark)
+    return summary(_all_metrics(spark, sf_dir))
