@@ -493,3 +493,21 @@ def metrics_summary_sql() -> str:
     cols = ", ".join(f"round(avg({m}), 6) AS {m}_mean, min({m}) AS {m}_min, max({m}) AS {m}_max"
                      for m in ("accuracy", "precision", "recall"))
     return all_metrics_ctes() + f"\nSELECT cycle, model, count(*) AS n_batches, {cols} FROM metrics GROUP BY cycle, model"
+
+
+def wire_roundtrip_sql() -> str:
+    return ("WITH " + schedule_ctes(email_source()).lstrip()
+            + "\nSELECT batch_no, feature0, feature1, feature2 FROM sched")
+
+
+def wire_quarantine_sql(line_size: int = 500) -> str:
+    return ("WITH " + schedule_ctes(email_source()).lstrip() + f""",
+per_batch AS (SELECT batch_no, count(*) AS n FROM sched GROUP BY batch_no)
+SELECT 'decoded' AS status, CAST(sum(ceil(n / {float(line_size)})) AS BIGINT) AS n_lines,
+       CAST(sum(n) AS BIGINT) AS n_records FROM per_batch
+UNION ALL
+SELECT 'quarantined' AS status, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_records FROM pages""")
+
+
+def stream_metrics_sql() -> str:
+    return all_metrics_ctes() + "\nSELECT * FROM metrics"

@@ -24,7 +24,7 @@ ROW_KEYS = ("batch_no", "cycle", "phase", "label")
 SCORE_KEYS = ("batch_no", "cycle", "label", "sum_x", "sq_x", "nnz")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Schedule:
     """Replay schedule: ``n_batches`` equal batches in arrival order; each
     cycle has ``n_total`` batches of which the first ``n_train`` train."""
@@ -64,7 +64,7 @@ def scheduled_emails(emails: DataFrame, schedule: Schedule = Schedule(),
     """S7 + E5 + E6 + T8: email rows with label, batch_no, phase and cycle."""
     classes = classes if classes is not None else class_values(emails, "feature2")
     labelled = encode_labels(emails, classes, "feature2", "label")
-    batched = with_schedule(assign_batches(labelled, "row_id", n_batches=schedule.n_batches),
+    batched = with_schedule(assign_batches(labelled, "row_id", n_batches=schedule.n_batches, ordinal="ord"),
                             schedule.n_train, schedule.n_total)
     return batched, classes
 

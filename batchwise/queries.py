@@ -21,8 +21,11 @@ from .plans.classify import (BNB, CLASSIFIERS, MNB, linear_metrics, linear_repla
                              nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
 from .plans.tasks import cleaned_emails, embedding_task, language_task, scheduled_emails
+from .session import scratch_path
 from .sources.batches import batch_row_count
-from .sources.tables import email_rows
+from .sources.tables import email_rows, read_table
+from .sources.wire import decode_lines, encode_wire_lines, quarantine
+from .streaming.learner import StreamLearner, run_stream, write_stream_files
 from .session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +247,48 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean / min / max of accuracy, precision, recall per model."""
     ensure_checkpoint_dir(spark)
     return summary(_all_metrics(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- wire format and streaming
+
+def _wire_lines(spark: SparkSession, sf_dir: str, line_size: int = 500):
+    batched, classes = scheduled_emails(email_rows(spark, sf_dir))
+    return encode_wire_lines(batched, line_size=line_size, ordinal="ord"), classes
+
+
+@register("wire_roundtrip", lambda: O.wire_roundtrip_sql())
+def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S5: documents -> JSON wire lines (<= 500 records each) -> decoded rows."""
+    ensure_checkpoint_dir(spark)
+    lines, _ = _wire_lines(spark, sf_dir)
+    return decode_lines(lines).select("batch_no", "feature0", "feature1", "feature2")
+
+
+@register("wire_quarantine", lambda: O.wire_quarantine_sql())
+def wire_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire lines plus raw web pages offered as lines; the pages fail the
+    fixed schema and are quarantined, the wire lines decode."""
+    ensure_checkpoint_dir(spark)
+    lines, _ = _wire_lines(spark, sf_dir)
+    pages = read_table(spark, sf_dir, "pages").select(F.col("html").alias("value"))
+    offered = lines.select("value").unionByName(pages)
+    good = decode_lines(offered).groupBy().agg(F.countDistinct("batch_no", "line_no").alias("n_lines"),
+                                               F.count(F.lit(1)).alias("n_records"))
+    bad = quarantine(offered).groupBy().agg(F.count(F.lit(1)).alias("n_lines"))
+    return good.select(F.lit("decoded").alias("status"), "n_lines", "n_records").unionByName(
+        bad.select(F.lit("quarantined").alias("status"), "n_lines", F.lit(0).cast("long").alias("n_records")))
+
+
+@register("stream_metrics", lambda: O.stream_metrics_sql())
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wire lines as a file stream, learned with foreachBatch
+    (availableNow trigger); metrics read back from the metrics table.  Equals
+    the replay of the same batches (streaming = batch)."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream")
+    lines, classes = _wire_lines(spark, sf_dir)
+    write_stream_files(lines, f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", classes)
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint")
+    return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
+                                    "recall")

@@ -49,17 +49,19 @@ def batch_size_for(n_rows: int, n_batches: int) -> int:
 
 
 def assign_batches(df: DataFrame, order_col: str, size: int | None = None, n_batches: int | None = None,
-                   out: str = "batch_no") -> DataFrame:
+                   out: str = "batch_no", ordinal: str | None = None) -> DataFrame:
     """Number batches 1, 2, 3, ... in ``order_col`` order, ``size`` rows each.
 
     Give either ``size`` or ``n_batches`` (then size = ceil(N / n_batches)).
+    ``ordinal`` keeps the 1-based arrival ordinal under that name.
     """
     if (size is None) == (n_batches is None):
         raise ValueError("give exactly one of size, n_batches")
     if size is None:
         size = batch_size_for(df.count(), n_batches)
     numbered = with_ordinals(df, order_col, "_ord")
-    return numbered.withColumn(out, (F.floor((F.col("_ord") - 1) / F.lit(size)) + 1).cast("int")).drop("_ord")
+    out_df = numbered.withColumn(out, (F.floor((F.col("_ord") - 1) / F.lit(size)) + 1).cast("int"))
+    return out_df.withColumnRenamed("_ord", ordinal) if ordinal else out_df.drop("_ord")
 
 
 def with_schedule(df: DataFrame, n_train: int, n_total: int, batch_col: str = "batch_no") -> DataFrame:
