@@ -26,20 +26,24 @@ from .joins import broadcast_if_bounded
 
 def sparse_class_sums(long_rows: DataFrame, weights: DataFrame, n_classes: int, n_features: int,
                       keep: Sequence[str], row_id: str = "row_id", class_col: str = "label",
-                      value: str = "w", binary: bool = False) -> DataFrame:
-    """(row_id, keep..., dot_0 ... dot_{k-1}) = sum_f x_f * weights[j, f].
+                      value: str = "w", binary: bool = False, group: Sequence[str] = (),
+                      n_groups: int = 1) -> DataFrame:
+    """(row_id, group..., keep..., dot_0 ... dot_{k-1}) = sum_f x_f * weights[group, j, f].
 
     ``binary``: the row's values count as 1 where present (Bernoulli events).
+    ``group``: extra key columns shared by rows and weights (e.g. ``plan``);
+    the weight table is then bounded by n_groups * k * n_features rows.
     """
-    w = broadcast_if_bounded(weights.select(F.col(class_col).alias("_cls"), "bucket", F.col(value).alias("_w")),
-                             n_classes * n_features)
-    joined = long_rows.join(w, "bucket", "left")
+    w = broadcast_if_bounded(
+        weights.select(*group, F.col(class_col).alias("_cls"), "bucket", F.col(value).alias("_w")),
+        n_groups * n_classes * n_features)
+    joined = long_rows.join(w, [*group, "bucket"], "left")
     term = F.col("_w") if binary else F.col("x") * F.col("_w")
     sums = [
         F.coalesce(F.sum(F.when(F.col("_cls") == F.lit(j), term)), F.lit(0.0)).alias(f"_dot{j}")
         for j in range(n_classes)
     ]
-    return joined.groupBy(row_id, *keep).agg(*sums)
+    return joined.groupBy(row_id, *group, *keep).agg(*sums)
 
 
 def dots_array(n_classes: int) -> Column:

@@ -511,3 +511,124 @@ SELECT 'quarantined' AS status, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_reco
 
 def stream_metrics_sql() -> str:
     return all_metrics_ctes() + "\nSELECT * FROM metrics"
+
+
+def sweep_mnb_sql(plans=(("size100", 303, 336), ("size500", 60, 66), ("size1000", 30, 33), ("size1500", 20, 22)),
+                  n_features: int = DEFAULT_N_FEATURES) -> str:
+    values = ", ".join(f"('{p}', {t}, {n})" for p, t, n in plans)
+    return ("WITH " + feature_ctes(email_source(), n_features, 1, 1, 1).lstrip() + f""",
+plans AS (SELECT * FROM (VALUES {values}) v(plan, n_train, n_total)),
+pr AS (
+  SELECT r.row_id, r.label, r.sum_x, p.plan, p.n_train, p.n_total,
+         CAST(floor((s.ord - 1) / p.sz) AS BIGINT) AS q
+  FROM rows_t r JOIN sched s ON s.row_id = r.row_id
+  CROSS JOIN (SELECT plans.*, ceil((SELECT count(*) FROM sched) / plans.n_total) AS sz FROM plans) p),
+pp AS (
+  SELECT row_id, label, sum_x, plan, CAST(q + 1 AS INTEGER) AS batch_no,
+         CASE WHEN q % n_total < n_train THEN 'train' ELSE 'test' END AS phase FROM pr),
+st AS (
+  SELECT pp.plan, pp.label, x.bucket, sum(x.x) AS sum_x FROM pp JOIN xl x ON x.row_id = pp.row_id
+  WHERE pp.phase = 'train' GROUP BY pp.plan, pp.label, x.bucket),
+dc AS (SELECT plan, label, count(*) AS n_docs FROM pp WHERE phase = 'train' GROUP BY plan, label),
+cl AS (
+  SELECT d.plan, d.label, ln(d.n_docs / sum(d.n_docs) OVER (PARTITION BY d.plan)) AS lp,
+         coalesce(t.total_x, 0.0) AS total_x
+  FROM dc d LEFT JOIN (SELECT plan, label, sum(sum_x) AS total_x FROM st GROUP BY plan, label) t
+    ON t.plan = d.plan AND t.label = d.label),
+dt AS (
+  SELECT pp.row_id, pp.plan, s.label, sum(x.x * (ln(s.sum_x + 1.0) - ln(1.0))) AS dot
+  FROM pp JOIN xl x ON x.row_id = pp.row_id JOIN st s ON s.plan = pp.plan AND s.bucket = x.bucket
+  WHERE pp.phase = 'test' GROUP BY pp.row_id, pp.plan, s.label),
+sc AS (
+  SELECT pp.row_id, pp.plan, pp.batch_no, pp.label AS actual, c.label AS cls,
+         c.lp + pp.sum_x * (ln(1.0) - ln(c.total_x + 1.0 * {n_features})) + coalesce(k.dot, 0.0) AS score
+  FROM pp JOIN cl c ON c.plan = pp.plan
+  LEFT JOIN dt k ON k.row_id = pp.row_id AND k.plan = pp.plan AND k.label = c.label
+  WHERE pp.phase = 'test'),
+pred AS (
+  SELECT plan, batch_no, actual, cls AS predicted FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id, plan ORDER BY score DESC, cls ASC) AS rk FROM sc) z
+  WHERE rk = 1)
+SELECT plan, batch_no, 'multinomial_nb' AS model, tp, fp, fn, tn,
+       CASE WHEN tp + fp + fn + tn > 0 THEN round((tp + tn) / (tp + fp + fn + tn), 6) ELSE 0.0 END AS accuracy,
+       CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall
+FROM (
+  SELECT plan, batch_no,
+         CAST(sum(CASE WHEN actual = 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(sum(CASE WHEN actual = 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM pred GROUP BY plan, batch_no) m""")
+
+
+def holdout_mnb_sql(fraction: float = 0.33, n_features: int = DEFAULT_N_FEATURES) -> str:
+    return _with_features() + f""",
+sp AS (
+  SELECT r.*, CASE WHEN ('0x' || substr(md5(CAST(r.row_id AS VARCHAR)), 1, 8))::BIGINT / {float(1 << 32)} < {fraction}
+                   THEN 'test' ELSE 'train' END AS split
+  FROM rows_t r),
+st AS (SELECT x.label, x.bucket, sum(x.x) AS sum_x FROM xl x JOIN sp ON sp.row_id = x.row_id
+       WHERE sp.split = 'train' GROUP BY x.label, x.bucket),
+dc AS (SELECT label, count(*) AS n_docs FROM sp WHERE split = 'train' GROUP BY label),
+cl AS (SELECT d.label, ln(d.n_docs / sum(d.n_docs) OVER ()) AS lp, coalesce(t.total_x, 0.0) AS total_x
+       FROM dc d LEFT JOIN (SELECT label, sum(sum_x) AS total_x FROM st GROUP BY label) t ON t.label = d.label),
+dt AS (SELECT x.row_id, s.label, sum(x.x * (ln(s.sum_x + 1.0) - ln(1.0))) AS dot
+       FROM xl x JOIN sp ON sp.row_id = x.row_id JOIN st s ON s.bucket = x.bucket
+       WHERE sp.split = 'test' GROUP BY x.row_id, s.label),
+sc AS (SELECT sp.row_id, sp.batch_no, sp.label AS actual, c.label AS cls,
+              c.lp + sp.sum_x * (ln(1.0) - ln(c.total_x + 1.0 * {n_features})) + coalesce(k.dot, 0.0) AS score
+       FROM sp CROSS JOIN cl c LEFT JOIN dt k ON k.row_id = sp.row_id AND k.label = c.label
+       WHERE sp.split = 'test'),
+pred AS (SELECT batch_no, actual, cls AS predicted FROM (
+           SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, cls ASC) AS rk FROM sc) z
+         WHERE rk = 1)
+SELECT batch_no, 'multinomial_nb' AS model, tp, fp, fn, tn,
+       CASE WHEN tp + fp + fn + tn > 0 THEN round((tp + tn) / (tp + fp + fn + tn), 6) ELSE 0.0 END AS accuracy,
+       CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall
+FROM (
+  SELECT batch_no,
+         CAST(sum(CASE WHEN actual = 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(sum(CASE WHEN actual = 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM pred GROUP BY batch_no) m"""
+
+
+def _token_cte() -> str:
+    return f""",
+tk AS (SELECT row_id, regexp_extract_all(lower(c0 || ' ' || c1), '{TOKEN_RE}') AS tokens FROM cleaned),
+dfreq AS (SELECT token, count(*) AS df FROM (SELECT row_id, unnest(list_distinct(tokens)) AS token FROM tk) u
+          GROUP BY token)"""
+
+
+def vocabulary_sql(size: int = 1000) -> str:
+    return _with_features() + _token_cte() + f"""
+SELECT token, df, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
+FROM dfreq ORDER BY df DESC, token LIMIT {size}"""
+
+
+def count_vectors_sql(size: int = 1000) -> str:
+    return _with_features() + _token_cte() + f""",
+voc AS (SELECT token, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
+        FROM dfreq ORDER BY df DESC, token LIMIT {size})
+SELECT u.row_id, v.index, count(*) AS cnt
+FROM (SELECT row_id, unnest(tokens) AS token FROM tk) u JOIN voc v ON v.token = u.token
+GROUP BY u.row_id, v.index"""
+
+
+def idf_sql() -> str:
+    return _with_features() + _token_cte() + """
+SELECT token, df, round(ln(((SELECT count(*) FROM cleaned) + 1) / (df + 1)), 6) AS idf FROM dfreq"""
+
+
+def lang4_accuracy_sql(n_features: int = DEFAULT_N_FEATURES) -> str:
+    base = "WITH " + feature_ctes(email_source("lang"), n_features).lstrip() + nb_state_ctes(1.0, n_features)
+    sel = lambda model, pred: f"""
+SELECT cycle, batch_no, '{model}' AS model, count(*) AS n,
+       round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM {pred} GROUP BY cycle, batch_no"""
+    return (base + mnb_score_ctes(1.0, n_features, "mnb_scores") + pred_cte("mnb_scores", "mnb_pred")
+            + bnb_score_ctes(1.0, n_features, "bnb_scores") + pred_cte("bnb_scores", "bnb_pred")
+            + sel("multinomial_nb", "mnb_pred") + "\nUNION ALL" + sel("bernoulli_nb", "bnb_pred"))

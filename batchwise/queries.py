@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import tokenize
-from .operators.evaluate import compare_models, metric_history, summary
-from .operators.features import assemble_vectors, class_list, hashing_tf_vectors, label_dictionary
+from .operators.evaluate import binary_metrics, compare_models, metric_history, multiclass_accuracy, summary
+from .operators.features import (assemble_vectors, class_list, hashing_tf_vectors, label_dictionary,
+                                 long_features)
+from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
+from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
 from .plans.classify import (BNB, CLASSIFIERS, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions,
                              nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
-from .plans.tasks import cleaned_emails, embedding_task, language_task, scheduled_emails
+from .plans.sweep import sweep_mnb_metrics
+from .plans.tasks import cleaned_emails, embedding_task, labels_task, language_task, scheduled_emails
 from .session import scratch_path
 from .sources.batches import batch_row_count
 from .sources.tables import email_rows, read_table
@@ -292,3 +296,79 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint")
     return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
                                     "recall")
+
+
+# --------------------------------------------------------------------------- batch-size sweep
+
+@register("batch_size_sweep", lambda: O.sweep_mnb_sql())
+def batch_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial NB under the reference's four batch schedules, one job."""
+    ensure_checkpoint_dir(spark)
+    return sweep_mnb_metrics(email_rows(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- X1-X3
+
+def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaned_emails(_language_batched(spark, sf_dir))
+    return cleaned.withColumn("tokens", tokenize(F.col("text")))
+
+
+@register("holdout_mnb_metrics", lambda: O.holdout_mnb_sql())
+def holdout_mnb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multinomial NB on a repeatable 67/33 hash split of all rows, metrics per batch."""
+    ensure_checkpoint_dir(spark)
+    prep = language_task(spark, sf_dir)
+    rows = holdout_split(prep.rows, 0.33)
+    train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
+    stats, docs = batch_statistics(long_features(train, ("label",)), train)
+    state = NBState(stats, docs, prep.n_classes, prep.n_features)
+    keep = ("batch_no", "label", "sum_x")
+    pred = mnb_predict(state, long_features(test, keep), keep).select(
+        "batch_no", F.col("label").alias("actual"), "predicted", F.lit(MNB).alias("model"))
+    return binary_metrics(pred, by=("batch_no", "model"))
+
+
+@register("vocabulary", lambda: O.vocabulary_sql(1000))
+def vocabulary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1000 tokens with the highest document frequency, indexed."""
+    return vocabulary(_language_tokens(spark, sf_dir), "tokens", 1000)
+
+
+@register("count_vectors", lambda: O.count_vectors_sql(1000))
+def count_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-row term counts over that vocabulary."""
+    toks = _language_tokens(spark, sf_dir)
+    return count_vectors(toks, vocabulary(toks, "tokens", 1000), 1000)
+
+
+@register("idf", lambda: O.idf_sql())
+def idf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse document frequency of every token."""
+    out = idf(_language_tokens(spark, sf_dir))
+    return out.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+# --------------------------------------------------------------------------- second and third tasks
+
+@register("quality_bnb_metrics", lambda: O.nb_metrics_sql(BNB, task="quality", n_features=4096))
+def quality_bnb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbalanced task (labels.quality, documents inner join labels), Bernoulli NB, 4096 buckets."""
+    ensure_checkpoint_dir(spark)
+    return nb_metrics(labels_task(spark, sf_dir, "quality"), BNB)
+
+
+@register("toxic_mnb_metrics", lambda: O.nb_metrics_sql(MNB, task="toxic", n_features=4096))
+def toxic_mnb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbalanced task (labels.toxic), multinomial NB, 4096 buckets."""
+    ensure_checkpoint_dir(spark)
+    return nb_metrics(labels_task(spark, sf_dir, "toxic"), MNB)
+
+
+@register("lang4_nb_accuracy", lambda: O.lang4_accuracy_sql())
+def lang4_nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-class variant (label = language): accuracy of both NB models per test batch."""
+    ensure_checkpoint_dir(spark)
+    prep = language_task(spark, sf_dir, label_mode="lang")
+    pred = nb_predictions(prep, MNB).unionByName(nb_predictions(prep, BNB))
+    return multiclass_accuracy(pred, by=("cycle", "batch_no", "model"))
