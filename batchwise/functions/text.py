@@ -76,41 +76,3 @@ def bucket_of(token: Column, n_features: int = DEFAULT_N_FEATURES, hash_name: st
     if hash_name == "xxhash64":
         return F.pmod(F.xxhash64(token), F.lit(n_features)).cast("int")
     raise ValueError(f"unknown hash {hash_name!r}")
-
-
-def with_bucket_counts(df: DataFrame, tokens: str, out: str = "bc", n_features: int = DEFAULT_N_FEATURES,
-                       hash_name: str = "md5") -> DataFrame:
-    """T6 without a shuffle: per row, sorted distinct buckets and their counts.
-
-    Adds ``out: struct<buckets: array<int>, counts: array<int>>``.  The bucket
-    array is sorted once, run ends are found by comparing neighbours, and run
-    lengths are the counts: O(n log n) inside the row, and the row never has
-    to meet its tokens again after an explode + group-by (no shuffle).
-
-    Each intermediate array is its own projection and is referenced more than
-    once, so Catalyst keeps it as a column instead of inlining it into the
-    lambdas (where it would be re-evaluated per element).
-    """
-    b, ends = f"_{out}_sorted", f"_{out}_ends"
-    df = df.withColumn(b, F.sort_array(F.transform(F.col(tokens), lambda t: bucket_of(t, n_features, hash_name))))
-    n = F.size(F.col(b))
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(ends, F.filter(positions, lambda i: (i == F.size(F.col(b)))
-                                      | (F.element_at(F.col(b), i) != F.try_element_at(F.col(b), i + 1))))
-    e = F.col(ends)
-    counts = F.transform(e, lambda x, j: x - F.when(j == 0, F.lit(0)).otherwise(F.element_at(e, j)))
-    buckets = F.transform(e, lambda x: F.element_at(F.col(b), x))
-    return df.withColumn(out, F.struct(buckets.alias("buckets"), counts.alias("counts"))).drop(b, ends)
-
-
-def with_l2_values(df: DataFrame, counts: str, out: str = "xs", norm_out: str | None = None) -> DataFrame:
-    """Scale a count array to unit Euclidean length (an empty row stays empty).
-
-    The norm is its own projection (referenced twice), so it is computed once
-    per row and not once per element inside the lambda.
-    """
-    norm = norm_out or f"_{out}_norm"
-    df = df.withColumn(norm, F.sqrt(F.aggregate(F.col(counts), F.lit(0.0).cast("double"),
-                                                lambda acc, c: acc + (c * c).cast("double"))))
-    df = df.withColumn(out, F.transform(F.col(counts), lambda c: c.cast("double") / F.col(norm)))
-    return df if norm_out else df.drop(norm)

@@ -1,0 +1,162 @@
+"""M1-M12 against brute force on small dense fixtures, MLlib cross-checks and invariants."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from batchwise.operators.features import dense_rows, long_features
+from batchwise.operators.kmeans import (KMeansState, cluster_alignment, kmeans_assign, kmeans_update,
+                                        silhouette_samples)
+from batchwise.operators.linear import INTERCEPT_DECAY, linear_init, linear_predict, linear_update
+from batchwise.operators.naive_bayes import NBState, batch_statistics, bnb_predict, mnb_predict, nb_update
+
+NF = 6
+X = np.array([
+    [1, 0, 2, 0, 0, 1],
+    [0, 1, 0, 0, 3, 0],
+    [2, 0, 1, 0, 0, 0],
+    [0, 2, 0, 1, 1, 0],
+    [1, 1, 0, 0, 0, 0],
+    [0, 0, 0, 0, 0, 0],   # an empty row
+    [0, 0, 1, 2, 2, 0],
+    [3, 0, 0, 0, 0, 1],
+], dtype=float)
+Y = np.array([0, 1, 0, 1, 0, 1, 1, 0])
+
+
+def _rows(spark, X, Y, ids=None):
+    ids = list(range(len(X))) if ids is None else ids
+    data = [(int(i), [float(v) for v in x], int(y)) for i, x, y in zip(ids, X, Y)]
+    df = spark.createDataFrame(data, "row_id long, vec array<double>, label int")
+    return dense_rows(df, "vec", ("label",))
+
+
+def _sparse_x(X):
+    # dense_rows keeps zeros as explicit entries; drop them so "present" means x > 0
+    return X
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    r = _rows(spark, X, Y)
+    # keep only non-zero entries, as hashed rows do
+    return r.withColumn("features", F.filter("features", lambda f: f["cnt"] != 0)).withColumn(
+        "nnz", F.size("features").cast("long")).cache()
+
+
+def _state(rows, k=2):
+    stats, docs = batch_statistics(long_features(rows, ("label",)), rows)
+    return NBState(stats, docs, k, NF)
+
+
+def test_mnb_matches_brute_force(rows):
+    state = _state(rows)
+    got = {r["row_id"]: r["scores"] for r in mnb_predict(state, long_features(rows, ("sum_x",)), ("sum_x",)).collect()}
+    for c in range(2):
+        pass
+    prior = np.log(np.bincount(Y) / len(Y))
+    fc = np.array([X[Y == c].sum(0) for c in range(2)]) + 1.0
+    logp = np.log(fc / fc.sum(1, keepdims=True))
+    want = X @ logp.T + prior
+    for i in range(len(X)):
+        assert got[i] == pytest.approx(list(want[i]), abs=1e-9)
+
+
+def test_bnb_matches_brute_force(rows):
+    state = _state(rows)
+    got = {r["row_id"]: r["scores"] for r in bnb_predict(state, long_features(rows, ("nnz",)), ("nnz",)).collect()}
+    B = (X > 0).astype(float)
+    prior = np.log(np.bincount(Y) / len(Y))
+    dc = np.bincount(Y).astype(float)
+    p = (np.array([B[Y == c].sum(0) for c in range(2)]) + 1.0) / (dc[:, None] + 2.0)
+    want = B @ (np.log(p) - np.log(1 - p)).T + np.log(1 - p).sum(1) + prior
+    for i in range(len(X)):
+        assert got[i] == pytest.approx(list(want[i]), abs=1e-9)
+
+
+def test_nb_state_is_order_free(rows):
+    a = rows.where("row_id < 4")
+    b = rows.where("row_id >= 4")
+    s1 = nb_update(nb_update(None, long_features(b, ("label",)), b, 2, NF), long_features(a, ("label",)), a, 2, NF)
+    s2 = _state(rows)
+    norm = lambda df: sorted((r["label"], r["bucket"], round(r["sum_x"], 12), r["n_present"]) for r in df.collect())
+    assert norm(s1.stats) == norm(s2.stats)
+    assert sorted(map(tuple, s1.docs.collect())) == sorted(map(tuple, s2.docs.collect()))
+
+
+def test_likelihoods_match_mllib(spark, rows):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(float(y), Vectors.dense(x)) for x, y in zip(X, Y)], ["label", "features"])
+    model = NaiveBayes(smoothing=1.0, modelType="multinomial").fit(df)
+    theta = model.theta.toArray()
+    st = {(r["label"], r["bucket"]): r["sum_x"] for r in _state(rows).stats.collect()}
+    for c in range(2):
+        tot = sum(v for (l, _), v in st.items() if l == c)
+        for f in range(NF):
+            assert theta[c, f] == pytest.approx(math.log((st.get((c, f), 0.0) + 1) / (tot + NF)), abs=1e-9)
+
+
+def test_linear_step_matches_formula(spark, rows):
+    lam = 0.1
+    st = linear_update(linear_init(spark, NF, lam), rows, write=False)
+    y = 2 * Y - 1
+    eta = 1 / (lam * 2)
+    w = eta / len(X) * (y[:, None] * X).sum(0)      # all rows violate at w = 0
+    b = INTERCEPT_DECAY * eta / len(X) * y.sum()
+    got = {r["bucket"]: r["w"] for r in st.weights.collect()}
+    assert [got.get(f, 0.0) for f in range(NF)] == pytest.approx(list(w), abs=1e-9)
+    assert st.bias == pytest.approx(b, abs=1e-12)
+    st2 = linear_update(st, rows, write=False)
+    margin = y * (X @ w + b)
+    v = margin < 1
+    eta2 = 1 / (lam * 3)
+    w2 = (1 - eta2 * lam) * w + eta2 / len(X) * (y[v, None] * X[v]).sum(0)
+    got2 = {r["bucket"]: r["w"] for r in st2.weights.collect()}
+    assert [got2.get(f, 0.0) for f in range(NF)] == pytest.approx(list(w2), abs=1e-9)
+    pred = {r["row_id"]: r["predicted"] for r in linear_predict(st2, rows, ("label",)).collect()}
+    b2 = st2.bias
+    assert [pred[i] for i in range(len(X))] == [int(s > 0) for s in X @ w2 + b2]
+
+
+def test_kmeans_step_is_weighted_mean(spark, rows):
+    c0 = np.array([X[0], X[1]])
+    centers = spark.createDataFrame([(j, f, float(c0[j, f])) for j in range(2) for f in range(NF) if c0[j, f]],
+                                    "cluster int, bucket int, c double")
+    st = KMeansState(centers, [3.0, 1.0], 2, NF)
+    d2 = ((X[:, None, :] - c0[None]) ** 2).sum(2)
+    lab = d2.argmin(1)
+    asg = {r["row_id"]: r["cluster"] for r in kmeans_assign(st, rows, ("sq_x",)).collect()}
+    assert [asg[i] for i in range(len(X))] == list(lab)
+    new = kmeans_update(st, rows, write=False)
+    want = np.array([(c0[j] * st.counts[j] + X[lab == j].sum(0)) / (st.counts[j] + (lab == j).sum())
+                     for j in range(2)])
+    got = np.zeros((2, NF))
+    for r in new.centers.collect():
+        got[r["cluster"], r["bucket"]] = r["c"]
+    assert np.allclose(got, want, atol=1e-12)
+    assert new.counts == [3.0 + (lab == 0).sum(), 1.0 + (lab == 1).sum()]
+
+
+def test_silhouette_matches_pairwise_brute_force(spark, rows):
+    lab = np.array([0, 1, 0, 1, 0, 1, 1, 0])
+    assigned = spark.createDataFrame([(i, 1, int(l)) for i, l in enumerate(lab)],
+                                     "row_id long, batch_no int, cluster int")
+    r = rows.withColumn("batch_no", F.lit(1))
+    got = {x["row_id"]: x["s"] for x in silhouette_samples(assigned, r, 2, NF, ("batch_no",)).collect()}
+    D = ((X[:, None, :] - X[None]) ** 2).sum(2)     # squared Euclidean, all pairs (small fixture only)
+    for i in range(len(X)):
+        own = lab == lab[i]
+        a = D[i, own].sum() / (own.sum() - 1)
+        b = D[i, ~own].mean()
+        s = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+        assert got[i] == pytest.approx(s, abs=1e-9)
+
+
+def test_cluster_alignment_majority_and_ties(spark):
+    df = spark.createDataFrame([(0, 3), (0, 3), (0, 1), (1, 2), (1, 5)], "cluster int, label int")
+    got = {r["cluster"]: r["aligned_label"] for r in cluster_alignment(df).collect()}
+    assert got == {0: 3, 1: 2}
