@@ -110,7 +110,8 @@ def kmeans_assign(state: KMeansState, rows: DataFrame, keep: Sequence[str], row_
 def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_id",
                   write: bool = True) -> KMeansState:
     """M8: one mini-batch step (assign with the current centers, then move)."""
-    asg = kmeans_assign(state, batch_rows, ("sq_x",), row_id).select(row_id, "cluster")
+    # one row per batch row, used twice (counts, sums): keep it for this step only
+    asg = kmeans_assign(state, batch_rows, ("sq_x",), row_id).select(row_id, "cluster").persist()
     got = {r["cluster"]: r["m"] for r in asg.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).collect()}
     m = [float(got.get(j, 0)) for j in range(state.k)]
     n = state.counts
@@ -128,6 +129,10 @@ def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_
     centers = old.unionByName(moved).groupBy("cluster", "bucket").agg(F.sum("v").alias("c"))
     if write:
         centers = materialize(centers, f"kmeans-c{state.steps + 1}")
+    else:
+        centers = centers.persist()
+        centers.count()
+    asg.unpersist()
     return KMeansState(centers, [n[j] + m[j] for j in range(state.k)], state.k, state.n_features, state.steps + 1)
 
 

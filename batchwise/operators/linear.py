@@ -64,11 +64,14 @@ def linear_update(state: LinearState, batch_rows: DataFrame, row_id: str = "row_
     y = (2 * F.col("label") - 1).cast("double")
     m = _margins(state, batch_rows, ("label",), row_id).withColumn("y", y)
     m = m.withColumn("margin", F.col("y") * (F.col("dot") + F.lit(state.bias)))
+    # one row per batch row, used twice (scalars, violators): keep it for this step only
+    m = m.select(row_id, "y", "margin").persist()
     viol = m.where(F.col("margin") < 1.0).select(row_id, "y")
     scal = m.agg(F.count(F.lit(1)).alias("n"),
                  F.coalesce(F.sum(F.when(F.col("margin") < 1.0, F.col("y"))), F.lit(0.0)).alias("sy")).first()
     n = int(scal["n"])
     if n == 0:
+        m.unpersist()
         return state
     step = eta / n
     grad = (
@@ -84,6 +87,10 @@ def linear_update(state: LinearState, batch_rows: DataFrame, row_id: str = "row_
     )
     if write:
         new_w = materialize(new_w, f"linear-w{t}")
+    else:
+        new_w = new_w.persist()
+        new_w.count()
+    m.unpersist()
     bias = state.bias + INTERCEPT_DECAY * step * float(scal["sy"])
     return LinearState(new_w, bias, t, state.n_features, state.lam)
 

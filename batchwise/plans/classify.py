@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import binary_metrics
 from ..operators.linear import DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_update
 from ..operators.naive_bayes import DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, mnb_predict
+from ..store import materialize
 from .tasks import SCORE_KEYS, Prepared
 
 MNB = "multinomial_nb"
@@ -31,7 +32,9 @@ def nb_state_through(prep: Prepared, cycle_no: int | None = None) -> NBState:
     if cycle_no is not None:
         train = train.where(F.col("cycle") <= cycle_no)
     stats, docs = batch_statistics(prep.long(train, ("label",)), train)
-    return NBState(stats, docs, prep.n_classes, prep.n_features)
+    # the state is small (<= k * n_features rows): write it once, every later
+    # use (class scalars, scoring joins) reads the table instead of re-aggregating
+    return NBState(materialize(stats, "nb-stats"), materialize(docs, "nb-docs"), prep.n_classes, prep.n_features)
 
 
 def nb_predictions(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
