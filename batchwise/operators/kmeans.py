@@ -62,19 +62,30 @@ def _unit_hash(row_id: str, seed: int, salt: int):
 def kmeans_init_plusplus(rows: DataFrame, k: int, n_features: int, seed: int = 42,
                          row_id: str = "row_id") -> KMeansState:
     """M7 (k-means++): first center = row with the smallest seeded hash; each
-    next center is drawn with probability proportional to d2 by an
-    exponential race (smallest -ln(u) / d2), a distributed min per step."""
-    keep = ("sq_x",)
-    first = rows.select(row_id, _unit_hash(row_id, seed, 0).alias("_u")).orderBy("_u").limit(1)
+    next center is drawn with probability proportional to d2 (distance to the
+    nearest chosen center) by an exponential race: the smallest -ln(u) / d2,
+    a distributed top-1 per step.  Each row keeps its running minimum d2, so
+    a step only measures the distance to the newest center."""
+    first = rows.select(row_id, _unit_hash(row_id, seed, 0).alias("_u")).orderBy("_u", row_id).limit(1)
     chosen = [first.first()[row_id]]
+    dmin = None
     for j in range(1, k):
-        st = _centers_from_ids(rows, chosen, n_features, row_id)
-        d = kmeans_assign(st, rows, keep, row_id)
-        key = -F.log(_unit_hash(row_id, seed, j)) / F.col("d2")
-        nxt = d.where(F.col("d2") > 0).select(row_id, key.alias("_key")).orderBy("_key", row_id).limit(1).collect()
-        if not nxt:
+        newest = _centers_from_ids(rows, chosen[-1:], n_features, row_id)
+        d = kmeans_assign(newest, rows, ("sq_x",), row_id).select(row_id, F.col("d2").alias("_d"))
+        nxt_min = d if dmin is None else dmin.join(d, row_id).select(
+            row_id, F.least(F.col("_dmin"), F.col("_d")).alias("_d"))
+        nxt_min = nxt_min.withColumnRenamed("_d", "_dmin").persist()
+        if dmin is not None:
+            dmin.unpersist()
+        dmin = nxt_min
+        key = -F.log(_unit_hash(row_id, seed, j)) / F.col("_dmin")
+        pick = (dmin.where(F.col("_dmin") > 0).select(row_id, key.alias("_key"))
+                .orderBy("_key", row_id).limit(1).collect())
+        if not pick:
             break
-        chosen.append(nxt[0][row_id])
+        chosen.append(pick[0][row_id])
+    if dmin is not None:
+        dmin.unpersist()
     return _centers_from_ids(rows, chosen, n_features, row_id, write=True)
 
 

@@ -372,3 +372,11 @@ def lang4_nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep = language_task(spark, sf_dir, label_mode="lang")
     pred = nb_predictions(prep, MNB).unionByName(nb_predictions(prep, BNB))
     return multiclass_accuracy(pred, by=("cycle", "batch_no", "model"))
+
+
+@register("kmeans_plusplus_report")
+def kmeans_plusplus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 (k-means++ by a seeded exponential race) -> M8, M10, M11 on the
+    embeddings, k = 10.  Seeded xxhash64 has no DuckDB twin: rows-only check."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10, init="kmeans++"))

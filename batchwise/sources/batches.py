@@ -6,7 +6,9 @@ Numbering rows 1..N in arrival order must not go through a window without
 1. range-partition on (order key, tie-break hash) and sort inside each
    partition; the tie-break splits a hot order value over many partitions;
 2. tag each row with its partition id and its position inside the partition,
-   and checkpoint, so every later use sees the same layout;
+   and write that as a parquet table in the shared checkpoint folder: the tags
+   become stored values, so every later use (and every recomputation after a
+   lost executor) sees the same layout;
 3. count rows per partition (one row per partition), turn the counts into
    offsets (a running sum over P rows, P = number of partitions), and
    broadcast that P-row table back;
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phases import cycle, phase
-from ..store import checkpointed
+from ..store import materialize
 
 
 def with_ordinals(df: DataFrame, order_col: str, out: str = "ord") -> DataFrame:
@@ -34,7 +36,7 @@ def with_ordinals(df: DataFrame, order_col: str, out: str = "ord") -> DataFrame:
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    ranged = checkpointed(ranged)
+    ranged = materialize(ranged, "ordinals")
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     # P rows only (one per partition): a single ordered window over them is cheap.
     running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -30,8 +30,3 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     path = scratch_path(spark, name)
     write_table(df, path, partition_by)
     return spark.read.parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): cuts lineage, survives executor loss."""
-    return df.checkpoint(eager=True)
