@@ -39,8 +39,12 @@ def hashed_rows(df: DataFrame, text: Column | str, keep: Sequence[str] = (), row
     tok = tok.select(*keys, F.when(F.col("_tok").isNotNull(), bucket_of(F.col("_tok"), n_features, hash_name))
                      .alias("bucket"))
     tok = tok.repartition(F.col(row_id))
-    per_bucket = tok.groupBy(*keys, "bucket").agg(F.count("bucket").alias("cnt"))
-    rows = per_bucket.groupBy(*keys).agg(
+    # keep columns are functions of the row: carried with first(), the grouping
+    # key stays (row_id[, bucket]) and both aggregates reuse the row_id partitioning
+    carried = [F.first(c).alias(c) for c in keep]
+    per_bucket = tok.groupBy(row_id, "bucket").agg(*carried, F.count("bucket").alias("cnt"))
+    rows = per_bucket.groupBy(row_id).agg(
+        *carried,
         F.sort_array(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "cnt"))))
         .cast(FEATURE_TYPE).alias("features"),
         F.sum("cnt").alias("n_tokens"),

@@ -43,7 +43,9 @@ def sparse_class_sums(long_rows: DataFrame, weights: DataFrame, n_classes: int,
         F.coalesce(F.sum(F.when(F.col("_cls") == F.lit(j), term)), F.lit(0.0)).alias(f"_dot{j}")
         for j in range(n_classes)
     ]
-    return joined.groupBy(row_id, *group, *keep).agg(*sums)
+    # keep columns are functions of the row: carried, not hashed into the exchange key
+    carried = [F.first(c).alias(c) for c in keep]
+    return joined.groupBy(row_id, *group).agg(*carried, *sums)
 
 
 def dots_array(n_classes: int) -> Column:

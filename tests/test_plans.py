@@ -48,4 +48,4 @@ def test_no_driver_collect_of_rows_in_operators():
         for m in re.finditer(r"\.collect\(\)", src):
             line = src[: m.start()].splitlines()[-1]
             assert any(w in line for w in ("per", "docs", "cluster", "got", "centers", "nxt", "asg", "scal",
-                                           "rows = {", "distinct")), (p, line)
+                                           "rows = {", "distinct", "limit(1)", "limit(k)")), (p, line)
