@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_N_FEATURES, UNICODE_WHITESPACE, clean_columns, concat_text
 from ..operators.features import class_values, dense_rows, encode_labels, hashed_rows, long_features
-from ..sources.batches import assign_batches, with_schedule
+from ..sources.batches import assign_batches, batch_table, with_schedule
 from ..sources.tables import email_rows, embedding_rows, labelled_email_rows
 from ..store import materialize
 
@@ -59,14 +59,18 @@ class Prepared:
         return [r[0] for r in self.rows.select("cycle").distinct().orderBy("cycle").collect()]
 
 
+def schedule_table(emails: DataFrame, schedule: Schedule = Schedule(), row_id: str = "row_id") -> DataFrame:
+    """S7 + E5 + E6, narrow: (row_id, ord, batch_no, phase, cycle)."""
+    narrow = batch_table(emails, row_id, n_batches=schedule.n_batches, row_id=row_id, ordinal="ord")
+    return with_schedule(narrow, schedule.n_train, schedule.n_total)
+
+
 def scheduled_emails(emails: DataFrame, schedule: Schedule = Schedule(),
                      classes: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """S7 + E5 + E6 + T8: email rows with label, batch_no, phase and cycle."""
+    """S7 + E5 + E6 + T8: email rows with label, ord, batch_no, phase and cycle."""
     classes = classes if classes is not None else class_values(emails, "feature2")
     labelled = encode_labels(emails, classes, "feature2", "label")
-    batched = with_schedule(assign_batches(labelled, "row_id", n_batches=schedule.n_batches, ordinal="ord"),
-                            schedule.n_train, schedule.n_total)
-    return batched, classes
+    return labelled.join(schedule_table(labelled, schedule), "row_id"), classes
 
 
 def cleaned_emails(batched: DataFrame, stopwords: Sequence[str] | None = None,
@@ -80,10 +84,19 @@ def prepare_email_task(emails: DataFrame, schedule: Schedule = Schedule(),
                        n_features: int = DEFAULT_N_FEATURES, hash_name: str = "md5",
                        stopwords: Sequence[str] | None = None, split_pattern: str = UNICODE_WHITESPACE,
                        classes: list[str] | None = None, write: bool = True) -> Prepared:
-    """Email rows (row_id, feature0, feature1, feature2) -> Prepared row table."""
-    batched, classes = scheduled_emails(emails, schedule, classes)
-    cleaned = cleaned_emails(batched, stopwords, split_pattern)
-    rows = hashed_rows(cleaned, "text", ROW_KEYS, n_features=n_features, hash_name=hash_name)
+    """Email rows (row_id, feature0, feature1, feature2) -> Prepared row table.
+
+    The text is cleaned and hashed without waiting for batch numbers (one
+    shuffle, by row_id); the narrow schedule table is then joined on row_id,
+    and since the hashed rows are already partitioned by row_id only the
+    narrow side moves.  The wide rows are never copied for numbering.
+    """
+    classes = classes if classes is not None else class_values(emails, "feature2")
+    labelled = encode_labels(emails, classes, "feature2", "label")
+    hashed = hashed_rows(cleaned_emails(labelled, stopwords, split_pattern), "text", ("label",),
+                         n_features=n_features, hash_name=hash_name)
+    sched = schedule_table(labelled, schedule).drop("ord")
+    rows = hashed.join(sched, "row_id")
     if write:
         rows = materialize(rows, "rows", partition_by=("batch_no",))
     return Prepared(rows, classes, n_features, schedule)

@@ -69,7 +69,7 @@ def test_phases_and_cycles(spark):
 
 def test_ordinals_dense_and_ordered(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"), F.col("id").alias("v"))
-    got = with_ordinals(df.repartition(5), "k").orderBy("ord").collect()
+    got = with_ordinals(df.repartition(5), "k", row_id="v").orderBy("ord").collect()
     assert [r["ord"] for r in got] == list(range(1, 1001))
     assert [r["k"] for r in got] == sorted(r["k"] for r in got)
 
@@ -79,7 +79,7 @@ def test_ordinals_with_a_hot_order_value(spark):
     n = 900
     df = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"),
                                   F.col("id").alias("v"))
-    got = with_ordinals(df, "k").collect()
+    got = with_ordinals(df, "k", row_id="v").collect()
     assert sorted(r["ord"] for r in got) == list(range(1, n + 1))
     by_ord = sorted(got, key=lambda r: r["ord"])
     assert [r["k"] for r in by_ord] == sorted(r["k"] for r in got)
