@@ -83,7 +83,7 @@ class ClassScalars:
 
 
 def class_scalars(state: NBState, alpha: float = DEFAULT_ALPHA) -> ClassScalars:
-    """Per-class scalars (k rows reach the driver; nothing per row or bucket)."""
+    """Per-class scalars in one small job (k rows reach the driver; nothing per row or bucket)."""
     k = state.n_classes
     d = broadcast_if_bounded(state.docs, k)
     per = (
@@ -95,13 +95,12 @@ def class_scalars(state: NBState, alpha: float = DEFAULT_ALPHA) -> ClassScalars:
             F.sum(F.log(1.0 - (F.col("n_present") + alpha) / (F.col("n_docs") + 2 * alpha))).alias("log1m"),
         )
     )
-    rows = {r["label"]: r for r in per.collect()}
-    docs = {r["label"]: r["n_docs"] for r in state.docs.collect()}
+    rows = {r["label"]: r for r in state.docs.join(per, "label", "left").collect()}
     return ClassScalars(
-        n_docs=[float(docs.get(j, 0)) for j in range(k)],
-        total_x=[float(rows[j]["total_x"]) if j in rows else 0.0 for j in range(k)],
-        seen=[int(rows[j]["seen"]) if j in rows else 0 for j in range(k)],
-        log1m_seen=[float(rows[j]["log1m"]) if j in rows else 0.0 for j in range(k)],
+        n_docs=[float(rows[j]["n_docs"]) if j in rows else 0.0 for j in range(k)],
+        total_x=[float(rows[j]["total_x"] or 0.0) if j in rows else 0.0 for j in range(k)],
+        seen=[int(rows[j]["seen"] or 0) if j in rows else 0 for j in range(k)],
+        log1m_seen=[float(rows[j]["log1m"] or 0.0) if j in rows else 0.0 for j in range(k)],
     )
 
 

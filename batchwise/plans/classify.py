@@ -60,7 +60,7 @@ def nb_metrics(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -
 
 def batch_numbers(prep: Prepared) -> list[int]:
     """Batch ordinals present, in order (scalars; the row table is partitioned by them)."""
-    return [r[0] for r in prep.rows.select("batch_no").distinct().orderBy("batch_no").collect()]
+    return prep.batches()
 
 
 def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearState, DataFrame]:

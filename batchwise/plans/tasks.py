@@ -8,6 +8,8 @@ lost executors, and lets per-batch jobs prune to one ``batch_no`` partition.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_N_FEATURES, UNICODE_WHITESPACE, clean_columns, concat_text
 from ..operators.features import class_values, dense_rows, encode_labels, hashed_rows, long_features
-from ..sources.batches import assign_batches, batch_table, with_schedule
+from ..sources.batches import assign_batches, batch_size_for, batch_table, with_schedule
 from ..sources.tables import email_rows, embedding_rows, labelled_email_rows
 from ..store import materialize
 
@@ -40,6 +42,7 @@ class Prepared:
     classes: list[str]              # sorted class list; label j = classes[j]
     n_features: int
     schedule: Schedule = field(default_factory=Schedule)
+    n_rows: int | None = None       # rows numbered (known from batching; saves a distinct job)
 
     @property
     def n_classes(self) -> int:
@@ -54,14 +57,24 @@ class Prepared:
     def test_rows(self) -> DataFrame:
         return self.rows.where(F.col("phase") == "test")
 
+    def batches(self) -> list[int]:
+        """Batch ordinals present, in order (arithmetic when the row count is known)."""
+        if self.n_rows is not None:
+            size = batch_size_for(self.n_rows, self.schedule.n_batches)
+            return list(range(1, math.ceil(self.n_rows / size) + 1)) if self.n_rows else []
+        return [r[0] for r in self.rows.select("batch_no").distinct().orderBy("batch_no").collect()]
+
     def cycles(self) -> list[int]:
-        """Cycle numbers present (a handful of scalars)."""
-        return [r[0] for r in self.rows.select("cycle").distinct().orderBy("cycle").collect()]
+        """Cycle numbers that hold test batches (a handful of scalars)."""
+        n_total, n_train = self.schedule.n_total, self.schedule.n_train
+        return sorted({(b - 1) // n_total + 1 for b in self.batches() if (b - 1) % n_total >= n_train})
 
 
-def schedule_table(emails: DataFrame, schedule: Schedule = Schedule(), row_id: str = "row_id") -> DataFrame:
+def schedule_table(emails: DataFrame, schedule: Schedule = Schedule(), row_id: str = "row_id",
+                   n_rows: int | None = None) -> DataFrame:
     """S7 + E5 + E6, narrow: (row_id, ord, batch_no, phase, cycle)."""
-    narrow = batch_table(emails, row_id, n_batches=schedule.n_batches, row_id=row_id, ordinal="ord")
+    n = emails.count() if n_rows is None else n_rows
+    narrow = batch_table(emails, row_id, size=batch_size_for(n, schedule.n_batches), row_id=row_id, ordinal="ord")
     return with_schedule(narrow, schedule.n_train, schedule.n_total)
 
 
@@ -95,11 +108,12 @@ def prepare_email_task(emails: DataFrame, schedule: Schedule = Schedule(),
     labelled = encode_labels(emails, classes, "feature2", "label")
     hashed = hashed_rows(cleaned_emails(labelled, stopwords, split_pattern), "text", ("label",),
                          n_features=n_features, hash_name=hash_name)
-    sched = schedule_table(labelled, schedule).drop("ord")
+    n_rows = labelled.count()
+    sched = schedule_table(labelled, schedule, n_rows=n_rows).drop("ord")
     rows = hashed.join(sched, "row_id")
     if write:
         rows = materialize(rows, "rows", partition_by=("batch_no",))
-    return Prepared(rows, classes, n_features, schedule)
+    return Prepared(rows, classes, n_features, schedule, n_rows)
 
 
 def language_task(spark: SparkSession, sf_dir: str, schedule: Schedule = Schedule(),
@@ -117,11 +131,12 @@ def labels_task(spark: SparkSession, sf_dir: str, target: str = "quality", sched
 def embedding_task(spark: SparkSession, sf_dir: str, schedule: Schedule = Schedule(), write: bool = True) -> Prepared:
     """Dense task: embeddings (64 dims) with their 0-9 labels, bucket = dimension."""
     emb = embedding_rows(spark, sf_dir)
-    batched = with_schedule(assign_batches(emb, "row_id", n_batches=schedule.n_batches),
+    n_rows = emb.count()
+    batched = with_schedule(assign_batches(emb, "row_id", size=batch_size_for(n_rows, schedule.n_batches)),
                             schedule.n_train, schedule.n_total)
     rows = dense_rows(batched, "vec", ROW_KEYS)  # label here is the given 0..9 int
     if write:
         rows = materialize(rows, "emb-rows", partition_by=("batch_no",))
     stats = rows.agg(F.max("nnz").alias("dims"), F.max("label").alias("top")).first()
     classes = [str(i) for i in range(int(stats["top"]) + 1)]
-    return Prepared(rows, classes, int(stats["dims"]), schedule)
+    return Prepared(rows, classes, int(stats["dims"]), schedule, n_rows)

@@ -29,4 +29,5 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     spark = df.sparkSession
     path = scratch_path(spark, name)
     write_table(df, path, partition_by)
-    return spark.read.parquet(path)
+    # the schema is known: no inference pass over the written files
+    return spark.read.schema(df.schema).parquet(path)
