@@ -160,3 +160,19 @@ def test_cluster_alignment_majority_and_ties(spark):
     df = spark.createDataFrame([(0, 3), (0, 3), (0, 1), (1, 2), (1, 5)], "cluster int, label int")
     got = {r["cluster"]: r["aligned_label"] for r in cluster_alignment(df).collect()}
     assert got == {0: 3, 1: 2}
+
+
+def test_bernoulli_likelihoods_match_mllib(spark, rows):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.linalg import Vectors
+
+    B = (X > 0).astype(float)
+    df = spark.createDataFrame([(float(y), Vectors.dense(x)) for x, y in zip(B, Y)], ["label", "features"])
+    theta = NaiveBayes(smoothing=1.0, modelType="bernoulli").fit(df).theta.toArray()
+    st = _state(rows)
+    present = {(r["label"], r["bucket"]): r["n_present"] for r in st.stats.collect()}
+    docs = {r["label"]: r["n_docs"] for r in st.docs.collect()}
+    for c in range(2):
+        for f in range(NF):
+            p = (present.get((c, f), 0) + 1.0) / (docs[c] + 2.0)
+            assert theta[c, f] == pytest.approx(math.log(p), abs=1e-9)

@@ -47,3 +47,22 @@ def test_incomplete_batch_waits(spark):
         assert learner.progress() is None
     learner(lines.where("batch_no = 1").select("value"), 1)
     assert learner.progress()["batch_no"] == 1
+
+
+def test_restarted_learner_resumes_from_tables(spark):
+    lines, classes = _lines(spark)
+    root = scratch_path(spark, "stream-restart")
+    first = StreamLearner(spark, root, classes, Schedule(4, 3, 4))
+    for b in (1, 2):
+        first(lines.where(F.col("batch_no") == b).select("value"), b)
+    assert first.progress()["batch_no"] == 2
+    # a new driver process: only the tables under root survive
+    second = StreamLearner(spark, root, classes, Schedule(4, 3, 4))
+    for b in (3, 4):
+        second(lines.where(F.col("batch_no") == b).select("value"), b)
+    fresh = StreamLearner(spark, scratch_path(spark, "stream-once"), classes, Schedule(4, 3, 4))
+    for b in (1, 2, 3, 4):
+        fresh(lines.where(F.col("batch_no") == b).select("value"), b)
+    cols = ["batch_no", "model", "tp", "fp", "fn", "tn"]
+    assert sorted(map(tuple, second.metrics().select(*cols).collect())) == \
+        sorted(map(tuple, fresh.metrics().select(*cols).collect()))
