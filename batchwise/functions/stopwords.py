@@ -13,13 +13,7 @@ import glob
 import os
 import zipfile
 
-# The one-character tokens the reference's noise filter drops
-# besides the stop words (28 punctuation marks, then the 10 digits).
-NOISE_SYMBOLS = (
-    "!", "(", ")", "-", "[", "]", "{", "}", ";", ":", "'", '"', "\\", "<", ">",
-    ".", ",", "/", "?", "@", "#", "$", "%", "^", "&", "*", "_", "~",
-    "1", "2", "3", "4", "5", "6", "7", "8", "9", "0",
-)
+from ..fixed import NOISE_SYMBOLS
 
 _RESOURCE = "org/apache/spark/ml/feature/stopwords/{language}.txt"
 

@@ -18,10 +18,7 @@ from .stopwords import stopword_set
 UNICODE_WHITESPACE = r"(?U)\s+"
 ASCII_WHITESPACE = r"\s+"
 
-# Maximal runs of at least two word characters (letters, digits, underscore).
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-
-DEFAULT_N_FEATURES = 1 << 20
+from ..fixed import DEFAULT_N_FEATURES, TOKEN_PATTERN  # noqa: E402,F401
 
 
 def _col(c: Column | str) -> Column:

@@ -28,11 +28,7 @@ from ..store import materialize
 from .features import long_features
 from .scoring import sparse_class_sums
 
-DEFAULT_LAMBDA = 1e-4
-# Fixed value: scale of the intercept step for sparse input (a linear-model
-# library default for sparse data; it keeps the unregularised bias from
-# swinging with the large early steps).
-INTERCEPT_DECAY = 0.01
+from ..fixed import DEFAULT_LAMBDA, INTERCEPT_DECAY  # noqa: E402
 
 
 @dataclass

@@ -37,7 +37,7 @@ from ..functions.text import DEFAULT_N_FEATURES
 from .joins import broadcast_if_bounded
 from .scoring import argmax, dots_array, drop_dots, sparse_class_sums
 
-DEFAULT_ALPHA = 1.0
+from ..fixed import DEFAULT_ALPHA  # noqa: E402
 
 
 @dataclass

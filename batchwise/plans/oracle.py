@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from ..functions.stopwords import stopword_set
 from ..functions.text import DEFAULT_N_FEATURES
 
-TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+from ..fixed import REFERENCE_PLANS, TOKEN_PATTERN as TOKEN_RE  # noqa: E402
 
 
 def sql_list(values: Sequence[str]) -> str:
@@ -513,8 +513,7 @@ def stream_metrics_sql() -> str:
     return all_metrics_ctes() + "\nSELECT * FROM metrics"
 
 
-def sweep_mnb_sql(plans=(("size100", 303, 336), ("size500", 60, 66), ("size1000", 30, 33), ("size1500", 20, 22)),
-                  n_features: int = DEFAULT_N_FEATURES) -> str:
+def sweep_mnb_sql(plans=REFERENCE_PLANS, n_features: int = DEFAULT_N_FEATURES) -> str:
     values = ", ".join(f"('{p}', {t}, {n})" for p, t, n in plans)
     return ("WITH " + feature_ctes(email_source(), n_features, 1, 1, 1).lstrip() + f""",
 plans AS (SELECT * FROM (VALUES {values}) v(plan, n_train, n_total)),

@@ -293,7 +293,7 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, classes = _wire_lines(spark, sf_dir)
     write_stream_files(lines, f"{root}/in")
     learner = StreamLearner(spark, f"{root}/state", classes)
-    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint")
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow")
     return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
                                     "recall")
 

@@ -66,3 +66,19 @@ def test_restarted_learner_resumes_from_tables(spark):
     cols = ["batch_no", "model", "tp", "fp", "fn", "tn"]
     assert sorted(map(tuple, second.metrics().select(*cols).collect())) == \
         sorted(map(tuple, fresh.metrics().select(*cols).collect()))
+
+
+def test_processing_time_trigger_runs_the_file_stream(spark):
+    from batchwise.streaming.learner import run_stream, write_stream_files
+
+    lines, classes = _lines(spark)
+    root = scratch_path(spark, "stream-trigger")
+    write_stream_files(lines, f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", classes, Schedule(4, 3, 4))
+    query = run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert learner.progress()["batch_no"] == 4
+    assert learner.metrics().count() == 3
