@@ -25,6 +25,20 @@ CLASSIFIERS = (MNB, LINEAR, BNB)
 
 _PREDICTORS = {MNB: mnb_predict, BNB: bnb_predict}
 
+NB_PRED_SCHEMA = ("row_id bigint, batch_no int, cycle int, actual int, predicted int, scores array<double>, "
+                  "model string")
+LINEAR_PRED_SCHEMA = "row_id bigint, batch_no int, cycle int, actual int, predicted int, score double, model string"
+
+
+def union_all(parts: list[DataFrame], spark, empty_schema: str) -> DataFrame:
+    """Union of per-batch parts; a typed empty frame when a schedule has no such batch."""
+    if not parts:
+        return spark.createDataFrame([], empty_schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
 def nb_state_through(prep: Prepared, cycle_no: int | None = None) -> NBState:
     """NB state from all training rows of cycles <= cycle_no (all when None)."""
@@ -47,10 +61,7 @@ def nb_predictions(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPH
         scored = predict(state, prep.long(test, SCORE_KEYS), SCORE_KEYS, alpha)
         parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
                                    "scores", F.lit(model).alias("model")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts, prep.rows.sparkSession, NB_PRED_SCHEMA)
 
 
 def nb_metrics(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
@@ -77,10 +88,7 @@ def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearSt
             scored = linear_predict(state, batch, ("batch_no", "cycle", "label"))
             parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
                                        "score", F.lit(LINEAR).alias("model")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return state, out
+    return state, union_all(parts, prep.rows.sparkSession, LINEAR_PRED_SCHEMA)
 
 
 def linear_metrics(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> DataFrame:

@@ -176,3 +176,13 @@ def test_bernoulli_likelihoods_match_mllib(spark, rows):
         for f in range(NF):
             p = (present.get((c, f), 0) + 1.0) / (docs[c] + 2.0)
             assert theta[c, f] == pytest.approx(math.log(p), abs=1e-9)
+
+
+def test_schedule_without_test_batches_gives_empty_results(spark):
+    from batchwise.plans.classify import MNB, linear_metrics, nb_metrics
+    from batchwise.plans.tasks import Schedule, language_task
+    from tests.conftest import SF_SMALL
+
+    prep = language_task(spark, SF_SMALL, Schedule(4, 4, 4))   # every batch trains
+    assert nb_metrics(prep, MNB).count() == 0
+    assert linear_metrics(prep).count() == 0
