@@ -1 +1 @@
-"""Package part."""
+"""Column expressions: text cleaning, tokenizing, hashing, stop words, schedule predicates."""

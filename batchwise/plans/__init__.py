@@ -1 +1 @@
-"""Package part."""
+"""End-to-end runs composed from the operators, and the DuckDB oracle SQL."""

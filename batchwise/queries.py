@@ -20,7 +20,7 @@ from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
 from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
-from .plans.classify import (BNB, CLASSIFIERS, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions,
+from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions,
                              nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
 from .plans.sweep import sweep_mnb_metrics
@@ -380,3 +380,30 @@ def kmeans_plusplus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings, k = 10.  Seeded xxhash64 has no DuckDB twin: rows-only check."""
     ensure_checkpoint_dir(spark)
     return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10, init="kmeans++"))
+
+
+@register("stream_kmeans_metrics", lambda: O.kmeans_metrics_sql(k=2))
+def stream_kmeans_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1-S3 for the clustering run: the file stream learned by mini-batch
+    k-means inside foreachBatch (centers versioned per batch); raw-id metrics
+    on the test batches.  Equals the replay's kmeans_metrics."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-kmeans")
+    lines, classes = _wire_lines(spark, sf_dir)
+    write_stream_files(lines, f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", classes, models=(KMEANS,), k=2)
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow")
+    return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
+                                    "recall")
+
+
+@register("stream_kmeans_report", lambda: O.kmeans_train_report_sql(k=2))
+def stream_kmeans_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + M11 per training batch, produced by the streaming k-means learner."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-kmeans-report")
+    lines, classes = _wire_lines(spark, sf_dir)
+    write_stream_files(lines, f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", classes, models=(KMEANS,), k=2)
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow")
+    return learner.cluster_report().select("batch_no", "n_rows", "inertia", "silhouette")

@@ -1 +1 @@
-"""Package part."""
+"""Structured Streaming: the file-stream learner with table-held state."""

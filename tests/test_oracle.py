@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB oracle on sf0.001 (the driver's
 gate runs the same comparison at sf0.01; scripts/check_oracle.py runs it locally)."""
 
-import os
 
 import pytest
 
