@@ -12,14 +12,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_N_FEATURES, TOKEN_PATTERN  # noqa: F401 (re-exported)
 from .stopwords import stopword_set
 
 # Python's ``str.split()`` splits on Unicode white space; Java needs (?U) for it.
 UNICODE_WHITESPACE = r"(?U)\s+"
 ASCII_WHITESPACE = r"\s+"
 
-from ..fixed import DEFAULT_N_FEATURES, TOKEN_PATTERN  # noqa: E402,F401
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -24,12 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_LAMBDA, INTERCEPT_DECAY
 from ..store import materialize
 from .features import long_features
 from .scoring import sparse_class_sums
 
-from ..fixed import DEFAULT_LAMBDA, INTERCEPT_DECAY  # noqa: E402
-
 
 @dataclass
 class LinearState:

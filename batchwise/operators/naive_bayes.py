@@ -33,12 +33,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_ALPHA
 from ..functions.text import DEFAULT_N_FEATURES
 from .joins import broadcast_if_bounded
 from .scoring import argmax, dots_array, drop_dots, sparse_class_sums
 
-from ..fixed import DEFAULT_ALPHA  # noqa: E402
-
 
 @dataclass
 class NBState:

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from ..fixed import REFERENCE_PLANS, TOKEN_PATTERN as TOKEN_RE
 from ..functions.stopwords import stopword_set
 from ..functions.text import DEFAULT_N_FEATURES
 
-from ..fixed import REFERENCE_PLANS, TOKEN_PATTERN as TOKEN_RE  # noqa: E402
-
 
 def sql_list(values: Sequence[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
