@@ -122,11 +122,12 @@ def assemble_vectors(rows: DataFrame, n_features: int = DEFAULT_N_FEATURES, row_
 
     Only for handing data to an MLlib consumer; all our own operators work on
     the long table.  Index and value arrays are built JVM-side; a small
-    per-row helper only wraps them into the vector type.
+    helper only wraps them into the vector type, with rows moving in Arrow
+    batches (not pickled one by one).
     """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def to_vec(size, indices, values):
         return SparseVector(size, indices, values)
 

@@ -38,7 +38,7 @@ def test_every_query_has_a_callable():
 
 
 # no registered query may pair rows (cartesian / nested-loop joins) or run
-# Python per row, except the MLlib vector boundary
+# Python, except the Arrow-batched MLlib vector boundary
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 PYTHON_BOUNDARY = {"feature_vectors"}
 
@@ -48,7 +48,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = [tuple(_norm(x) for x in r) for r in df.collect()]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    allowed = ("BatchEvalPython",) if name in PYTHON_BOUNDARY else ()
+    allowed = ("ArrowEvalPython",) if name in PYTHON_BOUNDARY else ()
     assert [n for n in FORBIDDEN if n in plan and n not in allowed] == []
     if name not in SQL:
         assert len(got) > 0
