@@ -15,8 +15,8 @@ NAMES = sorted(E.queries())
 def _norm(v):
     if isinstance(v, float):
         return round(v, 9)
-    if hasattr(v, "toArray"):
-        return tuple(round(float(x), 9) for x in v.toArray())
+    if hasattr(v, "indices") and hasattr(v, "values"):   # SparseVector: compare sparsely
+        return (v.size, tuple(int(i) for i in v.indices), tuple(round(float(x), 9) for x in v.values))
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
