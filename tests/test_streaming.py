@@ -82,3 +82,17 @@ def test_processing_time_trigger_runs_the_file_stream(spark):
         query.stop()
     assert learner.progress()["batch_no"] == 4
     assert learner.metrics().count() == 3
+
+
+def test_restart_completes_a_half_landed_batch(spark):
+    lines, classes = _lines(spark)
+    n_lines = lines.where("batch_no = 1").count()
+    assert n_lines > 1
+    root = scratch_path(spark, "stream-half")
+    first = StreamLearner(spark, root, classes, Schedule(4, 3, 4))
+    first(lines.where("batch_no = 1 AND line_no = 0").select("value"), 0)
+    assert first.progress() is None
+    # a new driver: line 0 is only known from the landing table
+    second = StreamLearner(spark, root, classes, Schedule(4, 3, 4))
+    second(lines.where("batch_no = 1 AND line_no > 0").select("value"), 1)
+    assert second.progress()["batch_no"] == 1
