@@ -38,6 +38,7 @@ class KMeansState:
     k: int
     n_features: int
     steps: int = 0
+    norms: list[float] | None = None   # |c|^2 per cluster, computed once per center version
 
 
 def _lit_array(values: Sequence[float]):
@@ -100,10 +101,12 @@ def _centers_from_ids(rows: DataFrame, ids: list, n_features: int, row_id: str,
 
 
 def center_norms(state: KMeansState) -> list[float]:
-    """|c|^2 per cluster (k scalars)."""
-    got = {r["cluster"]: r["cn"] for r in
-           state.centers.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("cn")).collect()}
-    return [float(got.get(j, 0.0) or 0.0) for j in range(state.k)]
+    """|c|^2 per cluster (k scalars), computed once per center version."""
+    if state.norms is None:
+        got = {r["cluster"]: r["cn"] for r in
+               state.centers.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("cn")).collect()}
+        state.norms = [float(got.get(j, 0.0) or 0.0) for j in range(state.k)]
+    return state.norms
 
 
 def kmeans_assign(state: KMeansState, rows: DataFrame, keep: Sequence[str], row_id: str = "row_id",
