@@ -1,45 +1,20 @@
 """T2 ``stopword_set``: the word list the noise filter removes.
 
-The base list is a parameter.  By default it is the stop-word list that ships
-inside Spark's own MLlib jar (the one ``StopWordsRemover`` loads), read
-straight from the jar so that no JVM is needed (the DuckDB oracle SQL is built
-from the same list).  Callers can pass any other list.
+The base list is a parameter; by default it is the plain English list in
+``fixed.py``, so neither the queries nor the oracle SQL need a file, a jar or
+a JVM.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
+from ..fixed import ENGLISH_STOPWORDS, NOISE_SYMBOLS
 
-from ..fixed import NOISE_SYMBOLS
 
-_RESOURCE = "org/apache/spark/ml/feature/stopwords/{language}.txt"
-
-
-def _mllib_jar() -> str:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    return sorted(jars)[0]
-
-
-@functools.lru_cache(maxsize=None)
-def base_stopwords(language: str = "english") -> tuple[str, ...]:
-    """Spark MLlib's default stop words for ``language``, in file order."""
-    with zipfile.ZipFile(_mllib_jar()) as jar:
-        raw = jar.read(_RESOURCE.format(language=language)).decode("utf-8")
-    return tuple(w.strip() for w in raw.splitlines() if w.strip())
-
-
-def stopword_set(language: str = "english", words: tuple[str, ...] | list[str] | None = None,
+def stopword_set(words: tuple[str, ...] | list[str] | None = None,
                  symbols: tuple[str, ...] | list[str] = NOISE_SYMBOLS) -> tuple[str, ...]:
     """Lower-case words to drop: base list (or ``words``) plus the symbols.
 
     Sorted and de-duplicated so the literal ``IN`` list is stable.
     """
-    base = base_stopwords(language) if words is None else tuple(words)
+    base = ENGLISH_STOPWORDS if words is None else tuple(words)
     return tuple(sorted({w.lower() for w in base} | set(symbols)))

@@ -8,7 +8,7 @@ the setting is unset, which is the case in local tests.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -43,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The value of ``spark.checkpoint.dir`` wins.  If the SparkContext already
     has a checkpoint folder (set by the application) that one is used.  Only
-    when neither is present (local tests) a fresh folder is made.
+    when neither is present and the master is local (tests) a fresh folder is
+    made; on a cluster an unset folder is an error, because executors would
+    write to their own disks and read back a part.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get(CHECKPOINT_KEY, None)
@@ -58,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="batchwise-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -72,16 +76,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/batchwise/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def local_os_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def makedirs_if_local(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_os_path(path), exist_ok=True)

@@ -5,11 +5,12 @@ gate runs the same comparison at sf0.01; scripts/check_oracle.py runs it locally
 import pytest
 
 import __spark_entry__ as E
+from batchwise import queries as Q
 from tests.conftest import SF_SMALL
 
 TABLES = ("documents", "labels", "embeddings", "pages")
-SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+SQL = Q.oracle_sql()
+NAMES = sorted(Q.QUERIES)
 
 
 def _norm(v):
@@ -45,7 +46,7 @@ PYTHON_BOUNDARY = {"feature_vectors"}
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = Q.QUERIES[name](spark, SF_SMALL)
     got = [tuple(_norm(x) for x in r) for r in df.collect()]
     plan = df._jdf.queryExecution().executedPlan().toString()
     allowed = ("ArrowEvalPython",) if name in PYTHON_BOUNDARY else ()
