@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from batchwise.functions.stopwords import NOISE_SYMBOLS, base_stopwords, stopword_set
+from batchwise.fixed import ENGLISH_STOPWORDS, NOISE_SYMBOLS
+from batchwise.functions.stopwords import stopword_set
 from batchwise.functions.text import bucket_of, concat_text, strip_noise_tokens, tokenize
 
 STOP = stopword_set(words=["the", "is", "at"])
@@ -33,7 +34,7 @@ def test_symbol_list_is_fixed():
 
 
 def test_default_stopwords_come_from_spark():
-    words = base_stopwords("english")
+    words = ENGLISH_STOPWORDS
     assert "the" in words and "and" in words and len(words) > 100
     full = stopword_set()
     assert set(NOISE_SYMBOLS) <= set(full)
