@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .parameters import LISTED_DOMAINS, URL_RULES
+from .simhash import simhash_dedup
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@register("op5_simhash_dedup")
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 @register("op6_line_dedup", O.line_dedup_sql)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
