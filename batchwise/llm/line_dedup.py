@@ -10,8 +10,9 @@ How: (1) equal forms are grouped by two 64-bit hashes, the earliest occurrence
 stands for the form.  (2) Of two forms at distance 1 one half must be equal, so
 only forms that share a half with another go on: an exact test that spares most
 lines the next step.  (3) Each such form emits its deletion neighbourhood as
-hashed keys: the form without word i, with i (a replacement gives equal keys)
-and without i (an insertion gives the key of the shorter form).  (4) Equal keys
+hashed keys: the form without its word i (where two forms differ in one word,
+these are equal) and, for forms that differ by one word more, the same as a gap
+in the shorter form.  (4) Equal keys
 are joined, each row with the earliest member of its key only, so a template
 that thousands of lines share makes thousands of rows and not their square.
 (5) The edit distance of each pair is verified on the words.
@@ -25,7 +26,7 @@ replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import materialize
@@ -43,7 +44,10 @@ def _has_words(line: Column, n: int) -> Column:
 
 
 def _form(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, f"{SPACE_CLASS}+", " "))
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, F.trim(F.regexp_replace(line, f"{SPACE_CLASS}+", " "))).otherwise(line)
 
 
 def _first(form: Column, n: Column) -> Column:
@@ -98,24 +102,14 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     texts = (texts.select("rid", "line_no", _form(F.col("line")).alias("form"))
              .withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64("form", F.lit(2))})
              .join(some, ["h1", "h2", "rid", "line_no"]).dropDuplicates(["h1", "h2"])
-             .select("h1", "h2", F.struct(*POSITION).alias("pos"), "form", F.size(F.split("form", " ")).alias("n")))
+             .select(F.monotonically_increasing_id().alias("no"), "h1", "h2", F.struct(*POSITION).alias("pos"), "form"))
     texts = materialize(texts, "line-texts")
+    places = texts.select("no", "pos")
 
-    cut = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    left, right = _first(F.col("form"), F.col("i")), _last(F.col("form"), F.col("n") - 1 - F.col("i"))
-    variant = F.when(F.col("i") == 0, right).when(F.col("i") == F.col("n") - 1, left).otherwise(
-        F.concat(left, F.lit(" "), right))
-    cut = cut.withColumn("variant", variant).select(
-        "h1", "h2", "pos", "form", F.explode(F.array(
-            F.struct(F.xxhash64("variant", "i").alias("key"), F.lit("replaced").alias("role")),
-            F.struct(F.xxhash64("variant", F.lit(-1)).alias("key"), F.lit("longer").alias("role")))).alias("k"))
-    whole = texts.select("h1", "h2", "pos", "form", F.struct(
-        F.xxhash64("form", F.lit(-1)).alias("key"), F.lit("shorter").alias("role")).alias("k"))
-    variants = cut.unionByName(whole).select("h1", "h2", "pos", "form", "k.key", "k.role")
-
-    meet = materialize(only_repeated(variants, "key"), "line-variants")
+    meet = materialize(only_repeated(materialize(neighbourhood(texts), "line-keys"), "key").join(places, "no"),
+                       "line-meet")
     longer = F.col("role") == "longer"
-    entry = F.struct("pos", "form")
+    entry = F.struct("pos", "no")
     groups = meet.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.when(~longer, entry)).alias("lead"),
         F.min(F.when(longer, entry)).alias("lead_longer")).where("members > 1")
@@ -123,8 +117,44 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     pairs = join_groups(meet, groups, ["key"], "members", meet.count())
     # a replaced word meets replaced ones, a shorter line meets longer ones, and the other way round
     lead = F.when(F.col("role") == "shorter", F.col("lead_longer")).otherwise(F.col("lead"))
-    pairs = pairs.withColumn("lead", lead).where("lead.pos < pos").where(alike(F.col("form"), F.col("lead.form")))
-    return pairs.select("h1", "h2", "pos.*").dropDuplicates(["h1", "h2"])
+    pairs = (pairs.withColumn("lead", lead).where("lead.pos < pos")
+             .select("no", F.col("lead.no").alias("lead")).distinct())
+    # the earliest member of a key may lead many lines: its form is joined by its number of pairs
+    leads = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("led"))
+    leads = materialize(leads.join(texts.select(F.col("no").alias("lead"), F.col("form").alias("lead_form")), "lead"),
+                        "line-leads")
+    pairs = materialize(pairs, "line-pairs")
+    pairs = join_groups(pairs, leads, ["lead"], "led", pairs.count()).join(texts, "no")
+    return pairs.where(alike(F.col("form"), F.col("lead_form"))).select("h1", "h2", "pos.*").dropDuplicates(["h1", "h2"])
+
+
+def neighbourhood(texts: DataFrame) -> DataFrame:
+    """The deletion neighbourhood of each form: rows (no, role, key), in time linear in the words.
+
+    A variant is the words before a place and the words after it.  Both are
+    hashed as sums over words with their places (from the left, from the right),
+    so running sums give every variant of a form in one pass.
+    """
+    words = texts.select("no", F.size(F.split("form", " ")).alias("n"), F.posexplode(F.split("form", " ")).alias("i", "w"))
+    narrow = F.lit((1 << 40) - 1)
+    before = F.xxhash64("w", "i").bitwiseAND(narrow)
+    after = F.xxhash64("w", F.col("i") - F.col("n")).bitwiseAND(narrow)
+    words = words.select("no", "n", "i", before.alias("left"), after.alias("right"))
+    line = Window.partitionBy("no")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = words.withColumns({"lefts": F.sum("left").over(upto), "all_right": F.sum("right").over(line),
+                              "rights": F.sum("right").over(upto)})
+    left, right = F.col("lefts") - F.col("left"), F.col("all_right") - F.col("rights")
+
+    def variant(role: str, kind: str, n: Column, i: Column, before: Column, after: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(kind), n, i, before, after).alias("key"))
+
+    n, i = F.col("n"), F.col("i")
+    kinds = [variant("replaced", "word", n, i, left, right), variant("longer", "gap", n - 1, i, left, right),
+             variant("shorter", "gap", n, i, left, right + F.col("right"))]
+    end = variant("shorter", "gap", n, n, F.col("lefts"), F.lit(0).cast("long"))
+    return sums.select("no", F.explode(F.when(i == n - 1, F.array(*kinds, end)).otherwise(F.array(*kinds))).alias("k")).select(
+        "no", "k.role", "k.key")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
