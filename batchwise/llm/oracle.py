@@ -4,12 +4,69 @@ from __future__ import annotations
 
 from .line_dedup import MIN_WORDS
 from .mixing import MAX_COUNT, MAX_MEAN
+from .quality_rules import DELTA, MAX_FALSE_REJECTION, MIN_WORDS as MIN_TEXT_WORDS, RULES, STEPS
 from .parameters import LISTED_DOMAINS, URL_RULES
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def quality_rules_sql() -> str:
+    scores = " UNION ALL ".join(
+        f"SELECT doc_id, lang, quality, '{r.name}' AS rule, {r.score} AS score FROM holdouts" for r in RULES)
+    ladders = " UNION ALL ".join(
+        f"SELECT '{r.name}' AS rule, j, {r.start}::DOUBLE + {r.step}::DOUBLE * j AS cutoff FROM range({STEPS}) t(j)"
+        for r in RULES)
+    rejects = " UNION ALL ".join(
+        f"SELECT s.doc_id FROM passed s JOIN chosen c ON s.lang = c.lang AND c.rule = '{r.name}' "
+        f"WHERE {r.score} > c.cutoff" for r in RULES)
+    share, rules = f"({MAX_FALSE_REJECTION}::DOUBLE / {len(RULES)})", len(RULES)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+worded AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, string_split(t, chr(10)) AS ls FROM docs),
+windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM worded)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(ls) AS l FROM worded) WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper
+  FROM worded d LEFT JOIN covered c USING (doc_id) LEFT JOIN lines USING (doc_id)),
+based AS (
+  SELECT *, n_words < {MIN_TEXT_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+passed AS (SELECT * FROM based WHERE NOT base_failed),
+holdouts AS (
+  SELECT p.*, quality FROM passed p
+  JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
+scores AS ({scores}),
+ladders AS ({ladders}),
+walked AS (
+  SELECT lang, s.rule, j, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality <> 1) AS n_bad,
+         count(*) FILTER (quality = 1 AND score > cutoff) AS k, count(*) FILTER (quality <> 1 AND score > cutoff) AS k_bad
+  FROM scores s JOIN ladders l ON s.rule = l.rule GROUP BY ALL),
+tested AS (
+  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i:
+              exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) AS p
+  FROM walked WHERE n > 0 AND n_bad > 0 AND k <= n * {share} + 1),
+gains AS (
+  SELECT lang, rule, j, cutoff, k_bad / n_bad::DOUBLE - k / n::DOUBLE AS gain FROM tested
+  WHERE p <= {DELTA}::DOUBLE / ({rules} * (SELECT count(DISTINCT lang) FROM holdouts))),
+chosen AS (
+  SELECT lang, rule, cutoff FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, j) AS o FROM gains WHERE gain > 0)
+  WHERE o = 1),
+rejected AS (SELECT DISTINCT doc_id FROM ({rejects}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM based"""
+
+
 def exact_dedup_sql() -> str:
     return f"""
 WITH base AS (

@@ -2,6 +2,22 @@
 
 from .url_filter import Rule
 
+# The vocabulary of the token queries; its files belong to the public_tokenizers package.
+BPE_FILE = "byte_bpe_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 # The rules of the URL query.
 URL_RULES = (
     Rule("org", "/", "allow"),

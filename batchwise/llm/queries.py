@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from .byte_bpe import decode, digests, encode, read_ranks
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
-from .parameters import LISTED_DOMAINS, URL_RULES
+from .parameters import BPE_FILE, LISTED_DOMAINS, URL_RULES, pattern, vocabulary
+from .quality_rules import quality_rules
+from .rule_ensemble import classify_quality
 from .simhash import simhash_dedup
+from .token_counts import count_tokens
+from .toxicity_fm import score_toxicity
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_quality_rules", O.quality_rules_sql)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       "kept")
+
+
+@register("op2_rule_ensemble")
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_toxicity_fm")
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op4_exact_dedup", O.exact_dedup_sql)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -52,6 +74,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_exact", "n_near", "emptied", "text")
 
 
+@register("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(vocabulary(BPE_FILE))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(decode(encode(docs, ranks, pattern()), ranks)).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), read_ranks(vocabulary(BPE_FILE)))
+
+
 @register("op9_mix_sources", O.mix_sources_sql)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
