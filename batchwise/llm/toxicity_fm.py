@@ -48,15 +48,15 @@ SEED = 3
 
 def buckets_of(text: str | None) -> np.ndarray:
     terms = set(TERM.findall((text or "").lower()))
-    for n in STEMS:
-        terms |= {f"^{t[:n]}" for t in terms if len(t) > n and t[0] != "^"}
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for t in terms),
-                                 np.int64, len(terms)))
+    stems = {f"^{t[:n]}" for n in STEMS for t in terms if len(t) > n}
+    crc, mask = zlib.crc32, BUCKETS - 1
+    found = {crc(t.encode("utf-8", "surrogatepass")) & mask for t in terms | stems}
+    return np.fromiter(found, np.int32, len(found))
 
 
 def _buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([buckets_of(t).astype(np.int32) for t in texts])
+        yield pd.Series([np.sort(buckets_of(t)) for t in texts])
 
 
 @dataclass(frozen=True)
@@ -76,34 +76,33 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def choose_features(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets whose presence says most about the class (by the square of their standard score)."""
-    n, n1 = len(y), y.sum()
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    seen = np.bincount(flat, minlength=BUCKETS)
-    ones = np.bincount(flat, weights=np.repeat(y, lengths), minlength=BUCKETS)
-    share = n1 / n
-    z = (ones - seen * share) ** 2 / np.maximum(seen * share * (1 - share), 1e-9)
-    z[seen < MIN_DOCUMENTS] = 0
-    best = np.lexsort((np.arange(BUCKETS), -z))[:MAX_FEATURES]
-    return np.sort(best[z[best] > 9.0])
+def choose_features(sample: DataFrame, n: int, ones: int) -> np.ndarray:
+    """The buckets whose presence says most about the class (by the square of their standard score).
 
+    ``sample`` has _label and the array b of buckets; at most MAX_FEATURES numbers reach the driver.
+    """
+    share = F.lit(ones / n)
+    seen = sample.select("_label", F.explode("b").alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("seen"), F.sum("_label").alias("ones")).where(F.col("seen") >= MIN_DOCUMENTS)
+    z = F.pow(F.col("ones") - F.col("seen") * share, 2) / (F.col("seen") * share * (1 - share))
+    best = seen.select("bucket", z.alias("z")).where("z > 9").orderBy(F.col("z").desc(), "bucket").limit(MAX_FEATURES)
+    return np.sort(np.array([r["bucket"] for r in best.collect()], np.int64))
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Machine:
-    """A factorization machine with logistic loss, by adaptive gradient steps in a fixed order."""
-    place = np.full(BUCKETS, -1)
+
+def fit(place: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Machine:
+    """A factorization machine with logistic loss, by adaptive gradient steps in a fixed order.
+
+    ``place`` has the feature of each bucket; ``rows`` has the features of each text.
+    """
     n, total = len(y), weight.sum()
     share = (float((y * weight).sum()) + 1) / (float(total) + 2)
     w0 = float(np.log(share / (1 - share)))
+    size = int(place.max()) + 1
     if n == 0 or y.min() == y.max():
-        return Machine(place, w0, np.zeros(0), np.zeros((0, FACTORS)))
-    chosen = choose_features(rows, y)
-    place[chosen] = np.arange(len(chosen))
-    rows = [(a := place[r])[a >= 0] for r in rows]
+        return Machine(place, w0, np.zeros(size), np.zeros((size, FACTORS)))
     rng = np.random.default_rng(SEED)
-    w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS))
-    g0, gw, gv = 1e-8, np.full(len(chosen), 1e-8), np.full(v.shape, 1e-8)
+    w, v = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
+    g0, gw, gv = 1e-8, np.full(size, 1e-8), np.full(v.shape, 1e-8)
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
@@ -138,13 +137,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     counts = {r["_label"]: r["n"] for r in narrow.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     samples = [narrow.where(F.col("_label") == k).orderBy("_at", "_doc").limit(MAX_TRAIN) for k in (0, 1)]
     sample = materialize(samples[0].unionByName(samples[1]), "toxicity-sample").dropDuplicates(["_doc", "_at"])
-    # at most 2 * MAX_TRAIN rows of three numbers
-    picked = rows.join(F.broadcast(sample), ["_doc", "_at"]).select("_label", "_at", "_doc", F.pandas_udf(_buckets, "array<int>")("_text").alias("b"))
-    got = sorted(picked.collect(), key=lambda r: (r["_at"], r["_doc"]))
+    # at most 2 * MAX_TRAIN rows of three numbers are broadcast
+    picked = materialize(rows.join(F.broadcast(sample), ["_doc", "_at"]).select(
+        "_label", "_at", "_doc", F.pandas_udf(_buckets, "array<int>")("_text").alias("b")), "toxicity-terms")
+    used = {r["_label"]: r["n"] for r in picked.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = np.full(BUCKETS, -1)
+    if used.get(0) and used.get(1):
+        chosen = choose_features(picked, used[0] + used[1], used[1])
+        place[chosen] = np.arange(len(chosen))
+
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield pd.Series([(a := place[b])[a >= 0].astype(np.int16).tobytes() for b in lists], dtype=object)
+
+    # at most MAX_FEATURES small numbers a row reach the driver
+    got = picked.select("_label", "_at", "_doc", F.pandas_udf(features, "binary")("b").alias("f")).collect()
+    got.sort(key=lambda r: (r["_at"], str(r["_doc"])))
     y = np.array([r["_label"] for r in got], float)
-    used = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weight = np.array([max(1.0, counts.get(int(k), 0) / used[int(k)]) for k in y])
-    return fit([np.array(r["b"], np.int64) for r in got], y, weight / weight.mean() if len(y) else weight)
+    weight = np.array([counts.get(r["_label"], 0) / used[r["_label"]] for r in got])
+    return fit(place, [np.frombuffer(r["f"], np.int16).astype(np.int64) for r in got], y,
+               weight / weight.mean() if len(y) else weight)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
