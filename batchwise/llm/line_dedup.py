@@ -102,7 +102,8 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     texts = (texts.select("rid", "line_no", _form(F.col("line")).alias("form"))
              .withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64("form", F.lit(2))})
              .join(some, ["h1", "h2", "rid", "line_no"]).dropDuplicates(["h1", "h2"])
-             .select(F.monotonically_increasing_id().alias("no"), "h1", "h2", F.struct(*POSITION).alias("pos"), "form"))
+             .select(F.monotonically_increasing_id().alias("no"), "h1", "h2", F.struct(*POSITION).alias("pos"), "form",
+                     F.size(F.split("form", " ")).alias("n")))
     texts = materialize(texts, "line-texts")
     places = texts.select("no", "pos")
 
@@ -135,7 +136,7 @@ def neighbourhood(texts: DataFrame) -> DataFrame:
     hashed as sums over words with their places (from the left, from the right),
     so running sums give every variant of a form in one pass.
     """
-    words = texts.select("no", F.size(F.split("form", " ")).alias("n"), F.posexplode(F.split("form", " ")).alias("i", "w"))
+    words = texts.select("no", "n", F.posexplode(F.split("form", " ")).alias("i", "w"))
     narrow = F.lit((1 << 40) - 1)
     before = F.xxhash64("w", "i").bitwiseAND(narrow)
     after = F.xxhash64("w", F.col("i") - F.col("n")).bitwiseAND(narrow)
