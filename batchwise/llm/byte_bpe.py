@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -36,7 +37,10 @@ DICTIONARY = 1 << 15
 WORD_BYTES = 32
 # Other words whose ids a task keeps at hand before it starts anew.
 MEMO = 200_000
-SLOTS = 1 << 16
+SLOTS = 1 << 14
+NO_RANK = 1 << 32
+# Rows that a task hands back at a time.
+ROWS = 512
 # Tasks that fold the dictionary's words.
 TASKS = 24
 LONG_TEXT = 1 << 20
@@ -53,19 +57,51 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     whole = ranks.get(word)
     if whole is not None:
         return (whole,)
+    rank = ranks.get
     parts = [word[i:i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            return tuple(ranks[p] for p in parts)
+    pairs = [rank(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) < NO_RANK:
         at = pairs.index(best)
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        pair = parts[at] + parts[at + 1]
+        parts[at:at + 2] = (pair,)
         del pairs[at]
         if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+            pairs[at - 1] = rank(parts[at - 1] + pair, NO_RANK)
         if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
+            pairs[at] = rank(pair + parts[at + 1], NO_RANK)
+    return tuple(ranks[p] for p in parts)
+
+
+class Encoder(dict):
+    """Packed ids by word: what is not at hand is folded, and kept while there is room."""
+
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]) -> None:
+        super().__init__(known)
+        self.known, self.ranks = known, ranks
+
+    def __missing__(self, word: str) -> bytes:
+        packed = pack(fold(word.encode("utf-8", "surrogatepass"), self.ranks))
+        if len(word) <= WORD_BYTES:
+            if len(self) >= MEMO + len(self.known):
+                self.clear()
+                self.update(self.known)
+            self[word] = packed
+        return packed
+
+
+def pack(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def unpack(data: bytes | None) -> array:
+    ids = array("I", data or b"")
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -82,10 +118,9 @@ def _let(value: Column, use) -> Column:
 
 
 def merged(word: Column, rank_of) -> Column:
-    """The ids of a binary word, by higher-order functions; ``rank_of`` gives the rank of a piece or null."""
+    """The pieces of a binary word, by higher-order functions; ``rank_of`` gives the rank of a piece or null."""
     length = F.length(word)
     parts = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.when(rank_of(word).isNotNull(), F.array(word)).otherwise(parts)
 
     def once(state: Column, _: Column) -> Column:
         ranks = F.transform(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))),
@@ -99,8 +134,7 @@ def merged(word: Column, rank_of) -> Column:
 
         return _let(_let(ranks, lambda r: F.array_position(r, F.array_min(r)).cast("int")), merge)
 
-    steps = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), start, once)
-    return F.transform(steps, rank_of)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), parts, once)
 
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, size: int = DICTIONARY) -> DataFrame:
@@ -113,62 +147,74 @@ def frequent_words(docs: DataFrame, text_col: str, pattern: str, size: int = DIC
 
 
 def dictionary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word and ids for each word, by the merges as higher-order functions."""
+    """word and pieces for each word, by the merges as higher-order functions."""
     table = rank_map(ranks)
 
     def rank_of(piece: Column) -> Column:
         slot = F.element_at(table, (F.pmod(F.crc32(piece), F.lit(SLOTS)) + 1).cast("int"))
         return F.try_element_at(slot, F.hex(piece))
 
-    return words.select("word", merged(F.col("word"), rank_of).alias("ids"))
+    return words.select("word", merged(F.col("word"), rank_of).alias("pieces"))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text",
-           size: int = DICTIONARY) -> DataFrame:
-    """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """The piece of each id."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def known_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, size: int) -> dict[str, bytes]:
+    """Packed ids of the most frequent words; at most ``size`` small rows reach the driver."""
     words = materialize(frequent_words(docs, text_col, pattern, size), "bpe-words")
-    known = dictionary(words.repartition(TASKS), ranks).collect()  # at most ``size`` rows
-    known = {bytes(r["word"]).decode("utf-8"): tuple(r["ids"]) for r in known}
-    shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
-
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        common, own = shared.value
-        cut = regex.compile(pattern)
-        memo: dict[str, tuple[int, ...]] = {}
+    known = {}
+    for word, pieces in dictionary(words.repartition(TASKS), ranks).collect():
+        # a word that is a piece itself is not merged
+        whole = ranks.get(bytes(word))
+        known[bytes(word).decode("utf-8")] = pack((whole,) if whole is not None else (ranks[bytes(p)] for p in pieces))
+    return known
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text",
+           size: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+    """``docs`` with n_tokens and ids (binary: little-endian unsigned 32-bit integers).
+
+    ``decoded`` adds what the ids decode to, in the same pass.
+    """
+    known = known_words(docs, ranks, pattern, text_col, size)
+    shared = docs.sparkSession.sparkContext.broadcast((known, ranks, pieces_of(ranks) if decoded else []))
+    names = ["n_tokens", "ids", "decoded"] if decoded else ["n_tokens", "ids"]
+
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common, own, pieces = shared.value
+        cut, encoder = regex.compile(pattern), Encoder(common, own)
+        ids_of, piece = encoder.__getitem__, pieces.__getitem__
         for texts in batches:
-            rows = []
-            for text in texts:
-                ids = array("I")
-                text = text or ""
-                words = cut.findall(text) if len(text) < LONG_TEXT else (m[0] for m in cut.finditer(text))
-                for w in words:
-                    found = common.get(w) or memo.get(w)
-                    if found is None:
-                        found = fold(w.encode("utf-8", "surrogatepass"), own)
-                        if len(w) <= WORD_BYTES:
-                            if len(memo) >= MEMO:
-                                memo.clear()
-                            memo[w] = found
-                    ids.extend(found)
-                rows.append((len(ids), ids.tobytes()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids"])
-
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids")]
-    coded = F.pandas_udf(ids_of, "n_tokens long, ids binary")(F.col(text_col).cast("string"))
-    return docs.select(*others, coded.alias("_coded")).select(*others, "_coded.n_tokens", "_coded.ids")
+            for at in range(0, len(texts), ROWS):
+                rows = []
+                for text in texts.iloc[at:at + ROWS]:
+                    text = text or ""
+                    words = cut.findall(text) if len(text) < LONG_TEXT else (m[0] for m in cut.finditer(text))
+                    ids = b"".join(map(ids_of, words))
+                    rows.append((len(ids) // 4, ids, b"".join(map(piece, unpack(ids)))) if decoded
+                                else (len(ids) // 4, ids))
+                yield pd.DataFrame(rows, columns=names)
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    schema = "n_tokens long, ids binary" + ", decoded binary" * decoded
+    struct = F.pandas_udf(coded, schema)(F.col(text_col).cast("string"))
+    return docs.select(*others, struct.alias("_coded")).select(*others, "_coded.*")
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """``rows`` with decoded (binary): the pieces of the ids one after another."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    shared = rows.sparkSession.sparkContext.broadcast(pieces)
+    shared = rows.sparkSession.sparkContext.broadcast(pieces_of(ranks))
 
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         piece = shared.value.__getitem__
         for packed in batches:
-            yield pd.Series([b"".join(map(piece, array("I", data or b""))) for data in packed], dtype=object)
+            yield pd.Series([b"".join(map(piece, unpack(data))) for data in packed], dtype=object)
 
     others = [F.col(f"`{c}`") for c in rows.columns if c != "decoded"]
     return rows.select(*others, F.pandas_udf(bytes_of, "binary")(F.col(ids_col)).alias("decoded"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .byte_bpe import decode, digests, encode, read_ranks
+from .byte_bpe import digests, encode, read_ranks
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -78,7 +78,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(vocabulary(BPE_FILE))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs, ranks, pattern()), ranks)).select(
+    return digests(encode(docs, ranks, pattern(), decoded=True)).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwise.llm.byte_bpe import decode, encode, read_ranks
+from batchwise.llm.byte_bpe import encode, read_ranks
 from batchwise.llm.line_dedup import line_dedup
 from batchwise.llm.mixing import mix_sources
 from batchwise.llm.parameters import BPE_FILE, pattern, vocabulary
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of what they decode to."""
     ranks = read_ranks(vocabulary(BPE_FILE))
-    rows = decode(encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern()), ranks)
+    rows = encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern(), decoded=True)
     return rows.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
