@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
+from .common import short_batches
 
 # Words of the dictionary, at most; each has up to WORD_BYTES bytes, which bounds what is broadcast.
 DICTIONARY = 1 << 15
@@ -182,6 +183,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     ``decoded`` adds what the ids decode to, in the same pass.
     """
+    short_batches(docs.sparkSession)
     known = known_words(docs, ranks, pattern, text_col, size)
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks, pieces_of(ranks) if decoded else []))
     names = ["n_tokens", "ids", "decoded"] if decoded else ["n_tokens", "ids"]
@@ -203,7 +205,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     schema = "n_tokens long, ids binary" + ", decoded binary" * decoded
-    struct = F.pandas_udf(coded, schema)(F.col(text_col).cast("string"))
+    struct = F.pandas_udf(coded, schema).asNondeterministic()(F.col(text_col).cast("string"))
     return docs.select(*others, struct.alias("_coded")).select(*others, "_coded.*")
 
 

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
+from .common import short_batches
 from .statistics import NAMES, text_statistics
 
 MIN_WORDS = 50
@@ -77,6 +78,7 @@ def base_failed() -> Column:
 
 def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with the counts of the text and base_failed; columns of these names are replaced."""
+    short_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (*NAMES, "base_failed", "_counts")]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], text_statistics(F.col(text_col)).alias("_counts"))
     return rows.select(*[F.col(f"`{c}`") for c in others], "_counts.*").withColumn("base_failed", base_failed())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
-from .common import held_out
+from .common import held_out, short_batches
 from .statistics import text_statistics
 
 # Statistics of a text, SQL over its counts.  greatest(.., 1) keeps empty texts defined.
@@ -85,6 +85,7 @@ def rules_of(debug: str, names: list[str]) -> list[Rule]:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    short_batches(docs.sparkSession)
     counts = docs.select(F.col(id_col).alias(id_col), text_statistics(F.col(text_col)).alias("_c"))
     return counts.select(id_col, "_c.*").select(
         id_col, held_out(id_col).alias("held_out"), *[F.expr(e).alias(name) for name, e in FEATURES.items()])

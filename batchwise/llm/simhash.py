@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
-from .common import join_groups
+from .common import join_groups, short_batches
 from .components import connected_components
 
 BITS = 64
@@ -77,6 +77,7 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
     """id, rid (a hash of id and text, for rows without a usable id) and fp, per row."""
+    short_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("rid"),
                        text.cast("binary").alias("data"))

@@ -54,4 +54,5 @@ def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def text_statistics(text: Column) -> Column:
     """A struct column with the counts of NAMES."""
-    return F.pandas_udf(_counts, SCHEMA)(text.cast("string"))
+    # not to be worked out again for each field or filter that uses it
+    return F.pandas_udf(_counts, SCHEMA).asNondeterministic()(text.cast("string"))

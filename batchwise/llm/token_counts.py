@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 # Distinct words whose counts a task keeps at hand before it starts anew.
 MEMO = 300_000
 SCHEMA = "n_words long, n_tokens long"
@@ -85,6 +87,7 @@ def build(pieces: Iterable[bytes]) -> Automaton:
 
 def count_tokens(docs: DataFrame, pieces: Iterable[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_words, n_tokens."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build(pieces))
 
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -107,4 +110,4 @@ def count_tokens(docs: DataFrame, pieces: Iterable[bytes], id_col: str = "doc_id
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens"], dtype="int64")
 
     data = F.col(text_col).cast("string").cast("binary")
-    return docs.select(F.col(id_col).alias(id_col), F.pandas_udf(counts, SCHEMA)(data).alias("_c")).select(id_col, "_c.*")
+    return docs.select(F.col(id_col).alias(id_col), F.pandas_udf(counts, SCHEMA).asNondeterministic()(data).alias("_c")).select(id_col, "_c.*")

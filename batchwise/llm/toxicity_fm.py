@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
-from .common import held_out
+from .common import held_out, short_batches
 
 BUCKETS = 1 << 18
 TERM = re.compile(r"[^\W\d_]+")
@@ -162,6 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", at_least: float = 0.5) -> DataFrame:
     """Per row of ``docs``: id, held_out, score and predicted (1 if the score is at least ``at_least``)."""
+    short_batches(docs.sparkSession)
     machine = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col))
 
     @F.pandas_udf("double")
