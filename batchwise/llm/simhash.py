@@ -186,6 +186,7 @@ def allocate(groups: list[tuple[int, ...]], mean: np.ndarray, n: int, distance:
 
 
 def plan_parts(n: int, moments: np.ndarray, distance: int = DISTANCE) -> list[Part]:
+    n = max(n, 1)  # without a fingerprint every plan would cost nothing
     options = []
     for m in range(1, min(MAX_GROUPS, distance + 1) + 1):
         groups = correlated_groups(moments, m)
