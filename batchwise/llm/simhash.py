@@ -336,8 +336,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = materialize(groups.where(own == F.col("best")).select(F.col("id").alias("_id"), F.col("rid").alias("_rid")),
                          "simhash-stay")
     stay = firsts.dropDuplicates(["_id", "_rid"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    kept = rows.join(stay, (F.col("_key") == F.col("_rid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                       F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("rid"))
+    kept = rows.join(stay, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     if firsts.count() != stay.count():  # rows that repeat id and text
-        kept = kept.dropDuplicates([id_col, "_key"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "rid"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
