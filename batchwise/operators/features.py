@@ -35,22 +35,20 @@ def hashed_rows(df: DataFrame, text: Column | str, keep: Sequence[str] = (), row
     """T5 + T6 + T7 inputs: per-row sorted (bucket, count) pairs and the L2 norm."""
     text_col = F.col(text) if isinstance(text, str) else text
     keys = [row_id, *keep]
-    tok = df.select(*keys, F.explode_outer(tokenize(text_col)).alias("_tok"))
-    tok = tok.select(*keys, F.when(F.col("_tok").isNotNull(), bucket_of(F.col("_tok"), n_features, hash_name))
-                     .alias("bucket"))
-    tok = tok.repartition(F.col(row_id))
-    # keep columns are functions of the row: carried with first(), the grouping
-    # key stays (row_id[, bucket]) and both aggregates reuse the row_id partitioning
-    carried = [F.first(c).alias(c) for c in keep]
-    per_bucket = tok.groupBy(row_id, "bucket").agg(*carried, F.count("bucket").alias("cnt"))
-    rows = per_bucket.groupBy(row_id).agg(
-        *carried,
-        F.sort_array(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "cnt"))))
-        .cast(FEATURE_TYPE).alias("features"),
-        F.sum("cnt").alias("n_tokens"),
-        F.count("bucket").alias("nnz"),
-        F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("_ss"),
-    )
+    # a row's tokens are in one task already: its buckets are sorted there and each run becomes a (bucket, count)
+    buckets = F.sort_array(F.transform(F.coalesce(tokenize(text_col), F.array().cast("array<string>")),
+                                       lambda t: bucket_of(t, n_features, hash_name)))
+    rows = df.select(*keys, buckets.alias("_b")).withColumn("n_tokens", F.size("_b").cast("long"))
+    places = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.size("_b") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(F.col("_b"), i) != F.get(F.col("_b"), i - 1)))
+    rows = rows.withColumn("_s", starts)
+    ends = F.concat(F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))), F.array(F.size("_b")))
+    runs = F.zip_with("_s", F.slice(ends, 1, F.size("_s")), lambda s, e: F.struct(
+        F.get(F.col("_b"), s).alias("bucket"), (e - s).alias("cnt")))
+    rows = rows.withColumn("features", runs.cast(FEATURE_TYPE))
+    rows = rows.select(
+        *keys, "features", "n_tokens", F.size("features").cast("long").alias("nnz"),
+        F.aggregate("features", F.lit(0).cast("long"), lambda a, f: a + f["cnt"] * f["cnt"]).cast("double").alias("_ss"))
     # sum_x = sum of the scaled values, sq_x = their squared length (1, or 0 for an empty row)
     return rows.withColumns({
         "norm": F.sqrt("_ss"),

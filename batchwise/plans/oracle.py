@@ -601,13 +601,13 @@ dfreq AS (SELECT token, count(*) AS df FROM (SELECT row_id, unnest(list_distinct
           GROUP BY token)"""
 
 
-def vocabulary_sql(size: int = 1000) -> str:
+def vocabulary_sql(size: int = 1 << 18) -> str:
     return _with_features() + _token_cte() + f"""
 SELECT token, df, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
 FROM dfreq ORDER BY df DESC, token LIMIT {size}"""
 
 
-def count_vectors_sql(size: int = 1000) -> str:
+def count_vectors_sql(size: int = 1 << 18) -> str:
     return _with_features() + _token_cte() + f""",
 voc AS (SELECT token, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
         FROM dfreq ORDER BY df DESC, token LIMIT {size})

@@ -32,6 +32,9 @@ from .sources.wire import decode_lines, encode_wire_lines, quarantine
 from .streaming.learner import StreamLearner, run_stream, write_stream_files
 from .session import ensure_checkpoint_dir
 
+# Vocabulary size of the registered queries: the default of the operator.
+VOCABULARY = 1 << 18
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, Callable[[], str]] = {}
 
@@ -329,17 +332,17 @@ def holdout_mnb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_metrics(pred, by=("batch_no", "model"))
 
 
-@register("vocabulary", lambda: O.vocabulary_sql(1000))
+@register("vocabulary", lambda: O.vocabulary_sql(VOCABULARY))
 def vocabulary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 1000 tokens with the highest document frequency, indexed."""
-    return vocabulary(_language_tokens(spark, sf_dir), "tokens", 1000)
+    """The VOCABULARY tokens (2^18, the operator's own default) with the highest document frequency, indexed."""
+    return vocabulary(_language_tokens(spark, sf_dir), "tokens", VOCABULARY)
 
 
-@register("count_vectors", lambda: O.count_vectors_sql(1000))
+@register("count_vectors", lambda: O.count_vectors_sql(VOCABULARY))
 def count_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row term counts over that vocabulary."""
     toks = _language_tokens(spark, sf_dir)
-    return count_vectors(toks, vocabulary(toks, "tokens", 1000), 1000)
+    return count_vectors(toks, vocabulary(toks, "tokens", VOCABULARY), VOCABULARY)
 
 
 @register("idf", lambda: O.idf_sql())
