@@ -34,13 +34,13 @@ def sparse_class_sums(long_rows: DataFrame, weights: DataFrame, n_classes: int,
     ``group``: extra key columns shared by rows and weights (e.g. ``plan``);
     the weight table is then bounded by n_groups * k * n_features rows.
     """
-    w = broadcast_if_bounded(
-        weights.select(*group, F.col(class_col).alias("_cls"), "bucket", F.col(value).alias("_w")),
-        n_groups * n_classes * n_features)
+    # one model row per bucket with its k weights: the join keeps the feature side's number of rows
+    per_bucket = weights.groupBy(*group, "bucket").agg(
+        *[F.max(F.when(F.col(class_col) == F.lit(j), F.col(value))).alias(f"_w{j}") for j in range(n_classes)])
+    w = broadcast_if_bounded(per_bucket, n_groups * n_classes * n_features)
     joined = long_rows.join(w, [*group, "bucket"], "left")
-    term = F.col("_w") if binary else F.col("x") * F.col("_w")
     sums = [
-        F.coalesce(F.sum(F.when(F.col("_cls") == F.lit(j), term)), F.lit(0.0)).alias(f"_dot{j}")
+        F.coalesce(F.sum(F.col(f"_w{j}") if binary else F.col("x") * F.col(f"_w{j}")), F.lit(0.0)).alias(f"_dot{j}")
         for j in range(n_classes)
     ]
     # keep columns are functions of the row: carried, not hashed into the exchange key

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .session import scratch_path
 
@@ -31,3 +31,9 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     write_table(df, path, partition_by)
     # the schema is known: no inference pass over the written files
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more (a missing one is no error)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
