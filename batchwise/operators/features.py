@@ -13,9 +13,8 @@ of the row's hashed token counts.
 tokens keeps one line with a null bucket, so it is still scored (prior only)
 and still counted as a document.
 
-Building the row table costs one shuffle: the exploded tokens are
-hash-partitioned on ``row_id``; the per-(row, bucket) count and the per-row
-roll-up both reuse that partitioning (no further exchange).
+Building the row table moves nothing: a row's tokens are in one task already,
+and its buckets are sorted and counted inside the row.
 """
 
 from __future__ import annotations
@@ -112,27 +111,19 @@ def encode_labels(df: DataFrame, classes: Sequence[str], col: str = "feature2",
     return df.withColumn(out, expr.otherwise(F.lit(None)).cast("int"))
 
 
-# --------------------------------------------------------------------------- MLlib boundary
+# --------------------------------------------------------------------------- vectors
 
 def assemble_vectors(rows: DataFrame, n_features: int = DEFAULT_N_FEATURES, row_id: str = "row_id",
                      keep: Sequence[str] = ()) -> DataFrame:
-    """The row table as MLlib ``SparseVector`` (L2-scaled values).
+    """The row table as sparse vectors in native columns: (row_id, keep..., size,
+    indices array<int>, values array<double>), values scaled to unit length.
 
-    Only for handing data to an MLlib consumer; all our own operators work on
-    the long table.  Index and value arrays are built JVM-side; a small
-    helper only wraps them into the vector type, with rows moving in Arrow
-    batches (not pickled one by one).
+    An empty row has two empty arrays.
     """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def to_vec(size, indices, values):
-        return SparseVector(size, indices, values)
-
     return rows.select(
-        row_id, *keep,
-        to_vec(F.lit(n_features), F.transform("features", lambda f: f["bucket"]),
-               F.transform("features", lambda f: f["cnt"].cast("double") / F.col("norm"))).alias("features"))
+        row_id, *keep, F.lit(n_features).alias("size"),
+        F.transform("features", lambda f: f["bucket"]).alias("indices"),
+        F.transform("features", lambda f: f["cnt"].cast("double") / F.col("norm")).alias("values"))
 
 
 def hashing_tf_vectors(df: DataFrame, tokens: str, n_features: int = DEFAULT_N_FEATURES,

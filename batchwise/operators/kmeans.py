@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
@@ -46,12 +46,14 @@ def _lit_array(values: Sequence[float]):
 
 
 def kmeans_init_first(rows: DataFrame, k: int, n_features: int, row_id: str = "row_id") -> KMeansState:
-    """M7 (deterministic): the k rows with the smallest ids become the centers."""
-    first = rows.orderBy(row_id).limit(k).withColumn(
-        "cluster", (F.row_number().over(Window.orderBy(row_id)) - 1).cast("int"))
-    centers = long_features(first, ("cluster",), row_id).where(F.col("bucket").isNotNull()).select(
-        "cluster", "bucket", F.col("x").alias("c"))
-    return KMeansState(materialize(centers, "kmeans-c0"), [0.0] * k, k, n_features)
+    """M7 (deterministic): the k rows with the smallest ids become the centers.
+
+    Fewer than k rows: as many clusters as rows (no center without a row).
+    """
+    ids = [r[0] for r in rows.select(row_id).orderBy(row_id).limit(k).collect()]
+    if not ids:
+        raise ValueError("k-means needs at least one row to start from")
+    return _centers_from_ids(rows, ids, n_features, row_id, write=True)
 
 
 def _unit_hash(row_id: str, seed: int, salt: int):
@@ -66,9 +68,14 @@ def kmeans_init_plusplus(rows: DataFrame, k: int, n_features: int, seed: int = 4
     next center is drawn with probability proportional to d2 (distance to the
     nearest chosen center) by an exponential race: the smallest -ln(u) / d2,
     a distributed top-1 per step.  Each row keeps its running minimum d2, so
-    a step only measures the distance to the newest center."""
+    a step only measures the distance to the newest center.
+
+    Fewer than k distinct rows: as many clusters as distinct rows."""
     first = rows.select(row_id, _unit_hash(row_id, seed, 0).alias("_u")).orderBy("_u", row_id).limit(1)
-    chosen = [first.first()[row_id]]
+    top = first.first()
+    if top is None:
+        raise ValueError("k-means needs at least one row to start from")
+    chosen = [top[row_id]]
     dmin = None
     for j in range(1, k):
         newest = _centers_from_ids(rows, chosen[-1:], n_features, row_id)
@@ -182,7 +189,8 @@ def silhouette_samples(assigned: DataFrame, rows: DataFrame, k: int, n_features:
     size_arr = sizes.groupBy(*by).agg(
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("size"))), F.lit(0)).alias(f"_n{j}") for j in range(k)],
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("q"))), F.lit(0.0)).alias(f"_q{j}") for j in range(k)])
-    per_row = per_row.join(size_arr, list(by))  # one row per group on the right
+    # one row per group on the right: never shuffle the rows on the few group values
+    per_row = per_row.join(broadcast_if_bounded(size_arr, n_groups, 16 * (k + 3)), list(by))
     tot = [F.col(f"_n{j}") * F.col("sq_x") - 2 * F.col(f"_dot{j}") + F.col(f"_q{j}") for j in range(k)]
     own_n = F.element_at(F.array(*[F.col(f"_n{j}") for j in range(k)]), F.col("cluster") + 1)
     own_t = F.element_at(F.array(*tot), F.col("cluster") + 1)

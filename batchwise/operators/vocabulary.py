@@ -2,8 +2,8 @@
 
 X1 ``holdout_split``: a repeatable hash split on the row id (no randomSplit,
 so a re-run or a lost executor yields the same split).
-X2 ``vocabulary``: CountVectorizer-style vocabulary, the ``size`` tokens with
-the highest document frequency (ties by token), indexed 0..size-1.
+X2 ``vocabulary``: CountVectorizer-style vocabulary, tokens by document
+frequency (ties by token), indexed from 0; all of them or the top ``size``.
 X3 ``idf``: ln((N + 1) / (df + 1)) per token (MLlib's IDF formula).
 """
 
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_bounded
+from ..sources.batches import ordinals
+from ..store import materialize
 
 
 def hash_unit(c: Column) -> Column:
@@ -32,22 +33,31 @@ def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
             .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 
 
-def vocabulary(df: DataFrame, tokens: str = "tokens", size: int = 1 << 18) -> DataFrame:
-    """(token, df, index) for the ``size`` most frequent tokens.
+def vocabulary(df: DataFrame, tokens: str = "tokens", size: int | None = None) -> DataFrame:
+    """(token, df, index), index 0 for the most frequent token (ties: smallest token).
 
-    The top-``size`` cut is the operator itself (CountVectorizer's vocabSize);
-    it runs as a per-partition top-k and a merge of ``size`` rows.
+    All tokens by default, numbered by range partitions.  ``size`` keeps the
+    most frequent ones (CountVectorizer's vocabSize): a per-partition top-k
+    and a merge of ``size`` rows.
     """
+    if size is None:
+        counted = materialize(document_frequency(df, tokens).withColumn("_rank", -F.col("df")), "document-frequency")
+        return counted.join(ordinals(counted, "_rank", "token"), "token").select(
+            "token", "df", (F.col("ord") - 1).cast("int").alias("index"))
     top = document_frequency(df, tokens).orderBy(F.desc("df"), "token").limit(size)
     return top.withColumn("index", (F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1).cast("int"))
 
 
-def count_vectors(df: DataFrame, vocab: DataFrame, size: int, tokens: str = "tokens",
-                  row_id: str = "row_id") -> DataFrame:
-    """(row_id, index, cnt) term counts over the vocabulary (vocab <= size rows, broadcast)."""
-    v = broadcast_if_bounded(vocab.select("token", "index"), size)
-    return (df.select(row_id, F.explode(tokens).alias("token")).join(v, "token")
-            .groupBy(row_id, "index").agg(F.count(F.lit(1)).alias("cnt")))
+def count_vectors(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", row_id: str = "row_id") -> DataFrame:
+    """(row_id, index, cnt) term counts over the vocabulary.
+
+    A token may be of any length, so no size bound is claimed for the
+    vocabulary: Spark joins by its measured size.  A row's tokens are counted
+    before the shuffle (partial aggregation: its lines are in one task).
+    """
+    per_row = (df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token")
+               .agg(F.count(F.lit(1)).alias("cnt")))
+    return per_row.join(vocab.select("token", "index"), "token").select(row_id, "index", "cnt")
 
 
 def idf(df: DataFrame, tokens: str = "tokens") -> DataFrame:

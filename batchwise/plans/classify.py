@@ -8,12 +8,15 @@ with everything trained in cycles 1..c), as in the reference.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import binary_metrics
 from ..operators.linear import DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_update
-from ..operators.naive_bayes import DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, mnb_predict
+from ..operators.naive_bayes import (DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, class_scalars,
+                                     mnb_predict, nb_update)
 from ..store import materialize
 from .tasks import SCORE_KEYS, Prepared
 
@@ -51,22 +54,47 @@ def nb_state_through(prep: Prepared, cycle_no: int | None = None) -> NBState:
     return NBState(materialize(stats, "nb-stats"), materialize(docs, "nb-docs"), prep.n_classes, prep.n_features)
 
 
-def nb_predictions(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
-    """(row_id, batch_no, cycle, actual, predicted, scores, model) for every test row."""
-    predict = _PREDICTORS[model]
-    parts = []
+def nb_states(prep: Prepared) -> Iterator[tuple[int, NBState]]:
+    """(cycle, state after its training batches) for every cycle with test batches.
+
+    The state is carried: each cycle adds its own training rows to the state
+    before it and is written once, so no training row is aggregated twice.
+    """
+    state, done = None, 0
     for c in prep.cycles():
-        state = nb_state_through(prep, c)
+        train = prep.train_rows().where((F.col("cycle") > done) & (F.col("cycle") <= c))
+        new = nb_update(state, prep.long(train, ("label",)), train, prep.n_classes, prep.n_features)
+        state = NBState(materialize(new.stats, "nb-stats"), materialize(new.docs, "nb-docs"),
+                        prep.n_classes, prep.n_features)
+        done = c
+        yield c, state
+
+
+def nb_predictions(prep: Prepared, models: str | Sequence[str] = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
+    """(row_id, batch_no, cycle, actual, predicted, scores, model) for every test row and model.
+
+    The models share one state and its class scalars.
+    """
+    parts = []
+    for c, state in nb_states(prep):
         test = prep.test_rows().where(F.col("cycle") == c)
-        scored = predict(state, prep.long(test, SCORE_KEYS), SCORE_KEYS, alpha)
-        parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
-                                   "scores", F.lit(model).alias("model")))
+        scalars = class_scalars(state, alpha)
+        for model in (models,) if isinstance(models, str) else models:
+            scored = _PREDICTORS[model](state, prep.long(test, SCORE_KEYS), SCORE_KEYS, alpha, scalars=scalars)
+            parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
+                                       "scores", F.lit(model).alias("model")))
     return union_all(parts, prep.rows.sparkSession, NB_PRED_SCHEMA)
 
 
-def nb_metrics(prep: Prepared, model: str = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
+def nb_metrics(prep: Prepared, models: str | Sequence[str] = MNB, alpha: float = DEFAULT_ALPHA) -> DataFrame:
     """Metrics per (cycle, batch_no, model) over the test batches."""
-    return binary_metrics(nb_predictions(prep, model, alpha), by=("cycle", "batch_no", "model"))
+    return binary_metrics(nb_predictions(prep, models, alpha), by=("cycle", "batch_no", "model"))
+
+
+def classifier_predictions(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> DataFrame:
+    """(batch_no, cycle, model, actual, predicted) of the three classifiers for every test row."""
+    cols = ("batch_no", "cycle", "model", "actual", "predicted")
+    return nb_predictions(prep, (MNB, BNB)).select(*cols).unionByName(linear_replay(prep, lam)[1].select(*cols))
 
 
 def batch_numbers(prep: Prepared) -> list[int]:

@@ -37,8 +37,10 @@ def email_source(task: str = "language") -> str:
     raise ValueError(task)
 
 
-def schedule_ctes(source: str, n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+def schedule_ctes(source: str, n_batches: int = 8, n_train: int = 6, n_total: int = 8,
+                  batch_size: int | None = None) -> str:
     """CTEs emails, dict, sched (row_id, feature0-2, label, batch_no, cycle, phase)."""
+    size = f"ceil(n_rows / {float(n_batches)})" if batch_size is None else f"{float(batch_size)}"
     return f"""
 emails AS ({source}),
 dict AS (
@@ -48,7 +50,7 @@ numbered AS (
   SELECT e.*, d.label, row_number() OVER (ORDER BY e.row_id) AS ord, count(*) OVER () AS n_rows
   FROM emails e LEFT JOIN dict d ON e.feature2 = d.feature2),
 batched AS (
-  SELECT *, CAST(floor((ord - 1) / ceil(n_rows / {float(n_batches)})) AS INTEGER) + 1 AS batch_no FROM numbered),
+  SELECT *, CAST(floor((ord - 1) / {size}) AS INTEGER) + 1 AS batch_no FROM numbered),
 sched AS (
   SELECT *, CASE WHEN (batch_no - 1) % {n_total} < {n_train} THEN 'train' ELSE 'test' END AS phase,
          CAST(floor((batch_no - 1) / {n_total}) AS INTEGER) + 1 AS cycle
@@ -56,10 +58,10 @@ sched AS (
 
 
 def feature_ctes(source: str, n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
-                 n_total: int = 8, stopwords: Sequence[str] | None = None) -> str:
+                 n_total: int = 8, stopwords: Sequence[str] | None = None, batch_size: int | None = None) -> str:
     """Adds cleaned, toks, feat, norms, rows_t, xl."""
     stop = sql_list(stopword_set() if stopwords is None else stopwords)
-    return schedule_ctes(source, n_batches, n_train, n_total) + f""",
+    return schedule_ctes(source, n_batches, n_train, n_total, batch_size) + f""",
 cleaned AS (
   SELECT row_id, batch_no, cycle, phase, label,
          {_clean('feature0', stop)} AS c0,
@@ -168,9 +170,10 @@ FROM (
 
 
 def nb_metrics_sql(model: str = "multinomial_nb", task: str = "language", n_features: int = DEFAULT_N_FEATURES,
-                   alpha: float = 1.0) -> str:
+                   alpha: float = 1.0, n_train: int = 6, n_total: int = 8, batch_size: int | None = None) -> str:
     score = mnb_score_ctes if model == "multinomial_nb" else bnb_score_ctes
-    return ("WITH " + feature_ctes(email_source(task), n_features).lstrip() + nb_state_ctes(alpha, n_features)
+    features = feature_ctes(email_source(task), n_features, 8, n_train, n_total, batch_size=batch_size)
+    return ("WITH " + features.lstrip() + nb_state_ctes(alpha, n_features)
             + score(alpha, n_features) + PRED_CTE + metrics_select(model))
 
 
@@ -394,10 +397,11 @@ def silhouette_samples_sql(k: int = 2, dense: bool = False, task: str = "languag
             "SELECT row_id, batch_no, cluster, round(s, 6) AS s FROM sil")
 
 
-def kmeans_aligned_sql(k: int = 10, n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+def kmeans_aligned_sql(k: int = 10, n_batches: int = 8, n_train: int = 6, n_total: int = 8,
+                       dense: bool = True) -> str:
     train, test = train_test_batches(n_batches, n_train, n_total)
     lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
-    return (_kmeans_base(True, "", 0, n_batches, n_train, n_total)
+    return (_kmeans_base(dense, "language", DEFAULT_N_FEATURES, n_batches, n_train, n_total)
             + kmeans_chain_ctes(train, k, silhouettes=False) + _test_assign(train, test) + f""",
 lab AS ({lab}),
 al AS (SELECT cluster, label AS aligned_label FROM (
@@ -411,8 +415,8 @@ GROUP BY t.cycle, t.batch_no""")
 
 # --------------------------------------------------------------------------- operator-level queries
 
-def _with_features(task: str = "language") -> str:
-    return "WITH " + feature_ctes(email_source(task)).lstrip()
+def _with_features(task: str = "language", n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    return "WITH " + feature_ctes(email_source(task), DEFAULT_N_FEATURES, n_batches, n_train, n_total).lstrip()
 
 
 def batch_assign_sql() -> str:
@@ -461,9 +465,10 @@ def nb_class_docs_sql() -> str:
     return _with_features() + "\nSELECT label, count(*) AS n_docs FROM rows_t WHERE phase = 'train' GROUP BY label"
 
 
-def all_metrics_ctes(n_features: int = DEFAULT_N_FEATURES, lam: float = 1e-4) -> str:
-    train, test = train_test_batches()
-    return (_with_features() + nb_state_ctes(1.0, n_features)
+def all_metrics_ctes(n_features: int = DEFAULT_N_FEATURES, lam: float = 1e-4, n_batches: int = 8, n_train: int = 6,
+                     n_total: int = 8) -> str:
+    train, test = train_test_batches(n_batches, n_train, n_total)
+    return (_with_features("language", n_batches, n_train, n_total) + nb_state_ctes(1.0, n_features)
             + mnb_score_ctes(1.0, n_features, "mnb_scores") + pred_cte("mnb_scores", "mnb_pred")
             + bnb_score_ctes(1.0, n_features, "bnb_scores") + pred_cte("bnb_scores", "bnb_pred")
             + linear_chain_ctes(train, lam) + linear_pred_ctes(train, test, "lin_pred")
@@ -508,8 +513,46 @@ UNION ALL
 SELECT 'quarantined' AS status, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_records FROM pages""")
 
 
+def all_metrics_sql(n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    return (all_metrics_ctes(n_batches=n_batches, n_train=n_train, n_total=n_total)
+            + "\nSELECT * FROM metrics")
+
+
 def stream_metrics_sql() -> str:
-    return all_metrics_ctes() + "\nSELECT * FROM metrics"
+    return all_metrics_sql()
+
+
+def confusion_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT cycle, batch_no, '{model}' AS model, actual, predicted FROM {pred}"
+        for model, pred in (("multinomial_nb", "mnb_pred"), ("linear_sgd", "lin_pred"), ("bernoulli_nb", "bnb_pred")))
+    return all_metrics_ctes() + f"""
+SELECT cycle, batch_no, model, actual, predicted, count(*) AS n FROM ({parts}) p
+GROUP BY cycle, batch_no, model, actual, predicted"""
+
+
+def feature_vectors_sql(n_features: int = DEFAULT_N_FEATURES) -> str:
+    return _with_features() + f""",
+vecs AS (
+  SELECT f.row_id, string_agg(CAST(f.bucket AS VARCHAR), ' ' ORDER BY f.bucket) AS indices,
+         round(sum(f.cnt / n.norm), 6) AS value_sum
+  FROM feat f JOIN norms n ON n.row_id = f.row_id GROUP BY f.row_id)
+SELECT r.row_id, r.batch_no, r.label, CAST({n_features} AS INTEGER) AS size, coalesce(v.indices, '') AS indices,
+       coalesce(v.value_sum, 0.0) AS value_sum
+FROM rows_t r LEFT JOIN vecs v ON v.row_id = r.row_id"""
+
+
+def stream_quarantine_sql(line_size: int = 20) -> str:
+    return ("WITH " + schedule_ctes(email_source()).lstrip() + f""",
+placed AS (
+  SELECT batch_no, CAST(floor((ord - min(ord) OVER (PARTITION BY batch_no)) / {float(line_size)}) AS INTEGER) AS line_no
+  FROM sched)
+SELECT batch_no, count(DISTINCT line_no) AS n_lines,
+       count(DISTINCT CASE WHEN line_no = 1 THEN line_no END) AS n_bad,
+       count(CASE WHEN line_no <> 1 THEN 1 END) AS n_records
+FROM placed GROUP BY batch_no
+UNION ALL
+SELECT CAST(0 AS INTEGER) AS batch_no, count(*) AS n_lines, count(*) AS n_bad, CAST(0 AS BIGINT) AS n_records FROM pages""")
 
 
 def sweep_mnb_sql(plans=REFERENCE_PLANS, n_features: int = DEFAULT_N_FEATURES) -> str:
@@ -601,16 +644,14 @@ dfreq AS (SELECT token, count(*) AS df FROM (SELECT row_id, unnest(list_distinct
           GROUP BY token)"""
 
 
-def vocabulary_sql(size: int = 1 << 18) -> str:
-    return _with_features() + _token_cte() + f"""
-SELECT token, df, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
-FROM dfreq ORDER BY df DESC, token LIMIT {size}"""
+def vocabulary_sql() -> str:
+    return _with_features() + _token_cte() + """
+SELECT token, df, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index FROM dfreq"""
 
 
-def count_vectors_sql(size: int = 1 << 18) -> str:
-    return _with_features() + _token_cte() + f""",
-voc AS (SELECT token, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index
-        FROM dfreq ORDER BY df DESC, token LIMIT {size})
+def count_vectors_sql() -> str:
+    return _with_features() + _token_cte() + """,
+voc AS (SELECT token, CAST(row_number() OVER (ORDER BY df DESC, token) - 1 AS INTEGER) AS index FROM dfreq)
 SELECT u.row_id, v.index, count(*) AS cnt
 FROM (SELECT row_id, unnest(tokens) AS token FROM tk) u JOIN voc v ON v.token = u.token
 GROUP BY u.row_id, v.index"""

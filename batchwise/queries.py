@@ -13,28 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import tokenize
-from .operators.evaluate import binary_metrics, compare_models, metric_history, multiclass_accuracy, summary
-from .operators.features import (assemble_vectors, class_list, hashing_tf_vectors, label_dictionary,
+from .operators.evaluate import (binary_metrics, compare_models, confusion, metric_history, multiclass_accuracy,
+                                 summary)
+from .operators.features import (assemble_vectors, class_list, class_values, hashing_tf_vectors, label_dictionary,
                                  long_features)
 from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
 from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
-from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, linear_metrics, linear_replay, nb_metrics, nb_predictions,
-                             nb_state_through)
+from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, classifier_predictions, linear_metrics, linear_replay,
+                             nb_metrics, nb_predictions, nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
 from .plans.sweep import sweep_mnb_metrics
-from .plans.tasks import cleaned_emails, embedding_task, labels_task, language_task, scheduled_emails
+from .plans.tasks import (Schedule, cleaned_emails, embedding_task, labels_task, language_task, schedule_table,
+                          scheduled_emails)
 from .session import scratch_path
-from .sources.batches import batch_row_count
+from .sources.batches import batch_row_count, batch_table
 from .sources.tables import email_rows, read_table
-from .sources.wire import decode_lines, encode_wire_lines, quarantine
+from .sources.wire import decode_lines, encode_bare_lines, encode_wire_lines, quarantine
 from .streaming.learner import StreamLearner, run_stream, write_stream_files
 from .session import ensure_checkpoint_dir
 
-# Vocabulary size of the registered queries: the default of the operator.
-VOCABULARY = 1 << 18
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, Callable[[], str]] = {}
 
@@ -140,37 +139,49 @@ def kmeans_aligned_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_aligned_metrics(kmeans_replay(embedding_task(spark, sf_dir), k=10, with_silhouette=False))
 
 
+@register("kmeans_text_aligned_metrics", lambda: O.kmeans_aligned_sql(k=2, dense=False))
+def kmeans_text_aligned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 on the hashed text: majority-label alignment, accuracy per test batch."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_aligned_metrics(kmeans_replay(language_task(spark, sf_dir), k=2, with_silhouette=False))
+
+
 # --------------------------------------------------------------------------- sources, text, features
 
-def _language_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _language_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrow: row_id, ord, batch_no, phase, cycle."""
     ensure_checkpoint_dir(spark)
-    batched, _ = scheduled_emails(email_rows(spark, sf_dir))
-    return batched
+    return schedule_table(email_rows(spark, sf_dir).select("row_id"))
+
+
+def _language_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned rows straight from the scan: text operators need no batch number."""
+    return cleaned_emails(email_rows(spark, sf_dir))
 
 
 @register("batch_assign", lambda: O.batch_assign_sql())
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 + E5 + E6: batch ordinal, phase and cycle per row (8 batches, 6 train)."""
-    return _language_batched(spark, sf_dir).select("row_id", "batch_no", "cycle", "phase")
+    return _language_schedule(spark, sf_dir).select("row_id", "batch_no", "cycle", "phase")
 
 
 @register("batch_row_count", lambda: O.batch_row_count_sql())
 def batch_row_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per batch."""
-    return batch_row_count(_language_batched(spark, sf_dir))
+    return batch_row_count(_language_schedule(spark, sf_dir))
 
 
 @register("clean_text", lambda: O.clean_text_sql())
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 + T2 + T3 + T4: noise tokens stripped from both parts, parts joined."""
-    return cleaned_emails(_language_batched(spark, sf_dir)).select("row_id", "feature0", "feature1", "text")
+    return _language_cleaned(spark, sf_dir).select("row_id", "feature0", "feature1", "text")
 
 
 @register("token_counts", lambda: O.token_counts_sql())
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: tokens and distinct tokens per row after cleaning."""
     toks = tokenize(F.col("text"))
-    return cleaned_emails(_language_batched(spark, sf_dir)).select(
+    return _language_cleaned(spark, sf_dir).select(
         "row_id", F.size(toks).alias("n_tokens"), F.size(F.array_distinct(toks)).alias("n_distinct"))
 
 
@@ -196,19 +207,22 @@ def class_list_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_list(email_rows(spark, sf_dir, "lang"), "feature2")
 
 
-@register("feature_vectors")
+@register("feature_vectors", lambda: O.feature_vectors_sql())
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLlib SparseVector per row (MLlib boundary; rows-only check)."""
+    """Sparse vector per row; the arrays as their indices in text form and the sum of the values."""
     ensure_checkpoint_dir(spark)
-    return assemble_vectors(language_task(spark, sf_dir).rows, keep=("batch_no", "label"))
+    vectors = assemble_vectors(language_task(spark, sf_dir).rows, keep=("batch_no", "label"))
+    return vectors.select(
+        "row_id", "batch_no", "label", "size",
+        F.array_join(F.transform("indices", lambda i: i.cast("string")), " ").alias("indices"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("value_sum"))
 
 
 @register("hashing_tf_vectors")
 def hashing_tf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MLlib HashingTF + Normalizer twin of T6/T7 (Murmur3 buckets; rows-only)."""
     ensure_checkpoint_dir(spark)
-    cleaned = cleaned_emails(_language_batched(spark, sf_dir)).withColumn("tokens", tokenize(F.col("text")))
-    return hashing_tf_vectors(cleaned, "tokens", keep=("row_id", "batch_no"))
+    return hashing_tf_vectors(_language_tokens(spark, sf_dir), "tokens")
 
 
 # --------------------------------------------------------------------------- model state
@@ -231,8 +245,22 @@ def nb_class_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- reports
 
 def _all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prep = language_task(spark, sf_dir)
-    return nb_metrics(prep, MNB).unionByName(linear_metrics(prep)).unionByName(nb_metrics(prep, BNB))
+    return binary_metrics(classifier_predictions(language_task(spark, sf_dir)), by=("cycle", "batch_no", "model"))
+
+
+@register("confusion", lambda: O.confusion_sql())
+def confusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per (test batch, model, actual, predicted) for the three classifiers."""
+    ensure_checkpoint_dir(spark)
+    return confusion(classifier_predictions(language_task(spark, sf_dir)), by=("cycle", "batch_no", "model"))
+
+
+@register("two_cycle_metrics", lambda: O.all_metrics_sql(8, 3, 4))
+def two_cycle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 batches as two cycles of 4 (3 train); the models of cycle 1 stay warm in cycle 2."""
+    ensure_checkpoint_dir(spark)
+    prep = language_task(spark, sf_dir, Schedule(8, 3, 4))
+    return binary_metrics(classifier_predictions(prep), by=("cycle", "batch_no", "model"))
 
 
 @register("metric_history", lambda: O.metric_history_sql())
@@ -301,6 +329,41 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "recall")
 
 
+@register("stream_quarantine", lambda: O.stream_quarantine_sql())
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 in the stream: the second line of every batch is cut in half and raw pages arrive as
+    lines.  Per batch: lines seen, bad ones, records learned; batch 0: the lines that name none."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-quarantine")
+    lines, classes = _wire_lines(spark, sf_dir, line_size=20)
+    cut = F.when(F.col("line_no") == 1, F.expr("left(value, div(length(value), 2))")).otherwise(F.col("value"))
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.lit(0).alias("batch_no"), F.regexp_replace("html", r"\s+", " ").alias("value"))
+    write_stream_files(lines.select("batch_no", cut.alias("value")).unionByName(pages), f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", classes, models=(MNB,))
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow", files_per_batch=None)
+    unnamed = learner.quarantined().where("batch_no = 0").groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count(F.lit(1)).alias("n_bad"),
+        F.lit(0).cast("long").alias("n_records"))
+    return learner.batch_log().drop("n_lost").unionByName(unnamed)
+
+
+@register("stream_bare_lines", lambda: O.nb_metrics_sql(MNB, n_train=1, n_total=2, batch_size=500))
+def stream_bare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 in the stream on the reference's own format: a line is a batch of 500 records, every
+    second batch is scored; multinomial NB metrics per scored batch and cycle."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-bare")
+    emails = email_rows(spark, sf_dir)
+    batched = emails.join(batch_table(emails, "row_id", size=500, ordinal="ord"), "row_id")
+    write_stream_files(encode_bare_lines(batched, 500), f"{root}/in")
+    learner = StreamLearner(spark, f"{root}/state", class_values(emails), Schedule(n_train=1, n_total=2),
+                            models=(MNB,), wire="bare")
+    run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow", files_per_batch=None)
+    return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
+                                    "recall")
+
+
 # --------------------------------------------------------------------------- batch-size sweep
 
 @register("batch_size_sweep", lambda: O.sweep_mnb_sql())
@@ -313,8 +376,8 @@ def batch_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- X1-X3
 
 def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = cleaned_emails(_language_batched(spark, sf_dir))
-    return cleaned.withColumn("tokens", tokenize(F.col("text")))
+    ensure_checkpoint_dir(spark)
+    return _language_cleaned(spark, sf_dir).withColumn("tokens", tokenize(F.col("text")))
 
 
 @register("holdout_mnb_metrics", lambda: O.holdout_mnb_sql())
@@ -332,17 +395,17 @@ def holdout_mnb_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_metrics(pred, by=("batch_no", "model"))
 
 
-@register("vocabulary", lambda: O.vocabulary_sql(VOCABULARY))
+@register("vocabulary", lambda: O.vocabulary_sql())
 def vocabulary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The VOCABULARY tokens (2^18, the operator's own default) with the highest document frequency, indexed."""
-    return vocabulary(_language_tokens(spark, sf_dir), "tokens", VOCABULARY)
+    """Every token by document frequency, indexed."""
+    return vocabulary(_language_tokens(spark, sf_dir))
 
 
-@register("count_vectors", lambda: O.count_vectors_sql(VOCABULARY))
+@register("count_vectors", lambda: O.count_vectors_sql())
 def count_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row term counts over that vocabulary."""
     toks = _language_tokens(spark, sf_dir)
-    return count_vectors(toks, vocabulary(toks, "tokens", VOCABULARY), VOCABULARY)
+    return count_vectors(toks, vocabulary(toks))
 
 
 @register("idf", lambda: O.idf_sql())
@@ -373,7 +436,7 @@ def lang4_nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-class variant (label = language): accuracy of both NB models per test batch."""
     ensure_checkpoint_dir(spark)
     prep = language_task(spark, sf_dir, label_mode="lang")
-    pred = nb_predictions(prep, MNB).unionByName(nb_predictions(prep, BNB))
+    pred = nb_predictions(prep, (MNB, BNB))
     return multiclass_accuracy(pred, by=("cycle", "batch_no", "model"))
 
 
