@@ -1,5 +1,7 @@
 """The stream learner is replay-safe and order-free."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from batchwise.plans.tasks import Schedule, scheduled_emails
@@ -96,3 +98,126 @@ def test_restart_completes_a_half_landed_batch(spark):
     second = StreamLearner(spark, root, classes, Schedule(4, 3, 4))
     second(lines.where("batch_no = 1 AND line_no > 0").select("value"), 1)
     assert second.progress()["batch_no"] == 1
+
+
+# --------------------------------------------------------------------------- damaged, repeated and bare lines
+
+def _records(b, j):
+    words = "alpha beta gamma" if (b + j) % 2 else "delta beta omega"
+    return {str(i): {"feature0": f"s{i}", "feature1": f"{words} w{i}", "feature2": "spam" if (b + j + i) % 2 else "ham"}
+            for i in range(4)}
+
+
+def _line(b, j, n=2, **changed):
+    return json.dumps({"batch_no": b, "line_no": j, "n_lines": n, "records": _records(b, j)} | changed)
+
+
+def _frame(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
+def _learner(spark, name, **kw):
+    kw = {"models": ("multinomial_nb",), "schedule": Schedule(4, 3, 4), "n_features": 4096} | kw
+    return StreamLearner(spark, scratch_path(spark, name), ["ham", "spam"], **kw)
+
+
+def _log(learner):
+    return [tuple(r) for r in learner.batch_log().orderBy("batch_no").collect()]
+
+
+def test_truncated_line_is_quarantined_and_its_batch_completes(spark):
+    learner = _learner(spark, "stream-cut")
+    for b in (1, 2, 3, 4):      # two lines per micro-batch, the second of batch 2 cut short
+        second = _line(b, 1)
+        learner(_frame(spark, _line(b, 0), second[:70] if b == 2 else second), b)
+    assert _log(learner) == [(1, 2, 0, 8, 0), (2, 2, 1, 4, 0), (3, 2, 0, 8, 0), (4, 2, 0, 8, 0)]
+    assert [(r["batch_no"], r["line_no"], r["problem"]) for r in learner.quarantined().collect()] == [
+        (2, 1, "bad records")]
+    assert [r["batch_no"] for r in learner.metrics().collect()] == [4]
+    assert learner.waiting() == {}
+
+
+def test_line_without_records_completes_its_batch(spark):
+    learner = _learner(spark, "stream-norecords")
+    learner(_frame(spark, _line(1, 0, 1, records={})), 0)
+    learner(_frame(spark, _line(2, 0, 1)), 1)
+    assert _log(learner) == [(1, 1, 0, 0, 0), (2, 1, 0, 4, 0)]
+    assert learner.progress()["nb_version"] == 2
+
+
+def test_line_without_n_lines_is_bad_and_counts(spark):
+    learner = _learner(spark, "stream-nolines")
+    learner(_frame(spark, _line(1, 0, None), _line(1, 1, 2)), 0)
+    assert _log(learner) == [(1, 2, 1, 4, 0)]
+    assert [r["problem"] for r in learner.quarantined().collect()] == ["bad envelope"]
+
+
+def test_line_sent_again_counts_once_and_the_good_copy_wins(spark):
+    learner = _learner(spark, "stream-again")
+    learner(_frame(spark, _line(1, 0)[:70], _line(1, 0)[:70]), 0)
+    learner(_frame(spark, _line(1, 0), _line(1, 0)), 1)
+    assert learner.progress() is None
+    learner(_frame(spark, _line(1, 1)), 2)
+    rows = learner._p("nb", "v=1", "docs")
+    assert spark.read.parquet(rows).agg(F.sum("n_docs")).first()[0] == 8
+
+
+def test_line_for_a_learned_batch_is_late(spark):
+    learner = _learner(spark, "stream-late")
+    learner(_frame(spark, _line(1, 0, 1)), 0)
+    learner(_frame(spark, _line(1, 0, 1)), 0)       # the same micro-batch again is a replay
+    assert learner.quarantined().count() == 0
+    learner(_frame(spark, _line(1, 0, 1), _line(2, 0, 1)), 1)
+    assert [(r["batch_no"], r["problem"]) for r in learner.quarantined().collect()] == [(1, "late")]
+    assert learner.progress()["batch_no"] == 2
+
+
+def test_gaps_close_only_when_unnamed_lines_account_for_them(spark):
+    learner = _learner(spark, "stream-gaps")
+    learner(_frame(spark, _line(1, 0), "garbage"), 0)
+    learner(_frame(spark, _line(2, 0), _line(2, 1)), 1)
+    learner(_frame(spark, _line(3, 0)), 2)
+    assert learner.progress() is None and sorted(learner.waiting()) == [1, 2, 3]
+    # a restarted driver finds the same, and batch 3 keeps waiting for its second line
+    again = StreamLearner(spark, learner.root, learner.classes, learner.schedule, learner.n_features, learner.models)
+    assert again.close_gaps() == 2
+    assert _log(again) == [(1, 1, 0, 4, 1), (2, 2, 0, 8, 0)]
+    assert sorted(again.waiting()) == [3]
+    assert again.close_gaps() == 0
+
+
+def test_bare_lines_are_batches_by_arrival(spark):
+    learner = _learner(spark, "stream-bare", wire="bare", schedule=Schedule(n_train=1, n_total=2))
+    bare = [json.dumps(_records(b, 0)) for b in range(4)]
+    learner(_frame(spark, bare[0]), 0)
+    learner(_frame(spark, "{oops", *bare[1:3]).coalesce(1), 1)
+    learner(_frame(spark, "{oops", *bare[1:3]).coalesce(1), 1)      # replayed: the same numbers again
+    learner(_frame(spark, bare[3]), 2)
+    assert _log(learner) == [(1, 1, 0, 4, 0), (2, 1, 1, 0, 0), (3, 1, 0, 4, 0), (4, 1, 0, 4, 0), (5, 1, 0, 4, 0)]
+    assert [r["batch_no"] for r in learner.quarantined().collect()] == [2]
+    assert {(r["cycle"], r["batch_no"]) for r in learner.metrics().collect()} == {(2, 4)}
+
+
+def test_superseded_tables_and_cached_blocks_go(spark):
+    import os
+
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    learner = _learner(spark, "stream-clean", models=("multinomial_nb", "linear_sgd", "kmeans"))
+    for b in (1, 2):
+        learner(_frame(spark, _line(b, 0, 1)), b)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    local = learner.root.removeprefix("file:")
+    for name in ("nb", "linear", "kmeans"):
+        assert os.listdir(f"{local}/{name}") == ["v=2"]
+    assert os.listdir(f"{local}/rows") == [] and os.listdir(f"{local}/landing") == []
+
+
+def test_fewer_rows_than_clusters(spark):
+    from batchwise.operators.features import dense_rows
+    from batchwise.operators.kmeans import kmeans_init_first, kmeans_init_plusplus, kmeans_update
+
+    raw = spark.createDataFrame([(1, [0.0, 3.0]), (2, [3.0, 0.0])], "row_id long, vec array<double>")
+    rows = dense_rows(raw, "vec")
+    for state in (kmeans_init_first(rows, 4, 2), kmeans_init_plusplus(rows, 4, 2)):
+        assert state.k == 2
+        assert kmeans_update(state, rows).counts == [1.0, 1.0]
