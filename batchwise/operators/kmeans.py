@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..store import materialize
 from .features import long_features
-from .joins import broadcast_if_bounded
+from .joins import MAX_BROADCAST_BYTES, MODEL_ROW_BYTES, broadcast_if_bounded
 from .scoring import argmin, dots_array, drop_dots, sparse_class_sums
 
 DIST_DIGITS = 9
@@ -57,9 +57,10 @@ def kmeans_init_first(rows: DataFrame, k: int, n_features: int, row_id: str = "r
 
 
 def _unit_hash(row_id: str, seed: int, salt: int):
-    """Deterministic uniform (0, 1) per row from a seeded hash."""
-    h = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), F.lit(salt)), F.lit(1 << 52))
-    return (h.cast("double") + 0.5) / float(1 << 52)
+    """Deterministic uniform (0, 1) per row: 13 hex digits of the MD5 of "seed|salt|id" (equal in any engine)."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), F.col(row_id).cast("string"))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+    return (h + 0.5) / float(1 << 52)
 
 
 def kmeans_init_plusplus(rows: DataFrame, k: int, n_features: int, seed: int = 42,
@@ -128,6 +129,41 @@ def kmeans_assign(state: KMeansState, rows: DataFrame, keep: Sequence[str], row_
     return out.withColumn("d2", F.element_at("d2s", F.col("cluster") + 1))
 
 
+def versions_per_join(k: int, n_features: int) -> int:
+    """Center versions whose table has a bound that may be broadcast; at least one."""
+    return max(1, MAX_BROADCAST_BYTES // (MODEL_ROW_BYTES * k * n_features))
+
+
+def kmeans_assign_versions(versions: Sequence[tuple[KMeansState, Sequence[int]]], rows: DataFrame,
+                           keep: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """M9 for many batches in one join: each row with the centers of its batch's version.
+
+    ``versions`` lists (state, batch numbers assigned with it); rows of other
+    batches are left out.  ``keep`` must hold ``batch_no`` and ``sq_x``.  The
+    centers of all versions form one model table keyed by (version, bucket), at
+    most len(versions) * k * n_features rows.
+    """
+    k, n_features = versions[0][0].k, versions[0][0].n_features
+    batches = [b for _, own in versions for b in own]
+    version = F.lit(0)
+    for v, (_, own) in enumerate(versions[1:], 1):
+        version = F.when(F.col("batch_no").isin(list(own)), F.lit(v)).otherwise(version)
+    centers = None
+    for v, (state, _) in enumerate(versions):
+        part = state.centers.select(F.lit(v).alias("_version"), F.col("cluster").alias("label"), "bucket",
+                                    F.col("c").alias("w"))
+        centers = part if centers is None else centers.unionByName(part)
+    feats = long_features(rows.where(F.col("batch_no").isin(batches)).withColumn("_version", version),
+                          (*keep, "_version"), row_id)
+    sums = sparse_class_sums(feats, centers, k, n_features, keep, row_id, group=("_version",), n_groups=len(versions))
+    # versions x clusters scalars
+    norms = F.element_at(F.array(*[_lit_array(center_norms(state)) for state, _ in versions]), F.col("_version") + 1)
+    dots = dots_array(k)
+    d2s = F.array(*[F.round(F.col("sq_x") - 2 * dots[j] + norms[j], DIST_DIGITS) for j in range(k)])
+    out = drop_dots(sums.withColumn("d2s", d2s), k).drop("_version").withColumn("cluster", argmin(F.col("d2s")))
+    return out.withColumn("d2", F.element_at("d2s", F.col("cluster") + 1))
+
+
 def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_id",
                   write: bool = True) -> KMeansState:
     """M8: one mini-batch step (assign with the current centers, then move)."""

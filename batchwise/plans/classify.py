@@ -107,15 +107,19 @@ def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearSt
     batch is scored with the weights trained on every earlier training batch."""
     sched = prep.schedule
     state = linear_init(prep.rows.sparkSession, prep.n_features, lam)
-    parts = []
+    tested: list[tuple[LinearState, list[int]]] = []  # test batches in a row share their weights
     for b in batch_numbers(prep):
-        batch = prep.rows.where(F.col("batch_no") == b)
         if (b - 1) % sched.n_total < sched.n_train:
-            state = linear_update(state, batch)
+            state = linear_update(state, prep.rows.where(F.col("batch_no") == b))
+        elif tested and tested[-1][0] is state:
+            tested[-1][1].append(b)
         else:
-            scored = linear_predict(state, batch, ("batch_no", "cycle", "label"))
-            parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
-                                       "score", F.lit(LINEAR).alias("model")))
+            tested.append((state, [b]))
+    parts = []
+    for own, batches in tested:
+        scored = linear_predict(own, prep.rows.where(F.col("batch_no").isin(batches)), ("batch_no", "cycle", "label"))
+        parts.append(scored.select("row_id", "batch_no", "cycle", F.col("label").alias("actual"), "predicted",
+                                   "score", F.lit(LINEAR).alias("model")))
     return state, union_all(parts, prep.rows.sparkSession, LINEAR_PRED_SCHEMA)
 
 

@@ -319,13 +319,42 @@ si{t} AS (SELECT row_id, batch_no, own AS cluster,
                FROM st{t} GROUP BY row_id, batch_no, own) q)"""
 
 
-def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True) -> str:
-    first = train[0]
-    parts = [f""",
-clusters AS (SELECT CAST(range AS INTEGER) AS cluster FROM range({k})),
+def _first_rows_sql(first: int, k: int) -> str:
+    return f""",
 init_rows AS (
   SELECT * FROM (SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS cluster
-                 FROM rows_t WHERE batch_no = {first}) i WHERE cluster < {k}),
+                 FROM rows_t WHERE batch_no = {first}) i WHERE cluster < {k})"""
+
+
+def _plusplus_rows_sql(first: int, k: int, seed: int = 42) -> str:
+    """k-means++ by an exponential race on MD5 numbers: g{j} is the row of center j, e{j} the least distances so far."""
+    def unit(j: int) -> str:
+        digits = f"substr(md5('{seed}|{j}|' || CAST(r.row_id AS VARCHAR)), 1, 13)"
+        return f"((CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) + 0.5) / {float(1 << 52)!r})"
+
+    parts = [f""",
+g0 AS (SELECT r.row_id FROM rows_t r WHERE r.batch_no = {first} ORDER BY {unit(0)}, r.row_id LIMIT 1)"""]
+    for j in range(1, k):
+        d2 = "round(r.sq_x - 2 * coalesce(d.dot, 0.0) + cn.cn, 9)"
+        least = d2 if j == 1 else f"least(e.d2, {d2})"
+        before = "" if j == 1 else f"JOIN e{j - 1} e ON e.row_id = r.row_id"
+        parts.append(f""",
+e{j} AS MATERIALIZED (
+  SELECT r.row_id, {least} AS d2 FROM rows_t r {before}
+  CROSS JOIN (SELECT sum(x.x * x.x) AS cn FROM xl x JOIN g{j - 1} g ON g.row_id = x.row_id) cn
+  LEFT JOIN (SELECT x.row_id, sum(x.x * c.x) AS dot FROM xl x
+             JOIN (SELECT y.bucket, y.x FROM xl y JOIN g{j - 1} g ON g.row_id = y.row_id) c ON c.bucket = x.bucket
+             WHERE x.batch_no = {first} GROUP BY x.row_id) d ON d.row_id = r.row_id
+  WHERE r.batch_no = {first}),
+g{j} AS MATERIALIZED (SELECT r.row_id FROM e{j} r WHERE r.d2 > 0 ORDER BY -ln({unit(j)}) / r.d2, r.row_id LIMIT 1)""")
+    chosen = " UNION ALL ".join(f"SELECT row_id, CAST({j} AS INTEGER) AS cluster FROM g{j}" for j in range(k))
+    return "".join(parts) + f",\ninit_rows AS ({chosen})"
+
+
+def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True, init: str = "first") -> str:
+    start = (_first_rows_sql if init == "first" else _plusplus_rows_sql)(train[0], k)
+    parts = [f""",
+clusters AS (SELECT CAST(range AS INTEGER) AS cluster FROM range({k})){start},
 c0 AS (SELECT i.cluster, x.bucket, x.x AS c FROM init_rows i JOIN xl x ON x.row_id = i.row_id),
 n0 AS (SELECT cluster, CAST(0.0 AS DOUBLE) AS n FROM clusters)"""]
     for t, bn in enumerate(train, 1):
@@ -374,12 +403,12 @@ def kmeans_metrics_sql(k: int = 2, task: str = "language", n_features: int = DEF
 
 def kmeans_train_report_sql(k: int = 2, dense: bool = False, task: str = "language",
                             n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
-                            n_total: int = 8) -> str:
+                            n_total: int = 8, init: str = "first") -> str:
     train, _ = train_test_batches(n_batches, n_train, n_total)
     lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
     sil = " UNION ALL ".join(f"SELECT * FROM si{t}" for t in range(1, len(train) + 1))
     return (_kmeans_base(dense, task, n_features, n_batches, n_train, n_total)
-            + kmeans_chain_ctes(train, k) + f""",
+            + kmeans_chain_ctes(train, k, init=init) + f""",
 lab AS ({lab}),
 sil AS ({sil})
 SELECT i.batch_no, i.n_rows, round(i.inertia, 6) AS inertia, round(s.silhouette, 6) AS silhouette
@@ -522,6 +551,14 @@ def stream_metrics_sql() -> str:
     return all_metrics_sql()
 
 
+def sweep_classifiers_sql(schedules: Sequence[tuple[int, int]]) -> str:
+    """``schedules`` lists (n_batches, n_train)."""
+    size = f"(SELECT CAST(greatest(1, ceil(count(*) / {{n}}.0)) AS INTEGER) FROM ({email_source()}) e)"
+    return "\nUNION ALL ".join(
+        f"SELECT {size.format(n=n)} AS batch_size, m.* FROM ({all_metrics_sql(n, n_train, n)}) m"
+        for n, n_train in schedules)
+
+
 def confusion_sql() -> str:
     parts = " UNION ALL ".join(
         f"SELECT cycle, batch_no, '{model}' AS model, actual, predicted FROM {pred}"

@@ -43,6 +43,7 @@ class Prepared:
     n_features: int
     schedule: Schedule = field(default_factory=Schedule)
     n_rows: int | None = None       # rows numbered (known from batching; saves a distinct job)
+    batch_size: int | None = None   # rows of a batch; by default n_rows / schedule.n_batches
 
     @property
     def n_classes(self) -> int:
@@ -60,7 +61,7 @@ class Prepared:
     def batches(self) -> list[int]:
         """Batch ordinals present, in order (arithmetic when the row count is known)."""
         if self.n_rows is not None:
-            size = batch_size_for(self.n_rows, self.schedule.n_batches)
+            size = self.batch_size or batch_size_for(self.n_rows, self.schedule.n_batches)
             return list(range(1, math.ceil(self.n_rows / size) + 1)) if self.n_rows else []
         return [r[0] for r in self.rows.select("batch_no").distinct().orderBy("batch_no").collect()]
 

@@ -24,11 +24,11 @@ from .plans import oracle as O
 from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, classifier_predictions, linear_metrics, linear_replay,
                              nb_metrics, nb_predictions, nb_state_through)
 from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
-from .plans.sweep import sweep_mnb_metrics
+from .plans.sweep import sweep_classifier_metrics, sweep_mnb_metrics
 from .plans.tasks import (Schedule, cleaned_emails, embedding_task, labels_task, language_task, schedule_table,
                           scheduled_emails)
 from .session import scratch_path
-from .sources.batches import batch_row_count, batch_table
+from .sources.batches import batch_row_count, batch_size_for, batch_table
 from .sources.tables import email_rows, read_table
 from .sources.wire import decode_lines, encode_bare_lines, encode_wire_lines, quarantine
 from .streaming.learner import StreamLearner, run_stream, write_stream_files
@@ -373,6 +373,20 @@ def batch_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_mnb_metrics(email_rows(spark, sf_dir))
 
 
+# (batches of the run, those that train): the batch size is that share of the rows
+SWEEP_SCHEDULES = ((4, 3), (8, 6), (12, 9))
+
+
+@register("batch_size_sweep_classifiers", lambda: O.sweep_classifiers_sql(SWEEP_SCHEDULES))
+def batch_size_sweep_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three classifiers at three batch sizes, over features hashed once."""
+    ensure_checkpoint_dir(spark)
+    emails = email_rows(spark, sf_dir)
+    n_rows = emails.count()
+    sizes = [(batch_size_for(n_rows, n), n_train, n) for n, n_train in SWEEP_SCHEDULES]
+    return sweep_classifier_metrics(emails, sizes)
+
+
 # --------------------------------------------------------------------------- X1-X3
 
 def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,10 +454,9 @@ def lang4_nb_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiclass_accuracy(pred, by=("cycle", "batch_no", "model"))
 
 
-@register("kmeans_plusplus_report")
+@register("kmeans_plusplus_report", lambda: O.kmeans_train_report_sql(k=10, dense=True, init="kmeans++"))
 def kmeans_plusplus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7 (k-means++ by a seeded exponential race) -> M8, M10, M11 on the
-    embeddings, k = 10.  Seeded xxhash64 has no DuckDB twin: rows-only check."""
+    """M7 (k-means++ by a seeded exponential race) -> M8, M10, M11 on the embeddings, k = 10."""
     ensure_checkpoint_dir(spark)
     return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10, init="kmeans++"))
 

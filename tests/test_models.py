@@ -186,3 +186,17 @@ def test_schedule_without_test_batches_gives_empty_results(spark):
     prep = language_task(spark, SF_SMALL, Schedule(4, 4, 4))   # every batch trains
     assert nb_metrics(prep, MNB).count() == 0
     assert linear_metrics(prep).count() == 0
+
+
+def test_kmeans_versions_in_one_join_equal_each_alone(spark, rows):
+    from batchwise.operators.kmeans import kmeans_assign_versions, kmeans_init_first
+
+    first = kmeans_init_first(rows, 2, 8)
+    moved = kmeans_update(first, rows, write=False)
+    both = rows.withColumn("batch_no", F.lit(1)).unionByName(rows.withColumn("batch_no", F.lit(2))).unionByName(
+        rows.withColumn("batch_no", F.lit(3)))
+    both = both.withColumn("row_id", F.col("row_id") + F.col("batch_no") * 1000)
+    got = kmeans_assign_versions([(first, [1]), (moved, [2])], both, ("batch_no", "sq_x"))
+    want = {(r["row_id"] + v * 1000, v, r["cluster"], r["d2"]) for v, state in ((1, first), (2, moved))
+            for r in kmeans_assign(state, rows, ("sq_x",)).collect()}
+    assert {tuple(r) for r in got.select("row_id", "batch_no", "cluster", "d2").collect()} == want
