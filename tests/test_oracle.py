@@ -1,6 +1,7 @@
-"""Every registered query against its DuckDB oracle on sf0.001 (the driver's
-gate runs the same comparison at sf0.01; scripts/check_oracle.py runs it locally)."""
-
+"""Every registered query against its DuckDB oracle on sf0.001, rows and types (the
+driver's gate runs the same comparison at sf0.01; scripts/check_oracle.py runs it
+locally).  The plans are checked with size-based broadcasts off, as large inputs
+get them: the final one and that of every table written on the way."""
 
 import pytest
 
@@ -38,24 +39,62 @@ def test_every_query_has_a_callable():
     assert len(E.queries()) >= 30
 
 
-# no registered query may pair rows (cartesian / nested-loop joins) or run
-# Python, except the Arrow-batched MLlib vector boundary
-FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
-PYTHON_BOUNDARY = set()
+# no registered query may pair rows (cartesian / nested-loop joins) or run Python
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+             "MapInArrow", "FlatMapGroupsInPandas")
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "array<int>": "INTEGER[]", "array<double>": "DOUBLE[]"}
+# scalars per class, cluster, batch, plan and partition; the tables have more rows than that
+MAX_COLLECTED = 64
+
+
+def _bad_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [n for n in FORBIDDEN if n in plan]
+
+
+@pytest.fixture
+def watched(spark, monkeypatch):
+    """(tables written with a forbidden node, row counts of collects) while a query is built."""
+    from batchwise import store
+    from batchwise.streaming import learner
+
+    written, collected = [], []
+    write, collect = store.write_table, type(spark.range(1)).collect
+
+    def watch_write(df, path, *args, **kw):
+        written.extend((path, n) for n in _bad_nodes(df))
+        return write(df, path, *args, **kw)
+
+    def watch_collect(df):
+        rows = collect(df)
+        collected.append(len(rows))
+        return rows
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    with monkeypatch.context() as m:
+        m.setattr(store, "write_table", watch_write)
+        m.setattr(learner, "write_table", watch_write)
+        m.setattr(type(spark.range(1)), "collect", watch_collect)
+        yield written, collected
+    spark.conf.set(key, before)
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle(spark, duck, name):
+def test_query_matches_oracle(spark, duck, watched, name):
+    written, collected = watched
     df = Q.QUERIES[name](spark, SF_SMALL)
+    assert written == [] and max(collected, default=0) <= MAX_COLLECTED
     got = [tuple(_norm(x) for x in r) for r in df.collect()]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    allowed = ("ArrowEvalPython",) if name in PYTHON_BOUNDARY else ()
-    assert [n for n in FORBIDDEN if n in plan and n not in allowed] == []
+    assert _bad_nodes(df) == []
     if name not in SQL:
         assert len(got) > 0
         return
     rel = duck.sql(SQL[name])
-    assert sorted(df.columns) == sorted(rel.columns)
+    assert {f.name: DUCK_TYPES[f.dataType.simpleString()] for f in df.schema} == dict(
+        zip(rel.columns, map(str, rel.types)))
     order = [rel.columns.index(c) for c in df.columns]
     want = [tuple(_norm(r[i]) for i in order) for r in rel.fetchall()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
