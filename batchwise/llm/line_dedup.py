@@ -4,7 +4,9 @@ A line is the text between two line feeds; its form is its words (runs without
 ASCII white space) joined by single spaces.  Two lines are alike when at most
 one word was inserted, deleted or replaced between them (word edit distance 1
 or less).  A line goes when any line that comes earlier, by (id, line number),
-is alike; lines of fewer than ``min_words`` words always stay.
+is alike; lines of fewer than ``min_words`` words always stay.  With
+``edit_every`` lines are alike up to one edit for each so many words of the
+longer line (at least one).
 
 How: (1) equal forms are grouped by two 64-bit hashes, the earliest occurrence
 stands for the form.  (2) Of two forms at distance 1 one half must be equal, so
@@ -16,6 +18,13 @@ in the shorter form.  (4) Equal keys
 are joined, each row with the earliest member of its key only, so a template
 that thousands of lines share makes thousands of rows and not their square.
 (5) The edit distance of each pair is verified on the words.
+(6) For more edits than one an equal key proves nothing.  An edit changes at most
+GRAM runs of GRAM words, so of two forms within k edits each has a common run
+among its first k * GRAM + 1 in any order that is the same for all forms; this
+holds too where a form has fewer runs, as a pair within the bound shares one.
+Runs found often in a sample come last, so that a passage many lines share
+brings lines together only if little else is in them.  Each form is compared with
+the earliest of its keys first and, unless alike, with all the others.
 
 Defined cases: a null text stays null, an empty one empty.  Ids order by value,
 null last; rows with the same id and text are one document here and are treated
@@ -36,6 +45,10 @@ from .common import SPACE_CLASS, join_groups
 MIN_WORDS = 5
 ADDED = ("n_lines", "n_exact", "n_near", "emptied")
 POSITION = ("no_id", "id", "rid", "line_no")
+# Words of a run in the search for more than one edit; from LEAST_EVERY on a pair within the bound shares a run.
+GRAM, LEAST_EVERY = 6, 10
+# Runs that come last in the order: at most so many, found in so many lines of one document in SAMPLE.
+HOT_RUNS, HOT_LINES, SAMPLE = 2000, 4, 16
 
 
 def _has_words(line: Column, n: int) -> Column:
@@ -50,6 +63,10 @@ def _form(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(line, f"{SPACE_CLASS}+", " "))).otherwise(line)
 
 
+def _n_words(form: Column) -> Column:
+    return (F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
 def _first(form: Column, n: Column) -> Column:
     return F.call_function("substring_index", form, F.lit(" "), n.cast("int"))
 
@@ -81,6 +98,18 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(n == m, replaced).when(m == n + 1, inserted).otherwise(False)
 
 
+def within(a: Column, b: Column, k: Column) -> Column:
+    """True if the word edit distance of two forms is at most k: each word becomes one character of its own."""
+    a, b = F.split(a, " "), F.split(b, " ")
+    known = F.array_union(a, b)
+
+    def characters(words: Column) -> Column:
+        code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0"))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+    return F.call_function("levenshtein", characters(a), characters(b), k.cast("int")) >= 0
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text.alias("t"),
@@ -158,16 +187,85 @@ def neighbourhood(texts: DataFrame) -> DataFrame:
         "no", "k.role", "k.key")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               min_words: int = MIN_WORDS) -> DataFrame:
+def _runs(form: Column) -> Column:
+    """The distinct runs of GRAM words of a form, as hashes."""
+    words = F.transform(F.split(form, " "), lambda w: F.xxhash64(w))
+    places = F.sequence(F.lit(1), F.size(words) - (GRAM - 1))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, GRAM))))
+
+
+def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: int) -> DataFrame:
+    """The forms (h1, h2 and position) not in ``near`` that have an earlier form within more edits than one."""
+    form, least = F.col("form"), 2 * (edit_every - 1)
+    wide = lines.where(F.length("line") >= 2 * least - 1).select(*POSITION, _form(F.col("line")).alias("form"))
+    wide = wide.withColumn("n", _n_words(form)).where(F.col("n") >= least)
+    often = (wide.where(F.pmod("rid", F.lit(SAMPLE)) == 0).select(F.explode(_runs(form)).alias("run"))
+             .groupBy("run").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= HOT_LINES))
+    # at most HOT_RUNS numbers reach the driver
+    hot = [r["run"] for r in often.orderBy(F.col("found").desc(), "run").limit(HOT_RUNS).collect()]
+
+    # a partner is longer by k at most, so k edits need n + k >= edit_every * k words
+    most = F.floor(F.col("n") / (edit_every - 1)).cast("int")
+    ordered = F.sort_array(F.transform(_runs(form), lambda x: F.struct(x.isin(hot).alias("hot"), x.alias("run"))))
+    keys = F.slice(F.transform(ordered, lambda x: x["run"]), 1, most * GRAM + 1)
+    far = wide.select("rid", "line_no", F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"), "n",
+                      keys.alias("keys"))
+    far = far.join(forms.select("h1", "h2", *POSITION), ["h1", "h2", "rid", "line_no"]).dropDuplicates(["h1", "h2"])
+    far = materialize(far.select(F.monotonically_increasing_id().alias("no"), "h1", "h2",
+                                 F.struct(*POSITION).alias("pos"), "n", "keys"), "line-far")
+    places = far.select("no", "pos", "n")
+    meet = only_repeated(materialize(far.select("no", F.explode("keys").alias("key")), "line-far-keys"), "key")
+    meet = materialize(meet.join(places, "no"), "line-far-meet")
+    met = materialize(far.join(meet.select("no").distinct(), "no").select("no", "h1", "h2", "pos.*", "n"), "line-far-met")
+
+    # the words of the forms that meet another
+    size = filter_words(met.count())
+    place = F.xxhash64("rid", "line_no")
+    texts = probe(lines, place, filter_of(met, place, size), size, 3).where("_maybe")
+    texts = (texts.select("rid", "line_no", _form(F.col("line")).alias("form"))
+             .withColumns({"h1": F.xxhash64("form"), "h2": F.xxhash64("form", F.lit(2))})
+             .join(met.select("no", "h1", "h2", "rid", "line_no"), ["h1", "h2", "rid", "line_no"])
+             .dropDuplicates(["no"]).select("no", "form"))
+    texts = materialize(texts, "line-far-texts")
+
+    bound = F.floor(F.greatest("n", "lead_n") / edit_every)
+    close = F.abs(F.col("n") - F.col("lead_n")) <= bound
+
+    def alike_ones(pairs: DataFrame, name: str) -> DataFrame:
+        """The numbers of the later forms of the pairs (no, n, lead, lead_n) that are alike."""
+        pairs = materialize(pairs.where(close).distinct(), f"line-{name}-pairs")
+        leads = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("led"))
+        leads = materialize(leads.join(texts.select(F.col("no").alias("lead"), F.col("form").alias("lead_form")), "lead"),
+                            f"line-{name}-leads")
+        pairs = join_groups(pairs, leads, ["lead"], "led", pairs.count()).join(texts, "no")
+        return materialize(pairs.where(within(form, F.col("lead_form"), bound)).select("no").distinct(), f"line-{name}")
+
+    groups = meet.groupBy("key").agg(F.count(F.lit(1)).alias("members"),
+                                     F.min(F.struct("pos", "no", "n")).alias("lead")).where("members > 1")
+    groups = materialize(groups, "line-far-groups")
+    known = materialize(met.join(near.select("h1", "h2"), ["h1", "h2"]).select("no"), "line-far-known")
+    open_ = meet.join(known, "no", "left_anti")
+    led = join_groups(open_, groups, ["key"], "members", meet.count()).where("lead.pos < pos")
+    first = alike_ones(led.select("no", "n", F.col("lead.no").alias("lead"), F.col("lead.n").alias("lead_n")), "first")
+    earlier = meet.select("key", F.col("no").alias("lead"), F.col("n").alias("lead_n"), F.col("pos").alias("lead_pos"))
+    rest = open_.join(first, "no", "left_anti").join(earlier, "key").where("lead_pos < pos")
+    other = alike_ones(rest.select("no", "n", "lead", "lead_n"), "other")
+    return met.join(first.unionByName(other), "no").select("h1", "h2", *POSITION)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+               edit_every: int | None = None) -> DataFrame:
     """The input with the text of the lines that stay, and ADDED.
 
     n_lines: lines before; n_exact, n_near: lines that went as equal or near
     ones; emptied: some line went and no word is left.
+    ``edit_every``: words of the longer line for each edit (one edit if not given).
     """
+    if edit_every is not None and edit_every < LEAST_EVERY:
+        raise ValueError(f"edit_every must be at least {LEAST_EVERY}")
     lines = _lines(docs, id_col, text_col, min_words)
     form = F.col("form")
-    n = (F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1).cast("int")
+    n = _n_words(form)
     table = materialize(
         lines.withColumn("form", _form(F.col("line")))
         .select(*POSITION, F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"),
@@ -176,6 +274,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min(F.struct(*POSITION)).alias("pos"), F.first("halves").alias("halves"))
     forms = materialize(forms.select("h1", "h2", "pos.*", "halves"), "line-forms")
     near = materialize(near_forms(lines, forms), "line-near")
+    if edit_every is not None:
+        near = materialize(near.unionByName(far_forms(lines, forms, near, edit_every)), "line-all-near")
 
     # a form has one earliest position, so a document gathers its own line numbers only
     marks = forms.select(*POSITION, F.lit(True).alias("first")).unionByName(

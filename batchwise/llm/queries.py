@@ -74,6 +74,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_exact", "n_near", "emptied", "text")
 
 
+@register("op6_line_dedup_whole")
+def op6_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near lines up to one edit in 20 words (at least one)."""
+    return line_dedup(table(spark, sf_dir, "documents"), edit_every=20).select(
+        "doc_id", "n_lines", "n_exact", "n_near", "emptied", "text")
+
+
 @register("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(vocabulary(BPE_FILE))
