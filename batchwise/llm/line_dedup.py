@@ -4,7 +4,8 @@ A line is the text between two line feeds; its form is its words (runs without
 ASCII white space) joined by single spaces.  Two lines are alike when at most
 one word was inserted, deleted or replaced between them (word edit distance 1
 or less).  A line goes when any line that comes earlier, by (id, line number),
-is alike; lines of fewer than ``min_words`` words always stay.  With
+is alike; lines of fewer than ``min_words`` words always stay.  Two parameters
+widen this: ``exact_words`` lets shorter lines go as exact repeats too, and with
 ``edit_every`` lines are alike up to one edit for each so many words of the
 longer line (at least one).
 
@@ -254,28 +255,34 @@ def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: i
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-               edit_every: int | None = None) -> DataFrame:
+               exact_words: int | None = None, edit_every: int | None = None) -> DataFrame:
     """The input with the text of the lines that stay, and ADDED.
 
     n_lines: lines before; n_exact, n_near: lines that went as equal or near
-    ones; emptied: some line went and no word is left.
+    ones; emptied: some line went and no word is left.  ``exact_words``: the
+    least words of a line that goes as an equal one (``min_words`` if not given).
     ``edit_every``: words of the longer line for each edit (one edit if not given).
     """
     if edit_every is not None and edit_every < LEAST_EVERY:
         raise ValueError(f"edit_every must be at least {LEAST_EVERY}")
-    lines = _lines(docs, id_col, text_col, min_words)
+    exact_words = min_words if exact_words is None else min(exact_words, min_words)
+    lines = _lines(docs, id_col, text_col, exact_words)
     form = F.col("form")
     n = _n_words(form)
+    halves = _half_keys(form, n)
+    if exact_words < min_words:
+        halves = F.when(n >= min_words, halves).otherwise(F.array().cast("array<long>"))
     table = materialize(
         lines.withColumn("form", _form(F.col("line")))
         .select(*POSITION, F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"),
-                _half_keys(form, n).alias("halves")), "lines")
+                halves.alias("halves")), "lines")
     forms = table.groupBy("h1", "h2").agg(
         F.min(F.struct(*POSITION)).alias("pos"), F.first("halves").alias("halves"))
     forms = materialize(forms.select("h1", "h2", "pos.*", "halves"), "line-forms")
     near = materialize(near_forms(lines, forms), "line-near")
     if edit_every is not None:
-        near = materialize(near.unionByName(far_forms(lines, forms, near, edit_every)), "line-all-near")
+        long_lines = lines if exact_words == min_words else lines.where(_has_words(F.col("line"), min_words))
+        near = materialize(near.unionByName(far_forms(long_lines, forms, near, edit_every)), "line-all-near")
 
     # a form has one earliest position, so a document gathers its own line numbers only
     marks = forms.select(*POSITION, F.lit(True).alias("first")).unionByName(
@@ -293,7 +300,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.array().cast("array<int>")
     firsts, nears = F.coalesce("firsts", none), F.coalesce("nears", none)
     numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(
-        x.alias("line"), i.alias("i"), _has_words(x, min_words).alias("counted")))
+        x.alias("line"), i.alias("i"), _has_words(x, exact_words).alias("counted")))
     stays = F.filter("_lines", lambda s: ~s["counted"] | (
         F.array_contains(F.col("_firsts"), s["i"]) & ~F.array_contains(F.col("_nears"), s["i"])))
     joined = joined.withColumns({"_lines": numbered, "_firsts": firsts, "_nears": nears}).withColumn("_stay", stays)

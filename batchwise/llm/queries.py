@@ -76,8 +76,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_line_dedup_whole")
 def op6_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near lines up to one edit in 20 words (at least one)."""
-    return line_dedup(table(spark, sf_dir, "documents"), edit_every=20).select(
+    """Exact repeats of every line with a word, and near lines up to one edit in 20 words (at least one)."""
+    return line_dedup(table(spark, sf_dir, "documents"), exact_words=1, edit_every=20).select(
         "doc_id", "n_lines", "n_exact", "n_near", "emptied", "text")
 
 

@@ -1,4 +1,4 @@
-"""Line dedup with a bound that grows with the line, against plain Python."""
+"""Line dedup with a bound that grows with the line, and exact repeats of short lines, against plain Python."""
 
 import random
 
@@ -79,6 +79,13 @@ def test_edit_bound_grows_with_the_line(spark):
     assert sum(w[3] for w in want) > sum(w[3] for w in dedup(rows, 5, 10 ** 9)) + 10
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    rows = [(1, "a b\none\n \na b c d e f"), (2, "a  b\none\n\none two"), (3, "one\na b c d e g\none too\n,")]
+    got = got_of(spark, rows, exact_words=1)
+    assert got == dedup(rows, 1, 10 ** 9)
+    assert [r[2] for r in got] == [0, 2, 1]
+
+
 def test_within_counts_words(spark):
     rng = random.Random(5)
     pairs = [([rng.choice("abc") * 3 for _ in range(rng.randint(1, 9))],
