@@ -141,11 +141,11 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
                        "line-meet")
     longer = F.col("role") == "longer"
     entry = F.struct("pos", "no")
-    groups = meet.groupBy("key").agg(
+    groups = meet.groupBy("key", "check").agg(
         F.count(F.lit(1)).alias("members"), F.min(F.when(~longer, entry)).alias("lead"),
         F.min(F.when(longer, entry)).alias("lead_longer")).where("members > 1")
     groups = materialize(groups, "line-groups")
-    pairs = join_groups(meet, groups, ["key"], "members", meet.count())
+    pairs = join_groups(meet, groups, ["key", "check"], "members", meet.count())
     # a replaced word meets replaced ones, a shorter line meets longer ones, and the other way round
     lead = F.when(F.col("role") == "shorter", F.col("lead_longer")).otherwise(F.col("lead"))
     pairs = (pairs.withColumn("lead", lead).where("lead.pos < pos")
@@ -160,32 +160,38 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def neighbourhood(texts: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of each form: rows (no, role, key), in time linear in the words.
+    """The deletion neighbourhood of each form: rows (no, role, key, check), in time linear in the words.
 
     A variant is the words before a place and the words after it.  Both are
-    hashed as sums over words with their places (from the left, from the right),
-    so running sums give every variant of a form in one pass.
+    hashed as exclusive or over words with their places (from the left, from the
+    right), so running ones give every variant of a form in one pass; ``check``
+    is a second hash, independent of ``key``.
     """
-    words = texts.select("no", "n", F.posexplode(F.split("form", " ")).alias("i", "w"))
-    narrow = F.lit((1 << 40) - 1)
-    before = F.xxhash64("w", "i").bitwiseAND(narrow)
-    after = F.xxhash64("w", F.col("i") - F.col("n")).bitwiseAND(narrow)
-    words = words.select("no", "n", "i", before.alias("left"), after.alias("right"))
+    # forms move, not their words' hashes
+    words = texts.repartition("no").select("no", "n", F.posexplode(F.split("form", " ")).alias("i", "w"))
+    seeds = (1, 2)
+    words = words.select("no", "n", "i", *[c for s in seeds for c in (
+        F.xxhash64("w", "i", F.lit(s)).alias(f"left{s}"),
+        F.xxhash64("w", F.col("i") - F.col("n"), F.lit(s)).alias(f"right{s}"))])
     line = Window.partitionBy("no")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    sums = words.withColumns({"lefts": F.sum("left").over(upto), "all_right": F.sum("right").over(line),
-                              "rights": F.sum("right").over(upto)})
-    left, right = F.col("lefts") - F.col("left"), F.col("all_right") - F.col("rights")
+    sums = words.withColumns({k: v for s in seeds for k, v in (
+        (f"lefts{s}", F.bit_xor(f"left{s}").over(upto)), (f"all_right{s}", F.bit_xor(f"right{s}").over(line)),
+        (f"rights{s}", F.bit_xor(f"right{s}").over(upto)))})
+    left = [F.col(f"lefts{s}").bitwiseXOR(F.col(f"left{s}")) for s in seeds]
+    right = [F.col(f"all_right{s}").bitwiseXOR(F.col(f"rights{s}")) for s in seeds]
+    own_right = [r.bitwiseXOR(F.col(f"right{s}")) for r, s in zip(right, seeds, strict=True)]
 
-    def variant(role: str, kind: str, n: Column, i: Column, before: Column, after: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(kind), n, i, before, after).alias("key"))
+    def variant(role: str, kind: str, n: Column, i: Column, before: list[Column], after: list[Column]) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(kind), n, i, before[0], after[0]).alias("key"),
+                        F.hash(F.lit(kind), n, i, before[1], after[1]).alias("check"))
 
     n, i = F.col("n"), F.col("i")
     kinds = [variant("replaced", "word", n, i, left, right), variant("longer", "gap", n - 1, i, left, right),
-             variant("shorter", "gap", n, i, left, right + F.col("right"))]
-    end = variant("shorter", "gap", n, n, F.col("lefts"), F.lit(0).cast("long"))
+             variant("shorter", "gap", n, i, left, own_right)]
+    end = variant("shorter", "gap", n, n, [F.col(f"lefts{s}") for s in seeds], [F.lit(0).cast("long")] * 2)
     return sums.select("no", F.explode(F.when(i == n - 1, F.array(*kinds, end)).otherwise(F.array(*kinds))).alias("k")).select(
-        "no", "k.role", "k.key")
+        "no", "k.role", "k.key", "k.check")
 
 
 def _runs(form: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from batchwise.llm import line_dedup as module
 from batchwise.llm.line_dedup import line_dedup, within
 from tests.llm import brute
 
@@ -93,3 +94,15 @@ def test_within_counts_words(spark):
     rows = [(" ".join(a), " ".join(b), k, distance(a, b) <= k) for a, b in pairs for k in (1, 2, 4)]
     frame = spark.createDataFrame(rows, "a string, b string, k int, want boolean")
     assert frame.where(within(F.col("a"), F.col("b"), F.col("k")) != F.col("want")).count() == 0
+
+
+def test_forms_with_the_same_key_keep_apart(spark, monkeypatch):
+    """Were one hash equal for all forms, the other would still find each near partner."""
+    whole = module.neighbourhood
+    monkeypatch.setattr(module, "neighbourhood", lambda texts: whole(texts).withColumn("key", F.lit(0).cast("long")))
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefgh") * 2 for _ in range(9)] for _ in range(12)]
+    lines = base + [edited(rng, x, 1, ["new"]) for x in base]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    want = dedup(rows, 5, 10 ** 9)
+    assert got_of(spark, rows) == want and sum(w[3] for w in want) >= 10
