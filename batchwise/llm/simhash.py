@@ -251,25 +251,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of rows sorted by (part, key, block, own first): each own entry against the rest of its run."""
+    """Edges (a, b) of rows sorted by (part, key, block, own first): each own entry against the rest of its run.
+
+    Of a run that goes on only the own entries are kept, at most a block of them: each batch meets them at once.
+    """
     carry: list[np.ndarray] | None = None
 
-    def edges(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def edges(cols: list[np.ndarray], old: int) -> Iterator[pa.RecordBatch]:
+        """The first ``old`` rows have met one another."""
         part, key, block, fp, own = cols
         n = len(fp)
         if n < 2:
             return
         new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
         end = np.repeat(np.append(new, n), np.diff(np.concatenate([[0], new, [n]])))
-        first = np.flatnonzero(own & (end > np.arange(n) + 1))
-        count = end[first] - first - 1
+        start = np.maximum(np.arange(n) + 1, old)
+        first = np.flatnonzero(own & (end > start))
+        count = end[first] - start[first]
         until = np.cumsum(count)
         at = 0
         while at < len(first):
             to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + PAIRS, "right")))
             f, c = first[at:to], count[at:to]
             left = np.repeat(f, c)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            right = np.repeat(start[f], c) + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
             near = np.bitwise_count(fp[left] ^ fp[right]) <= distance
             a, b = fp[left[near]], fp[right[near]]
             different = a != b
@@ -281,18 +286,17 @@ def verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         cols[3] = cols[3].astype(np.int64).view(np.uint64)
-        if carry is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
         if not len(cols[3]):
             continue
-        part, key, block = cols[:3]
+        old = 0
+        if carry is not None:
+            old = len(carry[3])
+            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
+        yield from edges(cols, old)
         # the last run may go on in the next batch
-        same = (part == part[-1]) & (key == key[-1]) & (block == block[-1])
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        yield from edges([x[:cut] for x in cols])
-        carry = [x[cut:] for x in cols]
-    if carry is not None:
-        yield from edges(carry)
+        part, key, block, _, own = cols
+        kept = (part == part[-1]) & (key == key[-1]) & (block == block[-1]) & own.astype(bool)
+        carry = [x[kept] for x in cols]
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
