@@ -49,7 +49,7 @@ POSITION = ("no_id", "id", "rid", "line_no")
 # Words of a run in the search for more than one edit; from LEAST_EVERY on a pair within the bound shares a run.
 GRAM, LEAST_EVERY = 6, 10
 # Runs that come last in the order: at most so many, found in so many lines of one document in SAMPLE.
-HOT_RUNS, HOT_LINES, SAMPLE = 2000, 4, 16
+HOT_RUNS, HOT_LINES, SAMPLE = 500, 4, 16
 
 
 def _has_words(line: Column, n: int) -> Column:
@@ -101,14 +101,19 @@ def alike(a: Column, b: Column) -> Column:
 
 def within(a: Column, b: Column, k: Column) -> Column:
     """True if the word edit distance of two forms is at most k: each word becomes one character of its own."""
-    a, b = F.split(a, " "), F.split(b, " ")
-    known = F.array_union(a, b)
+    a, b, k = F.split(a, " "), F.split(b, " "), k.cast("int")
 
-    def characters(words: Column) -> Column:
+    def characters(words: Column, known: Column) -> Column:
         code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0"))
         return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
-    return F.call_function("levenshtein", characters(a), characters(b), k.cast("int")) >= 0
+    # the array of one struct binds its fields, so that they are worked out once and not for each word
+    once = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_union(a, b).alias("known")))
+    verified = F.element_at(F.transform(once, lambda s: F.call_function(
+        "levenshtein", characters(s["a"], s["known"]), characters(s["b"], s["known"]), k) >= 0), 1)
+    # each word that the other form lacks takes an edit
+    lacking = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+    return F.when(lacking > k, False).otherwise(verified)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -213,10 +218,11 @@ def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: i
 
     # a partner is longer by k at most, so k edits need n + k >= edit_every * k words
     most = F.floor(F.col("n") / (edit_every - 1)).cast("int")
-    ordered = F.sort_array(F.transform(_runs(form), lambda x: F.struct(x.isin(hot).alias("hot"), x.alias("run"))))
-    keys = F.slice(F.transform(ordered, lambda x: x["run"]), 1, most * GRAM + 1)
+    last = F.lit(hot).cast("array<long>") if hot else F.array().cast("array<long>")
+    keys = F.concat(F.sort_array(F.array_except("runs", last)), F.sort_array(F.array_intersect("runs", last)))
     far = wide.select("rid", "line_no", F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"), "n",
-                      keys.alias("keys"))
+                      _runs(form).alias("runs"))
+    far = far.withColumn("keys", F.slice(keys, 1, most * GRAM + 1)).drop("runs")
     far = far.join(forms.select("h1", "h2", *POSITION), ["h1", "h2", "rid", "line_no"]).dropDuplicates(["h1", "h2"])
     far = materialize(far.select(F.monotonically_increasing_id().alias("no"), "h1", "h2",
                                  F.struct(*POSITION).alias("pos"), "n", "keys"), "line-far")
