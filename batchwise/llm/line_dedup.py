@@ -36,6 +36,8 @@ replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,10 +109,9 @@ def within(a: Column, b: Column, k: Column) -> Column:
         code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0"))
         return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
-    # the array of one struct binds its fields, so that they are worked out once and not for each word
-    once = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_union(a, b).alias("known")))
-    verified = F.element_at(F.transform(once, lambda s: F.call_function(
-        "levenshtein", characters(s["a"], s["known"]), characters(s["b"], s["known"]), k) >= 0), 1)
+    both = F.struct(a.alias("a"), b.alias("b"), F.array_union(a, b).alias("known"))
+    verified = _once(both, lambda s: F.call_function(
+        "levenshtein", characters(s["a"], s["known"]), characters(s["b"], s["known"]), k) >= 0)
     # each word that the other form lacks takes an edit
     lacking = F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
     return F.when(lacking > k, False).otherwise(verified)
@@ -199,11 +200,16 @@ def neighbourhood(texts: DataFrame) -> DataFrame:
         "no", "k.role", "k.key", "k.check")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, not for each place that names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _runs(form: Column) -> Column:
     """The distinct runs of GRAM words of a form, as hashes."""
     words = F.transform(F.split(form, " "), lambda w: F.xxhash64(w))
-    places = F.sequence(F.lit(1), F.size(words) - (GRAM - 1))
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, GRAM))))
+    return _once(words, lambda ws: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size(ws) - (GRAM - 1)), lambda i: F.xxhash64(F.slice(ws, i, GRAM)))))
 
 
 def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: int) -> DataFrame:
@@ -219,10 +225,10 @@ def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: i
     # a partner is longer by k at most, so k edits need n + k >= edit_every * k words
     most = F.floor(F.col("n") / (edit_every - 1)).cast("int")
     last = F.lit(hot).cast("array<long>") if hot else F.array().cast("array<long>")
-    keys = F.concat(F.sort_array(F.array_except("runs", last)), F.sort_array(F.array_intersect("runs", last)))
+    keys = _once(_runs(form), lambda r: F.slice(F.concat(
+        F.sort_array(F.array_except(r, last)), F.sort_array(F.array_intersect(r, last))), 1, most * GRAM + 1))
     far = wide.select("rid", "line_no", F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"), "n",
-                      _runs(form).alias("runs"))
-    far = far.withColumn("keys", F.slice(keys, 1, most * GRAM + 1)).drop("runs")
+                      keys.alias("keys"))
     far = far.join(forms.select("h1", "h2", *POSITION), ["h1", "h2", "rid", "line_no"]).dropDuplicates(["h1", "h2"])
     far = materialize(far.select(F.monotonically_increasing_id().alias("no"), "h1", "h2",
                                  F.struct(*POSITION).alias("pos"), "n", "keys"), "line-far")
