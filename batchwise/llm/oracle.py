@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import MIN_WORDS
+from .merkle import FANOUT
 from .mixing import MAX_COUNT, MAX_MEAN
 from .quality_rules import DELTA, MAX_FALSE_REJECTION, MIN_WORDS as MIN_TEXT_WORDS, RULES, STEPS
 from .parameters import LISTED_DOMAINS, URL_RULES
@@ -157,3 +158,65 @@ parts AS (
 SELECT page_id, host, path, CASE {names} END AS rule,
        CASE {verdicts} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict
 FROM parts"""
+
+
+def _folds(name: str, levels: int) -> str:
+    """CTEs that fold the trees of <name>0 (tree, r, d, n): <name>1, ..., and their runs <name>_runs0, ..."""
+    return ",".join(f"""
+{name}_runs{k} AS (
+  SELECT tree, r // {FANOUT} AS r, list(d ORDER BY r) AS ds, any_value(n) AS n FROM {name}{k} GROUP BY tree, r // {FANOUT}),
+{name}{k + 1} AS (
+  SELECT tree, r, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d,
+         (n + {FANOUT - 1}) // {FANOUT} AS n FROM {name}_runs{k})""" for k in range(levels))
+
+
+def _climbs(name: str, levels: int) -> str:
+    """CTEs that carry <name>_at0 (tree, r, proof, node, ...) up the runs of <name>: proofs grow, nodes are folded."""
+    left, right = f"s.ds[1:p.r % {FANOUT}]", f"s.ds[p.r % {FANOUT} + 2:]"
+    return ",".join(f"""
+{name}_at{k + 1} AS (
+  SELECT p.* EXCLUDE (r, proof, node), p.r // {FANOUT} AS r,
+         CASE WHEN s.n > 1 THEN p.proof || array_to_string(list_concat({left}, {right}), '') ELSE p.proof END AS proof,
+         CASE WHEN s.n > 1 THEN sha256(array_to_string({left}, '') || p.node || array_to_string({right}, ''))
+              ELSE p.node END AS node
+  FROM {name}_at{k} p JOIN {name}_runs{k} s ON s.tree = p.tree AND s.r = p.r // {FANOUT})""" for k in range(levels))
+
+
+# Levels of the folds in SQL: enough for FANOUT ** LEVELS leaves of a language and FANOUT ** TOP_LEVELS languages.
+LEVELS, TOP_LEVELS = 8, 3
+
+
+def merkle_sql() -> str:
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 bit by bit, reflected polynomial 0xEDB88320
+    bits = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, bytes), lambda acc, b: {bits}), 4294967295)"
+    return f"""
+WITH given AS (
+  SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM documents),
+hashed AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf,
+         {leaf(f"(CASE WHEN {crc} % 3 = 0 THEN {lowered} ELSE text END)")} AS seen
+  FROM given),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM hashed),
+low0 AS (SELECT tree, r, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_folds("low", LEVELS)},
+top0 AS (SELECT 0 AS tree, tree AS r, d, count(*) OVER () AS n FROM low{LEVELS}),
+{_folds("top", TOP_LEVELS)},
+low_at0 AS (SELECT doc_id, leaf, tree, r, '' AS proof, seen AS node FROM leaves),
+{_climbs("low", LEVELS)},
+top_at0 AS (
+  SELECT a.doc_id, a.leaf, l.d AS subroot, 0 AS tree, a.tree AS r, a.proof, a.node
+  FROM low_at{LEVELS} a JOIN low{LEVELS} l USING (tree)),
+{_climbs("top", TOP_LEVELS)}
+SELECT a.doc_id, a.leaf, a.subroot, t.d AS root, sha256(a.proof) AS proof_sha256, a.node AS folded_root,
+       a.node = t.d AS verified
+FROM top_at{TOP_LEVELS} a, top{TOP_LEVELS} t"""

@@ -6,6 +6,10 @@ from .url_filter import Rule
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
+# Shards of the sharding query.
+SHARDS = 24
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 

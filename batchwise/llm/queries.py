@@ -11,14 +11,17 @@ from . import oracle as O
 from .byte_bpe import digests, encode, read_ranks
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .merkle import verify
 from .mixing import mix_sources
-from .parameters import BPE_FILE, LISTED_DOMAINS, URL_RULES, pattern, vocabulary
+from .parameters import BPE_FILE, LISTED_DOMAINS, SHARDS, URL_RULES, pattern, vocabulary
 from .quality_rules import quality_rules
 from .rule_ensemble import classify_quality
+from .sharding import shard_records
 from .simhash import simhash_dedup
 from .token_counts import count_tokens
 from .toxicity_fm import score_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, Callable[[], str]] = {}
@@ -104,3 +107,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
     return judge_urls(table(spark, sf_dir, "pages"), listed, URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_merkle_manifest", O.merkle_sql)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 is divisible by 3 are seen with their text's A-Z lower-cased."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return verify(table(spark, sf_dir, "documents"), seen={"text": F.when(hit, lowered).otherwise(F.col("text"))})
+
+
+@register("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(table(spark, sf_dir, "documents"), SHARDS)
