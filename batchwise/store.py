@@ -30,7 +30,15 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     path = scratch_path(spark, name)
     write_table(df, path, partition_by)
     # the schema is known: no inference pass over the written files
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize``, once all that was made from them is itself written."""
+    for table in tables:
+        drop_path(table.sparkSession, table.scratch)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
