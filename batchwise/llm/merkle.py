@@ -106,9 +106,9 @@ def build_manifest(leaves: DataFrame, id_col: str, group_col: str) -> Manifest:
     rows = ranked(rows, [group_col], [id_col, "leaf", "_row"], "merkle-order").drop("_row")
     rows = rows.join(groups, rows[group_col].eqNullSafe(groups["name"])).drop("name").withColumn("digest", F.col("leaf"))
     lower = fold_up(materialize(rows, "merkle-leaves"), "merkle")
-    upper = fold_up(lower.tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"), "digest"),
-                    "merkle-upper")
-    return Manifest(lower, upper)
+    upper = materialize(lower.tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"), "digest"),
+                        "merkle-upper-leaves")
+    return Manifest(lower, fold_up(upper, "merkle-upper"))
 
 
 def _segment(children: Column, digit: Column) -> Column:
@@ -160,11 +160,10 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     leaves = leaves.withColumn("up", F.floor(F.col("rank") / FANOUT)).join(runs, ["tree", "up"])
     own = F.when(F.col("children").isNotNull(), _segment(F.col("children"), F.col("rank") % FANOUT)).otherwise(
         F.array().cast(SEGMENTS))
-    tops = lower.tops.select("tree", F.col("digest").alias("subroot"))
-    root = upper.tops.select(F.col("tree").alias("_zero"), F.col("digest").alias("root"))
+    # the root is a single digest, or there is none and no leaf either
+    root = upper.tops.first()
+    tops = lower.tops.select("tree", F.col("digest").alias("subroot"), F.lit(root and root["digest"]).cast("string").alias("root"))
     others = [c for c in lower.nodes.columns if c != "digest"]
-    # a subroot for each group, one root: as many rows as groups, joined by their number
-    tops = tops.withColumn("_zero", F.lit(0).cast("long")).join(root, "_zero").drop("_zero")
     return leaves.join(tops, "tree").select(*others, "subroot", "root", F.reverse(F.concat("path", own)).alias("path"))
 
 
