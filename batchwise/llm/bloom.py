@@ -74,13 +74,17 @@ def probe(rows: DataFrame, key: Column, words_table: DataFrame, words: int, hash
             .select(*kept, (found.bitwiseAND(F.col("_mask")) == F.col("_mask")).alias(flag)))
 
 
-def only_repeated(rows: DataFrame, key: str, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """A written table of the values of ``key`` that two or more rows have; only the keys are counted by shuffle."""
+    return materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated-keys")
+
+
+def only_repeated(rows: DataFrame, key: str, twice: DataFrame | None = None, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The rows whose ``key`` occurs in two or more rows, and few others, without moving the rows.
 
-    Only the keys are counted by shuffle; the repeated ones become a filter.
+    ``twice`` (``repeated_keys``, worked out if not given) becomes a filter.
     """
-    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    twice = materialize(twice, "repeated-keys")
+    twice = repeated_keys(rows, key) if twice is None else twice
     words = filter_words(twice.count(), max_bytes=max_bytes)
     marked = probe(rows, F.col(key), filter_of(twice, F.col(key), words), words, 3)
     return marked.where("_maybe").drop("_maybe")

@@ -4,8 +4,8 @@ A line is the text between two line feeds; its form is its words (runs without
 ASCII white space) joined by single spaces.  Two lines are alike when at most
 one word was inserted, deleted or replaced between them (word edit distance 1
 or less).  A line goes when any line that comes earlier, by (id, line number),
-is alike; lines of fewer than ``min_words`` words always stay.  Two parameters
-widen this: ``exact_words`` lets shorter lines go as exact repeats too, and with
+is alike.  Shorter lines than ``min_words`` words go as exact repeats only, and
+those shorter than ``exact_words`` (lines without a word) always stay.  With
 ``edit_every`` lines are alike up to one edit for each so many words of the
 longer line (at least one).
 
@@ -26,8 +26,11 @@ holds too where a form has fewer runs, as a pair within the bound shares one.
 Runs found often in a sample come last, so that a passage many lines share
 brings lines together only if little else is in them.  Each form is compared with
 the earliest of its keys first and, unless alike, with all the others.
+(7) A document of which as many lines stay as count is untouched: a bounded filter
+lets it pass, and only the others meet the numbers of their lines by shuffle.
 
-Defined cases: a null text stays null, an empty one empty.  Ids order by value,
+Defined cases: a null text stays null, an empty one empty; a text of any length is
+read in its whole, a row a line.  Ids order by value,
 null last; rows with the same id and text are one document here and are treated
 alike.  An empty table gives an empty result.  All input columns are returned;
 those named like the added ones (text, n_lines, n_exact, n_near, emptied) are
@@ -41,8 +44,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import materialize
-from .bloom import filter_of, filter_words, only_repeated, probe
+from ..store import materialize, release
+from .bloom import filter_of, filter_words, only_repeated, probe, repeated_keys
 from .common import SPACE_CLASS, join_groups
 
 MIN_WORDS = 5
@@ -129,8 +132,9 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """The forms (h1, h2 and position) that have an earlier form at word edit distance 1."""
     # forms that share a half with another form
     halves = forms.select("h1", "h2", *POSITION, F.explode("halves").alias("half"))
-    some = only_repeated(halves, "half").select("h1", "h2", *POSITION).dropDuplicates(["h1", "h2"])
-    some = materialize(some, "line-candidates")
+    often = repeated_keys(halves, "half")
+    some = materialize(only_repeated(halves, "half", often).select("h1", "h2", *POSITION).dropDuplicates(["h1", "h2"]),
+                       "line-candidates")
     # their words: the text is read again, and a bounded filter keeps all but the wanted positions where they are
     words = filter_words(some.count())
     place = F.xxhash64("rid", "line_no")
@@ -142,9 +146,12 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
                      F.size(F.split("form", " ")).alias("n")))
     texts = materialize(texts, "line-texts")
     places = texts.select("no", "pos")
+    release(often, some)
 
-    meet = materialize(only_repeated(materialize(neighbourhood(texts), "line-keys"), "key").join(places, "no"),
-                       "line-meet")
+    keys = materialize(neighbourhood(texts), "line-keys")
+    often = repeated_keys(keys, "key")
+    meet = materialize(only_repeated(keys, "key", often).join(places, "no"), "line-meet")
+    release(keys, often)
     longer = F.col("role") == "longer"
     entry = F.struct("pos", "no")
     groups = meet.groupBy("key", "check").agg(
@@ -154,15 +161,17 @@ def near_forms(lines: DataFrame, forms: DataFrame) -> DataFrame:
     pairs = join_groups(meet, groups, ["key", "check"], "members", meet.count())
     # a replaced word meets replaced ones, a shorter line meets longer ones, and the other way round
     lead = F.when(F.col("role") == "shorter", F.col("lead_longer")).otherwise(F.col("lead"))
-    pairs = (pairs.withColumn("lead", lead).where("lead.pos < pos")
-             .select("no", F.col("lead.no").alias("lead")).distinct())
+    pairs = materialize(pairs.withColumn("lead", lead).where("lead.pos < pos")
+                        .select("no", F.col("lead.no").alias("lead")).distinct(), "line-pairs")
     # the earliest member of a key may lead many lines: its form is joined by its number of pairs
     leads = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("led"))
     leads = materialize(leads.join(texts.select(F.col("no").alias("lead"), F.col("form").alias("lead_form")), "lead"),
                         "line-leads")
-    pairs = materialize(pairs, "line-pairs")
-    pairs = join_groups(pairs, leads, ["lead"], "led", pairs.count()).join(texts, "no")
-    return pairs.where(alike(F.col("form"), F.col("lead_form"))).select("h1", "h2", "pos.*").dropDuplicates(["h1", "h2"])
+    found = join_groups(pairs, leads, ["lead"], "led", pairs.count()).join(texts, "no")
+    found = found.where(alike(F.col("form"), F.col("lead_form"))).select("h1", "h2", "pos.*").dropDuplicates(["h1", "h2"])
+    found = materialize(found, "line-near")
+    release(texts, meet, groups, pairs, leads)
+    return found
 
 
 def neighbourhood(texts: DataFrame) -> DataFrame:
@@ -233,8 +242,8 @@ def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: i
     far = materialize(far.select(F.monotonically_increasing_id().alias("no"), "h1", "h2",
                                  F.struct(*POSITION).alias("pos"), "n", "keys"), "line-far")
     places = far.select("no", "pos", "n")
-    meet = only_repeated(materialize(far.select("no", F.explode("keys").alias("key")), "line-far-keys"), "key")
-    meet = materialize(meet.join(places, "no"), "line-far-meet")
+    keys = materialize(far.select("no", F.explode("keys").alias("key")), "line-far-keys")
+    meet = materialize(only_repeated(keys, "key").join(places, "no"), "line-far-meet")
     met = materialize(far.join(meet.select("no").distinct(), "no").select("no", "h1", "h2", "pos.*", "n"), "line-far-met")
 
     # the words of the forms that meet another
@@ -272,18 +281,35 @@ def far_forms(lines: DataFrame, forms: DataFrame, near: DataFrame, edit_every: i
     return met.join(first.unionByName(other), "no").select("h1", "h2", *POSITION)
 
 
+def _marks(table: DataFrame, forms: DataFrame, near: DataFrame) -> DataFrame:
+    """_id, _rid and the numbers of the first and near lines of each document that loses a line.
+
+    A form has one earliest position, so a document gathers its own line numbers only.
+    """
+    place, number = ("no_id", "id", "rid"), F.lit(None).cast("int")
+    counted = table.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select(*place, "n", number.alias("first"), number.alias("near"))
+    for lines, kind in ((forms, "first"), (near, "near")):
+        rows = rows.unionByName(lines.select(*place, F.lit(0).cast("long").alias("n"), *[
+            (F.col("line_no") if kind == k else number).alias(k) for k in ("first", "near")]))
+    marks = rows.groupBy(*place).agg(F.sum("n").alias("n"), F.collect_list("first").alias("firsts"),
+                                     F.collect_list("near").alias("nears"))
+    return marks.where(F.col("n") > F.size("firsts") - F.size("nears")).select(
+        F.col("id").alias("_id"), F.col("rid").alias("_rid"), "firsts", "nears")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-               exact_words: int | None = None, edit_every: int | None = None) -> DataFrame:
+               exact_words: int = 1, edit_every: int | None = None) -> DataFrame:
     """The input with the text of the lines that stay, and ADDED.
 
     n_lines: lines before; n_exact, n_near: lines that went as equal or near
     ones; emptied: some line went and no word is left.  ``exact_words``: the
-    least words of a line that goes as an equal one (``min_words`` if not given).
+    least words of a line that goes as an equal one.
     ``edit_every``: words of the longer line for each edit (one edit if not given).
     """
     if edit_every is not None and edit_every < LEAST_EVERY:
         raise ValueError(f"edit_every must be at least {LEAST_EVERY}")
-    exact_words = min_words if exact_words is None else min(exact_words, min_words)
+    exact_words = min(exact_words, min_words)
     lines = _lines(docs, id_col, text_col, exact_words)
     form = F.col("form")
     n = _n_words(form)
@@ -297,31 +323,34 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forms = table.groupBy("h1", "h2").agg(
         F.min(F.struct(*POSITION)).alias("pos"), F.first("halves").alias("halves"))
     forms = materialize(forms.select("h1", "h2", "pos.*", "halves"), "line-forms")
-    near = materialize(near_forms(lines, forms), "line-near")
+    wide = _lines(docs, id_col, text_col, min_words)
+    near = near_forms(wide, forms)
     if edit_every is not None:
-        long_lines = lines if exact_words == min_words else lines.where(_has_words(F.col("line"), min_words))
-        near = materialize(near.unionByName(far_forms(long_lines, forms, near, edit_every)), "line-all-near")
-
-    # a form has one earliest position, so a document gathers its own line numbers only
-    marks = forms.select(*POSITION, F.lit(True).alias("first")).unionByName(
-        near.select(*POSITION, F.lit(False).alias("first")))
-    marks = marks.groupBy("no_id", "id", "rid").agg(
-        F.collect_list(F.when(F.col("first"), F.col("line_no"))).alias("firsts"),
-        F.collect_list(F.when(~F.col("first"), F.col("line_no"))).alias("nears"))
-    marks = marks.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"), "firsts", "nears")
+        near = materialize(near.unionByName(far_forms(wide, forms, near, edit_every)), "line-all-near")
+    marks = materialize(_marks(table, forms, near), "line-marks")
+    release(table, forms, near)
 
     others = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(id_col).alias("id"),
                        F.col(text_col).cast("string").alias("t"))
     rows = rows.withColumn("rid", F.xxhash64("id", "t"))
-    joined = rows.join(marks, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<int>")
-    firsts, nears = F.coalesce("firsts", none), F.coalesce("nears", none)
+    # a document whose lines all stay is not shuffled
+    size = filter_words(marks.count())
+    probed = probe(rows, F.col("rid"), filter_of(marks, F.col("_rid"), size), size, 3)
+    lone, none = F.array().cast("array<int>"), F.lit(0).cast("long")
+    untouched = probed.where("not _maybe").select(
+        "row", F.col("t").alias("_text"),
+        F.when(F.col("t").isNull(), none).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n_lines"),
+        none.alias("n_exact"), none.alias("n_near"), F.lit(False).alias("emptied"))
+
+    joined = probed.where("_maybe").join(
+        marks, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(
         x.alias("line"), i.alias("i"), _has_words(x, exact_words).alias("counted")))
-    stays = F.filter("_lines", lambda s: ~s["counted"] | (
+    stays = F.filter("_lines", lambda s: F.col("_rid").isNull() | ~s["counted"] | (
         F.array_contains(F.col("_firsts"), s["i"]) & ~F.array_contains(F.col("_nears"), s["i"])))
-    joined = joined.withColumns({"_lines": numbered, "_firsts": firsts, "_nears": nears}).withColumn("_stay", stays)
+    joined = joined.withColumns({"_lines": numbered, "_firsts": F.coalesce("firsts", lone),
+                                 "_nears": F.coalesce("nears", lone)}).withColumn("_stay", stays)
     gone = F.size("_lines") - F.size("_stay")
     joined = joined.withColumns({
         "_text": F.when(F.col("t").isNull(), F.lit(None)).when(gone == 0, F.col("t")).otherwise(
@@ -332,5 +361,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumns({
         "n_exact": F.col("_gone") - F.col("n_near"),
         "emptied": (F.col("_gone") > 0) & ~_has_words(F.coalesce("_text", F.lit("")), 1)})
+    out = untouched.unionByName(joined.select("row", "_text", *ADDED))
     kept = [(F.col("_text") if c == text_col else F.col("row").getField(c)).alias(c) for c in others]
-    return joined.select(*kept, *ADDED)
+    return out.select(*kept, *ADDED)

@@ -89,12 +89,12 @@ lines AS (
 counted AS (
   SELECT doc_id, i, line, regexp_extract_all(line, '{WORD}') AS ws FROM lines),
 formed AS (
-  SELECT *, len(ws) >= {MIN_WORDS} AS counted, array_to_string(ws, ' ') AS form FROM counted),
+  SELECT *, len(ws) >= 1 AS counted, array_to_string(ws, ' ') AS form FROM counted),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY counted, form ORDER BY doc_id, i) AS occurrence FROM formed),
 forms AS (
   SELECT form, ws, doc_id, i, row_number() OVER (ORDER BY doc_id, i) AS pos
-  FROM ranked WHERE counted AND occurrence = 1),
+  FROM ranked WHERE len(ws) >= {MIN_WORDS} AND occurrence = 1),
 cuts AS (
   SELECT pos, ws, form, unnest(range(1, len(ws) + 1)) AS k FROM forms),
 variants AS (

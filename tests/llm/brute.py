@@ -97,13 +97,16 @@ def dedup_lines(rows, least=5):
         kept, exact_n, near_n = [], 0, 0
         for line in t.split("\n"):
             ws = words(line)
-            if len(ws) < least:
+            if not ws:
                 kept.append(line)
                 continue
             if tuple(ws) in done:
                 exact_n += 1
                 continue
             done.add(tuple(ws))
+            if len(ws) < least:
+                kept.append(line)
+                continue
             if any(edits(ws, s) <= 1 for s in seen):
                 near_n += 1
             else:
