@@ -12,7 +12,8 @@ reads them (``fold``), so no word is left out and no occurrence is shuffled.
 Cutting uses the ``regex`` package, whose classes are those of the pattern.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes
-to nothing.  Repeated rows are encoded alike; an empty table gives an empty
+to nothing.  A text, and a word in it, may be of any length: merging a word of n
+bytes takes n log n steps.  Repeated rows are encoded alike; an empty table gives an empty
 result.  Input columns named n_tokens or ids are replaced.
 """
 
@@ -24,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
@@ -45,6 +47,8 @@ ROWS = 512
 # Tasks that fold the dictionary's words.
 TASKS = 24
 LONG_TEXT = 1 << 20
+# Bytes of a word beyond which its pairs are kept in a heap.
+LONG_WORD = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,6 +62,8 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     whole = ranks.get(word)
     if whole is not None:
         return (whole,)
+    if len(word) > LONG_WORD:
+        return fold_long(word, ranks)
     rank = ranks.get
     parts = [word[i:i + 1] for i in range(len(word))]
     pairs = [rank(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
@@ -73,6 +79,32 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts)
 
 
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """``fold`` in n log n steps: pairs wait in a heap by rank and place, parts are a linked list."""
+    end, rank = len(word), ranks.get
+    parts: list[bytes | None] = [word[i:i + 1] for i in range(end)]
+    before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+    heap = [(r, i) for i in range(end - 1) if (r := rank(word[i:i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        found, i = heappop(heap)
+        j = after[i]
+        # a pair that has changed since it was put there
+        if parts[i] is None or j == end or rank(parts[i] + parts[j]) != found:
+            continue
+        parts[i] += parts[j]
+        parts[j] = None
+        after[i] = k = after[j]
+        if k < end:
+            before[k] = i
+            if (r := rank(parts[i] + parts[k])) is not None:
+                heappush(heap, (r, i))
+        h = before[i]
+        if h >= 0 and (r := rank(parts[h] + parts[i])) is not None:
+            heappush(heap, (r, h))
+    return tuple(ranks[p] for p in parts if p is not None)
+
+
 class Encoder(dict):
     """Packed ids by word: what is not at hand is folded, and kept while there is room."""
 
