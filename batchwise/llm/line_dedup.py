@@ -315,7 +315,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = _n_words(form)
     halves = _half_keys(form, n)
     if exact_words < min_words:
-        halves = F.when(n >= min_words, halves).otherwise(F.array().cast("array<long>"))
+        # cut, not chosen: in the branch of a condition the form would be worked out again for each use
+        halves = F.slice(halves, F.lit(1), F.when(n >= min_words, F.lit(4)).otherwise(F.lit(0)))
     table = materialize(
         lines.withColumn("form", _form(F.col("line")))
         .select(*POSITION, F.xxhash64("form").alias("h1"), F.xxhash64("form", F.lit(2)).alias("h2"),
