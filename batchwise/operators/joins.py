@@ -11,6 +11,8 @@ buckets.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,25 @@ def broadcast_if_bounded(model: DataFrame, max_rows: int, row_bytes: int = MODEL
     if max_rows * row_bytes <= limit:
         return F.broadcast(model)
     return model
+
+
+# A key is hot when it holds more than this share (1/HOT_KEYS) of all rows, so there are at most HOT_KEYS hot keys.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str, row_bytes: int = MODEL_ROW_BYTES,
+                 limit: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with a written table of one row per key that knows its number of rows (``count``).
+
+    A table whose counted size fits ``limit`` is broadcast.  Beyond it the hot
+    keys, at most HOT_KEYS, are broadcast and their rows stay where they are;
+    the others are joined by shuffle, where no key has a larger share than that.
+    """
+    n, total = table.agg(F.count(F.lit(1)), F.sum(count)).first()
+    if n * row_bytes <= (MAX_BROADCAST_BYTES if limit is None else limit):
+        return rows.join(F.broadcast(table.drop(count)), list(keys))
+    least = max(1, (total or 0) // HOT_KEYS)
+    stay = rows.join(F.broadcast(table.where(F.col(count) > least).drop(count)), list(keys))
+    move = rows.join(F.broadcast(table.where(F.col(count) > least).select(*keys)), list(keys), "left_anti").join(
+        table.where(F.col(count) <= least).drop(count), list(keys))
+    return stay.unionByName(move)

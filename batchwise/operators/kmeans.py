@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..store import materialize
 from .features import long_features
-from .joins import MAX_BROADCAST_BYTES, MODEL_ROW_BYTES, broadcast_if_bounded
+from .joins import MAX_BROADCAST_BYTES, MODEL_ROW_BYTES, broadcast_if_bounded, join_counted
 from .scoring import argmin, dots_array, drop_dots, sparse_class_sums
 
 DIST_DIGITS = 9
@@ -206,22 +206,25 @@ def silhouette_samples(assigned: DataFrame, rows: DataFrame, k: int, n_features:
     with S_C = sum of the members' vectors and Q_C = sum of their |x|^2, so
     no pair of rows is ever formed.  a(i) excludes i itself (|C| - 1); a
     singleton cluster gives s = 0.  Returns (row_id, by..., cluster, s).
-    ``n_groups`` (number of distinct ``by`` values) bounds the cluster-sum
-    table at n_groups * k * n_features rows for the broadcast decision.
+    The cluster sums, one row per (group, bucket), are joined by ``join_counted``;
+    ``n_groups`` (number of distinct ``by`` values) bounds the table of sizes.
     """
     lab = assigned.select(row_id, *by, "cluster")
-    members = rows.join(lab, [row_id, *by])
+    # joined once: sizes, sums and dot products read the written rows
+    members = materialize(rows.select(row_id, *by, "features", "norm", "sq_x").join(lab, [row_id, *by]),
+                          "silhouette-rows")
     sizes = members.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("sq_x").alias("q"))
-    csum = (long_features(members, (*by, "cluster"), row_id).where(F.col("bucket").isNotNull())
-            .groupBy(*by, "cluster", "bucket").agg(F.sum("x").alias("s")))
-    # cluster sums of the row's own group, joined on (group, bucket)
+    # the cluster sums of a group's bucket in one row, with the number of rows that meet them
     feats = long_features(members, (*by, "cluster", "sq_x"), row_id)
-    w = broadcast_if_bounded(csum.select(*by, F.col("cluster").alias("_cls"), "bucket", "s"),
-                             n_groups * k * n_features)
-    joined = feats.join(w, [*by, "bucket"], "left")
-    dots = [F.coalesce(F.sum(F.when(F.col("_cls") == j, F.col("x") * F.col("s"))), F.lit(0.0)).alias(f"_dot{j}")
-            for j in range(k)]
-    per_row = joined.groupBy(row_id, *by, "cluster", "sq_x").agg(*dots)
+    csum = materialize(feats.where(F.col("bucket").isNotNull()).groupBy(*by, "bucket").agg(
+        *[F.sum(F.when(F.col("cluster") == j, F.col("x"))).alias(f"_s{j}") for j in range(k)],
+        F.count(F.lit(1)).alias("_rows")), "silhouette-sums")
+    cols = [row_id, *by, "cluster", "sq_x", "x", *[f"_s{j}" for j in range(k)]]
+    met = join_counted(feats.where(F.col("bucket").isNotNull()), csum, (*by, "bucket"), "_rows", 48 + 8 * k).select(*cols)
+    none = feats.where(F.col("bucket").isNull()).select(
+        row_id, *by, "cluster", "sq_x", "x", *[F.lit(None).cast("double").alias(f"_s{j}") for j in range(k)])
+    dots = [F.coalesce(F.sum(F.col("x") * F.col(f"_s{j}")), F.lit(0.0)).alias(f"_dot{j}") for j in range(k)]
+    per_row = met.unionByName(none).groupBy(row_id, *by, "cluster", "sq_x").agg(*dots)
     size_arr = sizes.groupBy(*by).agg(
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("size"))), F.lit(0)).alias(f"_n{j}") for j in range(k)],
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("q"))), F.lit(0.0)).alias(f"_q{j}") for j in range(k)])

@@ -416,6 +416,44 @@ FROM (SELECT batch_no, count(*) AS n_rows, sum(d2) AS inertia FROM lab GROUP BY
 LEFT JOIN (SELECT batch_no, avg(s) AS silhouette FROM sil GROUP BY batch_no) s ON s.batch_no = i.batch_no""")
 
 
+def _euclidean_ctes(train: list[int]) -> str:
+    """lab and sil: silhouettes from the distance of every pair of rows of a batch."""
+    lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
+    return f""",
+lab AS ({lab}),
+dp AS (SELECT a.row_id AS i, b.row_id AS j, sum(a.x * b.x) AS dot
+       FROM xl a JOIN xl b ON a.batch_no = b.batch_no AND a.bucket = b.bucket
+       WHERE a.batch_no IN ({", ".join(map(str, train))}) GROUP BY a.row_id, b.row_id),
+dist AS (SELECT a.row_id, a.batch_no, a.cluster AS own, b.cluster, count(*) AS size,
+                sum(sqrt(greatest(round(a.sq_x + b.sq_x - 2 * coalesce(dp.dot, 0.0), 12), 0.0))) AS tot
+         FROM lab a JOIN lab b ON a.batch_no = b.batch_no AND a.row_id <> b.row_id
+         LEFT JOIN dp ON dp.i = a.row_id AND dp.j = b.row_id GROUP BY a.row_id, a.batch_no, a.cluster, b.cluster),
+sil AS (SELECT row_id, batch_no, own AS cluster,
+               CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0.0
+                    WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s
+        FROM (SELECT row_id, batch_no, own, max(CASE WHEN cluster = own THEN tot / size END) AS a,
+                     min(CASE WHEN cluster <> own THEN tot / size END) AS b
+              FROM dist GROUP BY row_id, batch_no, own) q)"""
+
+
+def kmeans_euclidean_report_sql(k: int = 2, dense: bool = False, n_features: int = DEFAULT_N_FEATURES,
+                                n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    train, _ = train_test_batches(n_batches, n_train, n_total)
+    return (_kmeans_base(dense, "language", n_features, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k, silhouettes=False) + _euclidean_ctes(train) + """
+SELECT i.batch_no, i.n_rows, round(i.inertia, 6) AS inertia, round(s.silhouette, 6) AS silhouette
+FROM (SELECT batch_no, count(*) AS n_rows, sum(d2) AS inertia FROM lab GROUP BY batch_no) i
+LEFT JOIN (SELECT batch_no, avg(s) AS silhouette FROM sil GROUP BY batch_no) s ON s.batch_no = i.batch_no""")
+
+
+def euclidean_samples_sql(k: int = 2, dense: bool = False, n_features: int = DEFAULT_N_FEATURES,
+                          n_batches: int = 8, n_train: int = 6, n_total: int = 8) -> str:
+    train, _ = train_test_batches(n_batches, n_train, n_total)
+    return (_kmeans_base(dense, "language", n_features, n_batches, n_train, n_total)
+            + kmeans_chain_ctes(train, k, silhouettes=False) + _euclidean_ctes(train) + """
+SELECT row_id, batch_no, cluster, round(s, 6) AS s FROM sil""")
+
+
 def silhouette_samples_sql(k: int = 2, dense: bool = False, task: str = "language",
                            n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
                            n_total: int = 8) -> str:
@@ -640,6 +678,65 @@ FROM (
   FROM pred GROUP BY plan, batch_no) m""")
 
 
+def sweep_cycles_sql(plans: Sequence[tuple[int, int, int]], n_features: int = DEFAULT_N_FEATURES) -> str:
+    """``plans`` lists (batch size, n_train, n_total); the state of a cycle is summed anew from all cycles before it."""
+    values = ", ".join(str(tuple(p)) for p in plans)
+    scores = {
+        "multinomial_nb": f"c.lp + p.sum_x * (ln(1.0) - ln(c.total_x + 1.0 * {n_features})) + coalesce(k.mdot, 0.0)",
+        "bernoulli_nb": f"c.lp + c.rest + ({n_features} - c.seen) * ln(1 - 1.0 / (c.n_docs + 2.0)) "
+                        "+ p.nnz * ln(1.0 / (c.n_docs + 1.0)) + coalesce(k.bdot, 0.0)",
+    }
+    scored = " UNION ALL ".join(f"""
+  SELECT p.row_id, p.plan, p.cycle, p.batch_no, p.label AS actual, '{model}' AS model, c.label AS cls, {score} AS score
+  FROM pp p JOIN cl c ON c.plan = p.plan AND c.cycle = p.cycle
+  LEFT JOIN dt k ON k.row_id = p.row_id AND k.plan = p.plan AND k.label = c.label
+  WHERE p.phase = 'test'""" for model, score in scores.items())
+    return ("WITH " + feature_ctes(email_source(), n_features, 1, 1, 1).lstrip() + f""",
+plans AS (SELECT * FROM (VALUES {values}) v(plan, n_train, n_total)),
+pp AS (
+  SELECT r.row_id, r.label, r.sum_x, r.nnz, p.plan, CAST((s.ord - 1) // p.plan + 1 AS INTEGER) AS batch_no,
+         CAST((s.ord - 1) // p.plan // p.n_total + 1 AS INTEGER) AS cycle,
+         CASE WHEN (s.ord - 1) // p.plan % p.n_total < p.n_train THEN 'train' ELSE 'test' END AS phase
+  FROM rows_t r JOIN sched s ON s.row_id = r.row_id CROSS JOIN plans p),
+cyc AS (SELECT DISTINCT plan, cycle FROM pp WHERE phase = 'test'),
+st AS (
+  SELECT c.plan, c.cycle, p.label, x.bucket, sum(x.x) AS sum_x, count(*) AS n_present
+  FROM cyc c JOIN pp p ON p.plan = c.plan AND p.cycle <= c.cycle AND p.phase = 'train' JOIN xl x ON x.row_id = p.row_id
+  GROUP BY c.plan, c.cycle, p.label, x.bucket),
+dc AS (
+  SELECT c.plan, c.cycle, p.label, count(*) AS n_docs
+  FROM cyc c JOIN pp p ON p.plan = c.plan AND p.cycle <= c.cycle AND p.phase = 'train' GROUP BY c.plan, c.cycle, p.label),
+cl AS (
+  SELECT d.plan, d.cycle, d.label, any_value(d.n_docs) AS n_docs,
+         ln(any_value(d.n_docs) / any_value(d.all_docs)) AS lp, coalesce(sum(s.sum_x), 0.0) AS total_x,
+         count(s.bucket) AS seen, coalesce(sum(ln(1 - (s.n_present + 1.0) / (d.n_docs + 2.0))), 0.0) AS rest
+  FROM (SELECT *, sum(n_docs) OVER (PARTITION BY plan, cycle) AS all_docs FROM dc) d
+  LEFT JOIN st s ON s.plan = d.plan AND s.cycle = d.cycle AND s.label = d.label GROUP BY d.plan, d.cycle, d.label),
+dt AS (
+  SELECT p.row_id, p.plan, s.label, sum(x.x * ln(s.sum_x + 1.0)) AS mdot,
+         sum(ln((s.n_present + 1.0) / (d.n_docs - s.n_present + 1.0)) - ln(1.0 / (d.n_docs + 1.0))) AS bdot
+  FROM pp p JOIN xl x ON x.row_id = p.row_id
+  JOIN st s ON s.plan = p.plan AND s.cycle = p.cycle AND s.bucket = x.bucket
+  JOIN dc d ON d.plan = p.plan AND d.cycle = p.cycle AND d.label = s.label
+  WHERE p.phase = 'test' GROUP BY p.row_id, p.plan, s.label),
+sc AS ({scored}),
+pred AS (
+  SELECT plan, cycle, batch_no, model, actual, cls AS predicted FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id, plan, model ORDER BY score DESC, cls ASC) AS rk FROM sc) z
+  WHERE rk = 1)
+SELECT CAST(plan AS INTEGER) AS batch_size, cycle, batch_no, model, tp, fp, fn, tn,
+       CASE WHEN tp + fp + fn + tn > 0 THEN round((tp + tn) / (tp + fp + fn + tn), 6) ELSE 0.0 END AS accuracy,
+       CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision,
+       CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall
+FROM (
+  SELECT plan, cycle, batch_no, model,
+         CAST(sum(CASE WHEN actual = 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(sum(CASE WHEN actual = 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(sum(CASE WHEN actual <> 1 AND predicted <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM pred GROUP BY plan, cycle, batch_no, model) m""")
+
+
 def holdout_mnb_sql(fraction: float = 0.33, n_features: int = DEFAULT_N_FEATURES) -> str:
     return _with_features() + f""",
 sp AS (

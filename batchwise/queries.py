@@ -23,8 +23,10 @@ from .operators.scoring import explode_scores
 from .plans import oracle as O
 from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, classifier_predictions, linear_metrics, linear_replay,
                              nb_metrics, nb_predictions, nb_state_through)
-from .plans.cluster import kmeans_aligned_metrics, kmeans_raw_metrics, kmeans_replay, kmeans_train_report
-from .plans.sweep import sweep_classifier_metrics, sweep_mnb_metrics
+from .plans.asof import asof_metrics
+from .plans.cluster import (kmeans_aligned_metrics, kmeans_euclidean_report, kmeans_euclidean_samples,
+                            kmeans_raw_metrics, kmeans_replay, kmeans_train_report)
+from .plans.sweep import sweep_classifier_metrics, sweep_cycle_metrics, sweep_mnb_metrics
 from .plans.tasks import (Schedule, cleaned_emails, embedding_task, labels_task, language_task, schedule_table,
                           scheduled_emails)
 from .session import scratch_path
@@ -132,6 +134,21 @@ def kmeans_embeddings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10))
 
 
+@register("kmeans_euclidean_report", lambda: O.kmeans_euclidean_report_sql(k=2))
+def kmeans_euclidean_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 inertia and M11 mean silhouette by Euclidean distance per training batch (hashed text, k = 2)."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_euclidean_report(language_task(spark, sf_dir), k=2)
+
+
+@register("kmeans_euclidean_embeddings", lambda: O.euclidean_samples_sql(k=10, dense=True))
+def kmeans_euclidean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 by Euclidean distance, per row, on the dense embeddings, k = 10."""
+    ensure_checkpoint_dir(spark)
+    samples = kmeans_euclidean_samples(embedding_task(spark, sf_dir), k=10)[1]
+    return samples.select("row_id", "batch_no", "cluster", F.round("s", 6).alias("s"))
+
+
 @register("kmeans_aligned_metrics", lambda: O.kmeans_aligned_sql(k=10))
 def kmeans_aligned_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Majority-label alignment of clusters on the embeddings, accuracy per test batch."""
@@ -257,10 +274,14 @@ def confusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("two_cycle_metrics", lambda: O.all_metrics_sql(8, 3, 4))
 def two_cycle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 batches as two cycles of 4 (3 train); the models of cycle 1 stay warm in cycle 2."""
+    """8 batches as two cycles of 4 (3 train); the models of cycle 1 stay warm in cycle 2.
+
+    Naive Bayes takes all cycles in one job, the linear model its steps in order.
+    """
     ensure_checkpoint_dir(spark)
     prep = language_task(spark, sf_dir, Schedule(8, 3, 4))
-    return binary_metrics(classifier_predictions(prep), by=("cycle", "batch_no", "model"))
+    bayes = asof_metrics(prep.rows.withColumn("plan", F.lit(0)), prep.n_classes, prep.n_features).drop("plan")
+    return bayes.unionByName(linear_metrics(prep))
 
 
 @register("metric_history", lambda: O.metric_history_sql())
@@ -373,6 +394,17 @@ def batch_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_mnb_metrics(email_rows(spark, sf_dir))
 
 
+# (batch size, n_train, n_total): the published batch sizes, in cycles short enough for small tables
+SIZE_PLANS = ((100, 2, 3), (500, 1, 2), (1000, 1, 2), (1500, 1, 2))
+
+
+@register("batch_size_cycles", lambda: O.sweep_cycles_sql(SIZE_PLANS))
+def batch_size_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both naive Bayes models at batch sizes of 100, 500, 1000 and 1500 rows over all cycles, one job."""
+    ensure_checkpoint_dir(spark)
+    return sweep_cycle_metrics(email_rows(spark, sf_dir), SIZE_PLANS)
+
+
 # (batches of the run, those that train): the batch size is that share of the rows
 SWEEP_SCHEDULES = ((4, 3), (8, 6), (12, 9))
 
