@@ -24,6 +24,20 @@ def confusion(pred: DataFrame, by: Sequence[str] = ("batch_no", "model"), actual
         F.count(F.lit(1)).alias("n"))
 
 
+def dense_confusion(pred: DataFrame, n_classes: int, by: Sequence[str] = ("batch_no", "model"), actual: str = "actual",
+                    predicted: str = "predicted") -> DataFrame:
+    """E1, the whole matrix: a count for every pair of classes of every group, zeros included.
+
+    The cells are columns of one aggregate and a generator makes them rows: no join.
+    """
+    cells = [(i, j) for i in range(n_classes) for j in range(n_classes)]
+    counts = pred.groupBy(*by).agg(*[
+        F.count(F.when((F.col(actual) == i) & (F.col(predicted) == j), 1)).alias(f"_{i}_{j}") for i, j in cells])
+    matrix = F.array(*[F.struct(F.lit(i).alias("actual"), F.lit(j).alias("predicted"), F.col(f"_{i}_{j}").alias("n"))
+                       for i, j in cells])
+    return counts.select(*by, F.explode(matrix).alias("_c")).select(*by, "_c.*")
+
+
 def _ratio(num, den):
     return F.when(den > 0, F.round(num.cast("double") / den, DIGITS)).otherwise(F.lit(0.0))
 

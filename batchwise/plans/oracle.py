@@ -606,6 +606,20 @@ SELECT cycle, batch_no, model, actual, predicted, count(*) AS n FROM ({parts}) p
 GROUP BY cycle, batch_no, model, actual, predicted"""
 
 
+def dense_confusion_sql(k: int = 2) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT cycle, batch_no, '{model}' AS model, actual, predicted FROM {pred}"
+        for model, pred in (("multinomial_nb", "mnb_pred"), ("linear_sgd", "lin_pred"), ("bernoulli_nb", "bnb_pred")))
+    return all_metrics_ctes() + f""",
+given AS ({parts}),
+cells AS (SELECT g.*, CAST(a.range AS INTEGER) AS actual, CAST(p.range AS INTEGER) AS predicted
+          FROM (SELECT DISTINCT cycle, batch_no, model FROM given) g, range({k}) a, range({k}) p)
+SELECT c.cycle, c.batch_no, c.model, c.actual, c.predicted, count(g.model) AS n
+FROM cells c LEFT JOIN given g ON g.cycle = c.cycle AND g.batch_no = c.batch_no AND g.model = c.model
+  AND g.actual = c.actual AND g.predicted = c.predicted
+GROUP BY c.cycle, c.batch_no, c.model, c.actual, c.predicted"""
+
+
 def feature_vectors_sql(n_features: int = DEFAULT_N_FEATURES) -> str:
     return _with_features() + f""",
 vecs AS (

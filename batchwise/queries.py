@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import tokenize
-from .operators.evaluate import (binary_metrics, compare_models, confusion, metric_history, multiclass_accuracy,
-                                 summary)
+from .operators.evaluate import (binary_metrics, compare_models, confusion, dense_confusion, metric_history,
+                                 multiclass_accuracy, summary)
 from .operators.features import (assemble_vectors, class_list, class_values, hashing_tf_vectors, label_dictionary,
                                  long_features)
 from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
@@ -33,7 +33,9 @@ from .session import scratch_path
 from .sources.batches import batch_row_count, batch_size_for, batch_table
 from .sources.tables import email_rows, read_table
 from .sources.wire import decode_lines, encode_bare_lines, encode_wire_lines, quarantine
-from .streaming.learner import StreamLearner, run_stream, write_stream_files
+from .store import materialize
+from .streaming.counts import run_counts, state_of
+from .streaming.learner import StreamLearner, read_stream, run_stream, write_stream_files
 from .session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,6 +274,14 @@ def confusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion(classifier_predictions(language_task(spark, sf_dir)), by=("cycle", "batch_no", "model"))
 
 
+@register("confusion_matrix", lambda: O.dense_confusion_sql())
+def confusion_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class x class matrix of each test batch and model, zeros included."""
+    ensure_checkpoint_dir(spark)
+    prep = language_task(spark, sf_dir)
+    return dense_confusion(classifier_predictions(prep), prep.n_classes, by=("cycle", "batch_no", "model"))
+
+
 @register("two_cycle_metrics", lambda: O.all_metrics_sql(8, 3, 4))
 def two_cycle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 batches as two cycles of 4 (3 train); the models of cycle 1 stay warm in cycle 2.
@@ -350,6 +360,36 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "recall")
 
 
+@register("stream_empty_batches", lambda: O.nb_metrics_sql(MNB))
+def stream_empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty files before, between and after the full ones; their micro-batches change nothing."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-empty")
+    lines, classes = _wire_lines(spark, sf_dir)
+    lines = materialize(lines, "stream-empty-lines")
+    learner = StreamLearner(spark, f"{root}/state", classes, models=(MNB,))
+    for part, full in enumerate((None, "batch_no <= 4", None, "batch_no > 4", None)):
+        if full:
+            write_stream_files(lines.where(full), f"{root}/in/{part}")
+        else:
+            lines.select("value").limit(0).coalesce(1).write.text(f"{root}/in/{part}")
+        run_stream(spark, f"{root}/in", learner, f"{root}/checkpoint", trigger="availableNow")
+    return learner.metrics().select("cycle", "batch_no", "model", "tp", "fp", "fn", "tn", "accuracy", "precision",
+                                    "recall")
+
+
+@register("stream_nb_state", lambda: O.nb_state_sql())
+def stream_nb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M3 in Spark's state store: the counts of a file stream over several micro-batches equal ``nb_state``."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-counts")
+    lines, classes = _wire_lines(spark, sf_dir)
+    write_stream_files(lines, f"{root}/in")
+    run_counts(read_stream(spark, f"{root}/in", 3), classes, f"{root}/counts", f"{root}/checkpoint")
+    stats = state_of(spark, f"{root}/counts", len(classes)).stats
+    return stats.select("label", "bucket", F.round("sum_x", 6).alias("sum_x"), "n_present")
+
+
 @register("stream_quarantine", lambda: O.stream_quarantine_sql())
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 in the stream: the second line of every batch is cut in half and raw pages arrive as
