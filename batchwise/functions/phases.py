@@ -33,7 +33,3 @@ def phase(batch_no: Column | str, n_train: int, n_total: int) -> Column:
 def cycle(batch_no: Column | str, n_total: int) -> Column:
     """1-based cycle number."""
     return (F.floor((_col(batch_no) - 1) / F.lit(n_total)) + 1).cast("int")
-
-
-def is_train(batch_no: Column | str, n_train: int, n_total: int) -> Column:
-    return position_in_cycle(batch_no, n_total) < n_train

@@ -620,6 +620,16 @@ FROM cells c LEFT JOIN given g ON g.cycle = c.cycle AND g.batch_no = c.batch_no
 GROUP BY c.cycle, c.batch_no, c.model, c.actual, c.predicted"""
 
 
+def label_growth_sql(n_batches: int = 200) -> str:
+    return f"""
+WITH numbered AS (
+  SELECT concat_ws('/', lang, source) AS name, row_number() OVER (ORDER BY doc_id) AS ord, count(*) OVER () AS n
+  FROM documents),
+first AS (SELECT name, CAST(min((ord - 1) // CAST(ceil(n / {n_batches}.0) AS BIGINT)) + 1 AS INTEGER) AS version
+          FROM numbered GROUP BY name)
+SELECT name, CAST(row_number() OVER (ORDER BY version, name) - 1 AS INTEGER) AS label, version FROM first"""
+
+
 def feature_vectors_sql(n_features: int = DEFAULT_N_FEATURES) -> str:
     return _with_features() + f""",
 vecs AS (

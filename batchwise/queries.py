@@ -17,6 +17,7 @@ from .operators.evaluate import (binary_metrics, compare_models, confusion, dens
                                  multiclass_accuracy, summary)
 from .operators.features import (assemble_vectors, class_list, class_values, hashing_tf_vectors, label_dictionary,
                                  long_features)
+from .operators.labels import dictionary_of_batches
 from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
 from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
@@ -282,6 +283,16 @@ def confusion_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_confusion(classifier_predictions(prep), prep.n_classes, by=("cycle", "batch_no", "model"))
 
 
+@register("label_growth", lambda: O.label_growth_sql())
+def label_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and source as label, 200 batches; labels first seen in a later batch get the next ids."""
+    ensure_checkpoint_dir(spark)
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.concat_ws("/", "lang", "source").alias("feature2"))
+    docs = docs.join(batch_table(docs, "row_id", n_batches=200), "row_id")
+    return dictionary_of_batches(docs)
+
+
 @register("two_cycle_metrics", lambda: O.all_metrics_sql(8, 3, 4))
 def two_cycle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 batches as two cycles of 4 (3 train); the models of cycle 1 stay warm in cycle 2.
