@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A word is a maximal run without ASCII white space.
+# ASCII white space; a word is a maximal run without it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 # A group is hot when it holds more than this share (1/HOT_GROUPS) of all rows,
 # so there are never more than HOT_GROUPS hot groups.
@@ -30,10 +29,6 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-
-
 def held_out(id_col: str, folds: int = 5) -> Column:
     """True for the rows that no label may be learned from: crc32 of the id as text, modulo ``folds``, is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
