@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..fixed import DEFAULT_LAMBDA, INTERCEPT_DECAY
 from ..store import materialize
 from .features import long_features
-from .scoring import sparse_class_sums
+from .scoring import Terms, sparse_class_sums
 
 
 @dataclass
@@ -95,3 +95,8 @@ def linear_predict(state: LinearState, rows: DataFrame, keep: Sequence[str], row
     m = _margins(state, rows, keep, row_id)
     out = m.withColumn("score", F.col("dot") + F.lit(state.bias)).drop("dot")
     return out.withColumn("predicted", (F.col("score") > 0).cast("int"))
+
+
+def linear_terms(state: LinearState) -> Terms:
+    """M6 as two classes: class 0 scores 0, class 1 scores w . x + b (the larger wins, a tie goes to 0)."""
+    return Terms(state.weights.select(F.lit(1).alias("label"), "bucket", "w"), [0.0, state.bias], [0.0, 0.0], "sum_x")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..fixed import DEFAULT_ALPHA
 from ..functions.text import DEFAULT_N_FEATURES
 from .joins import broadcast_if_bounded
-from .scoring import argmax, dots_array, drop_dots, sparse_class_sums
+from .scoring import Terms, argmax, dots_array, drop_dots, sparse_class_sums
 
 
 @dataclass
@@ -108,26 +108,49 @@ def _log_priors(cs: ClassScalars) -> list[float]:
     return [math.log(n / total) if n > 0 else float("-inf") for n in cs.n_docs]
 
 
-def mnb_predict(state: NBState, long_rows: DataFrame, keep: Sequence[str], alpha: float = DEFAULT_ALPHA,
-                row_id: str = "row_id", scalars: ClassScalars | None = None) -> DataFrame:
-    """M2: (row_id, keep..., scores array<double>, predicted).
-
-    ``keep`` must contain ``sum_x`` (the row's sum of x).
-    """
-    k, F_ = state.n_classes, state.n_features
+def mnb_terms(state: NBState, alpha: float = DEFAULT_ALPHA, scalars: ClassScalars | None = None) -> Terms:
+    """M2 as score = a + sum_x * b + sum of x * w."""
     cs = scalars or class_scalars(state, alpha)
     weights = state.stats.select("label", "bucket", (F.log(F.col("sum_x") + alpha) - math.log(alpha)).alias("w"))
-    sums = sparse_class_sums(long_rows, weights, k, F_, keep, row_id)
+    slopes = [math.log(alpha) - math.log(total + alpha * state.n_features) for total in cs.total_x]
+    return Terms(weights, _log_priors(cs), slopes, "sum_x")
+
+
+def bnb_terms(state: NBState, alpha: float = DEFAULT_ALPHA, scalars: ClassScalars | None = None) -> Terms:
+    """M4 as score = a + nnz * b + sum of w over the buckets present."""
+    cs = scalars or class_scalars(state, alpha)
+    weights = state.stats.join(broadcast_if_bounded(state.docs, state.n_classes), "label").select(
+        "label", "bucket",
+        (F.log((F.col("n_present") + alpha) / (F.col("n_docs") - F.col("n_present") + alpha))
+         - F.log(alpha / (F.col("n_docs") + alpha))).alias("w"))
     prior = _log_priors(cs)
+    offsets, slopes = [], []
+    for j, dc in enumerate(cs.n_docs):
+        absent = cs.log1m_seen[j] + (state.n_features - cs.seen[j]) * math.log(1.0 - alpha / (dc + 2 * alpha))
+        offsets.append(prior[j] + absent)
+        slopes.append(math.log(alpha / (dc + alpha)))
+    return Terms(weights, offsets, slopes, "nnz", binary=True)
+
+
+def _predict(terms: Terms, state: NBState, long_rows: DataFrame, keep: Sequence[str], row_id: str) -> DataFrame:
+    k = state.n_classes
+    sums = sparse_class_sums(long_rows, terms.weights, k, state.n_features, keep, row_id, binary=terms.binary)
     dots = dots_array(k)
-    scores = F.array(*[
-        F.lit(prior[j]) + F.col("sum_x") * F.lit(math.log(alpha) - math.log(cs.total_x[j] + alpha * F_)) + dots[j]
-        for j in range(k)
-    ])
+    per_row = F.col(terms.per_row).cast("double")
+    scores = F.array(*[F.lit(terms.a[j]) + per_row * F.lit(terms.b[j]) + dots[j] for j in range(k)])
     out = drop_dots(sums.withColumn("scores", scores), k)
     return out.withColumn("predicted", argmax(F.col("scores")))
 
 
+def mnb_predict(state: NBState, long_rows: DataFrame, keep: Sequence[str], alpha: float = DEFAULT_ALPHA,
+                row_id: str = "row_id", scalars: ClassScalars | None = None) -> DataFrame:
+    """M2: (row_id, keep..., scores array<double>, predicted).
+
+    ``keep`` must contain ``sum_x`` (the row's sum of x).
+    """
+    return _predict(mnb_terms(state, alpha, scalars), state, long_rows, keep, row_id)
+
+
 def bnb_predict(state: NBState, long_rows: DataFrame, keep: Sequence[str], alpha: float = DEFAULT_ALPHA,
                 row_id: str = "row_id", scalars: ClassScalars | None = None) -> DataFrame:
     """M4: (row_id, keep..., scores array<double>, predicted).
@@ -135,24 +158,4 @@ def bnb_predict(state: NBState, long_rows: DataFrame, keep: Sequence[str], alpha
     ``keep`` must contain ``nnz`` (buckets present in the row).  Present means
     x > 0, which holds for every stored bucket.
     """
-    k, F_ = state.n_classes, state.n_features
-    cs = scalars or class_scalars(state, alpha)
-    d = broadcast_if_bounded(state.docs, k)
-    weights = state.stats.join(d, "label").select(
-        "label", "bucket",
-        (F.log((F.col("n_present") + alpha) / (F.col("n_docs") - F.col("n_present") + alpha))
-         - F.log(alpha / (F.col("n_docs") + alpha))).alias("w"))
-    sums = sparse_class_sums(long_rows, weights, k, F_, keep, row_id, binary=True)
-    prior = _log_priors(cs)
-    all_term, unseen = [], []
-    for j in range(k):
-        dc = cs.n_docs[j]
-        all_term.append(cs.log1m_seen[j] + (F_ - cs.seen[j]) * math.log(1.0 - alpha / (dc + 2 * alpha)))
-        unseen.append(math.log(alpha / (dc + alpha)))
-    dots = dots_array(k)
-    scores = F.array(*[
-        F.lit(prior[j] + all_term[j]) + F.col("nnz").cast("double") * F.lit(unseen[j]) + dots[j]
-        for j in range(k)
-    ])
-    out = drop_dots(sums.withColumn("scores", scores), k)
-    return out.withColumn("predicted", argmax(F.col("scores")))
+    return _predict(bnb_terms(state, alpha, scalars), state, long_rows, keep, row_id)

@@ -17,6 +17,7 @@ scores live in an array column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ from pyspark.sql import functions as F
 from .joins import broadcast_if_bounded
 
 
+@dataclass
+class Terms:
+    """A trained model in the form above."""
+
+    weights: DataFrame      # label, bucket, w
+    a: list[float]
+    b: list[float]
+    per_row: str            # the row scalar s: sum_x or nnz
+    binary: bool = False    # a bucket present counts as x = 1
+
+
 def sparse_class_sums(long_rows: DataFrame, weights: DataFrame, n_classes: int, n_features: int,
                       keep: Sequence[str], row_id: str = "row_id", class_col: str = "label",
                       value: str = "w", binary: bool = False, group: Sequence[str] = (),

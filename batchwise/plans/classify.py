@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import binary_metrics
-from ..operators.linear import DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_update
-from ..operators.naive_bayes import (DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, class_scalars,
-                                     mnb_predict, nb_update)
+from ..operators.linear import (DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_terms,
+                                linear_update)
+from ..operators.naive_bayes import (DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, bnb_terms, class_scalars,
+                                     mnb_predict, mnb_terms, nb_update)
+from ..operators.scoring import Terms
 from ..store import materialize
 from .tasks import SCORE_KEYS, Prepared
 
@@ -125,3 +127,16 @@ def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearSt
 
 def linear_metrics(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> DataFrame:
     return binary_metrics(linear_replay(prep, lam)[1], by=("cycle", "batch_no", "model"))
+
+
+def model_versions(prep: Prepared, lam: float = DEFAULT_LAMBDA, alpha: float = DEFAULT_ALPHA) -> Iterator[
+        tuple[int, dict[str, Terms]]]:
+    """(cycle, the three classifiers as terms) with what they know when the cycle's test batches come."""
+    sched, linear, done = prep.schedule, linear_init(prep.rows.sparkSession, prep.n_features, lam), 0
+    for c, state in nb_states(prep):
+        for b in batch_numbers(prep):
+            if done < b <= c * sched.n_total and (b - 1) % sched.n_total < sched.n_train:
+                linear, done = linear_update(linear, prep.rows.where(F.col("batch_no") == b)), b
+        scalars = class_scalars(state, alpha)
+        yield c, {MNB: mnb_terms(state, alpha, scalars), BNB: bnb_terms(state, alpha, scalars),
+                  LINEAR: linear_terms(linear)}

@@ -589,6 +589,39 @@ def stream_metrics_sql() -> str:
     return all_metrics_sql()
 
 
+def stream_slices_sql(base: int, step: int, line_size: int, interval: int = 5, delay: int = 2) -> str:
+    """Times in milliseconds since ``base``; a line counts when its first copy finds its slice open."""
+    return "WITH " + schedule_ctes(email_source()).lstrip() + f""",
+placed AS (
+  SELECT batch_no, CAST(ceil(n_rows / 8.0) AS BIGINT) AS size,
+         (ord - 1 - (batch_no - 1) * CAST(ceil(n_rows / 8.0) AS BIGINT)) // {line_size} AS line_no FROM sched),
+lines AS (
+  SELECT batch_no, line_no, count(*) AS n,
+         ((batch_no - 1) * any_value(size) + line_no * {line_size}) * {step} AS sent,
+         (batch_no - 1) // 2 AS part, line_no % 3 = 2 AND batch_no % 2 = 1 AS bad
+  FROM placed GROUP BY batch_no, line_no),
+sends AS (
+  SELECT *, part + CASE WHEN line_no % 3 = 1 THEN 1 ELSE 0 END AS at_part FROM lines
+  UNION ALL SELECT *, part + 1 AS at_part FROM lines WHERE line_no % 3 = 0),
+clocks AS (
+  SELECT p.at_part, (SELECT max(s.sent) FROM sends s WHERE s.at_part < p.at_part) - {delay * 1000} AS clock
+  FROM (SELECT DISTINCT at_part FROM sends) p),
+first_sends AS (
+  SELECT batch_no, line_no, n, sent, bad, min(at_part) AS at_part FROM sends GROUP BY batch_no, line_no, n, sent, bad),
+judged AS (
+  SELECT f.*, f.sent // {interval * 1000} AS slice,
+         c.clock IS NOT NULL AND (f.sent // {interval * 1000} + 1) * {interval * 1000} <= c.clock AS late
+  FROM first_sends f JOIN clocks c ON c.at_part = f.at_part)
+SELECT CAST({base} + slice * {interval} AS BIGINT) AS slice_start,
+       count(*) FILTER (WHERE NOT bad AND NOT late) AS n_lines,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT bad AND NOT late), 0) AS BIGINT) AS n_records,
+       count(*) FILTER (WHERE bad AND NOT late) AS n_bad,
+       count(*) FILTER (WHERE NOT bad AND late) AS late_lines,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT bad AND late), 0) AS BIGINT) AS late_records,
+       count(*) FILTER (WHERE bad AND late) AS late_bad
+FROM judged GROUP BY slice"""
+
+
 def sweep_classifiers_sql(schedules: Sequence[tuple[int, int]]) -> str:
     """``schedules`` lists (n_batches, n_train)."""
     size = f"(SELECT CAST(greatest(1, ceil(count(*) / {{n}}.0)) AS INTEGER) FROM ({email_source()}) e)"

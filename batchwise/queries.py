@@ -23,7 +23,7 @@ from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
 from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, classifier_predictions, linear_metrics, linear_replay,
-                             nb_metrics, nb_predictions, nb_state_through)
+                             model_versions, nb_metrics, nb_predictions, nb_state_through)
 from .plans.asof import asof_metrics
 from .plans.cluster import (kmeans_aligned_metrics, kmeans_euclidean_report, kmeans_euclidean_samples,
                             kmeans_raw_metrics, kmeans_replay, kmeans_train_report)
@@ -37,6 +37,8 @@ from .sources.wire import decode_lines, encode_bare_lines, encode_wire_lines, qu
 from .store import materialize
 from .streaming.counts import run_counts, state_of
 from .streaming.learner import StreamLearner, read_stream, run_stream, write_stream_files
+from .streaming.scores import publish, read_scores, run_scores
+from .streaming.slices import heartbeat, run_slices, stamped, with_late
 from .session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,6 +403,58 @@ def stream_nb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("label", "bucket", F.round("sum_x", 6).alias("sum_x"), "n_present")
 
 
+@register("stream_scores", lambda: O.all_metrics_sql(8, 3, 4))
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M4 + M6 as a stream without foreachBatch: the records of a file stream joined with the model
+    version of their cycle (8 batches, two cycles), kept by the file sink; metrics from the sink."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-scores")
+    schedule = Schedule(8, 3, 4)
+    emails = email_rows(spark, sf_dir)
+    prep = language_task(spark, sf_dir, schedule)
+    for version, models in model_versions(prep):
+        publish(spark, f"{root}/models", version, models, prep.n_classes)
+    batched, _ = scheduled_emails(emails, schedule, prep.classes)
+    write_stream_files(encode_wire_lines(batched, ordinal="ord"), f"{root}/in")
+    run_scores(read_stream(spark, f"{root}/in", 3), f"{root}/models", prep.classes, f"{root}/scores",
+               f"{root}/checkpoint", schedule)
+    return binary_metrics(read_scores(spark, f"{root}/scores"), by=("cycle", "batch_no", "model"))
+
+
+# the first record of the stream is sent at SLICE_BASE (unix seconds), each further one SLICE_STEP milliseconds later
+SLICE_BASE, SLICE_STEP, SLICE_LINE = 1_704_067_200, 100, 5
+
+
+@register("stream_slices", lambda: O.stream_slices_sql(SLICE_BASE, SLICE_STEP, SLICE_LINE))
+def stream_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 in event time: lines of five records, one record each 100 ms, counted by slice of 5 s with a watermark.
+
+    The lines arrive in four parts.  Of each three one is held back until the next part (late where its slice is
+    closed by then), one is sent again with the next part, and one of the odd batches is cut in half.  A heartbeat
+    closes the last slices."""
+    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, "stream-slices")
+    emails = email_rows(spark, sf_dir)
+    size = batch_size_for(emails.count(), 8)
+    lines, _ = _wire_lines(spark, sf_dir, SLICE_LINE)
+    first = (F.col("batch_no") - 1) * size + F.col("line_no") * SLICE_LINE
+    sent = F.timestamp_millis(F.lit(SLICE_BASE * 1000) + first * SLICE_STEP)
+    lines = stamped(lines, sent).withColumns({"_third": F.col("line_no") % 3, "_part": F.expr("div(batch_no - 1, 2)")})
+    cut = (F.col("_third") == 2) & (F.col("batch_no") % 2 == 1)
+    parts = F.when(F.col("_third") == 1, F.array(F.col("_part") + 1)).when(
+        F.col("_third") == 0, F.array(F.col("_part"), F.col("_part") + 1)).otherwise(F.array("_part"))
+    lines = materialize(lines.select(
+        F.when(cut, F.expr("left(value, div(length(value), 2))")).otherwise(F.col("value")).alias("value"),
+        F.explode(parts).alias("part")), "slice-lines", ("part",))
+    beat = spark.range(1).select(heartbeat(F.timestamp_seconds(F.lit(SLICE_BASE + 10) + size * 8 * SLICE_STEP // 1000)))
+    for part in range(5):
+        lines.where(F.col("part") == part).select("value").write.text(f"{root}/in/{part}")
+        run_slices(read_stream(spark, f"{root}/in", None), root)
+    beat.write.text(f"{root}/in/5")
+    run_slices(read_stream(spark, f"{root}/in", None), root)
+    return with_late(spark, root).withColumn("slice_start", F.unix_seconds("slice_start"))
+
+
 @register("stream_quarantine", lambda: O.stream_quarantine_sql())
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 in the stream: the second line of every batch is cut in half and raw pages arrive as
