@@ -165,8 +165,9 @@ def kmeans_assign_versions(versions: Sequence[tuple[KMeansState, Sequence[int]]]
 
 
 def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_id",
-                  write: bool = True) -> KMeansState:
-    """M8: one mini-batch step (assign with the current centers, then move)."""
+                  path: str | None = None) -> KMeansState:
+    """M8: one mini-batch step (assign with the current centers, then move); the new centers are written
+    to ``path``, by default a fresh folder."""
     # one row per batch row, used twice (counts, sums): keep it for this step only
     asg = kmeans_assign(state, batch_rows, ("sq_x",), row_id).select(row_id, "cluster").persist()
     got = {r["cluster"]: r["m"] for r in asg.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).collect()}
@@ -184,11 +185,7 @@ def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_
     moved = sums.select("cluster", "bucket", (F.col("s") / F.element_at(_lit_array(total), F.col("cluster") + 1))
                         .alias("v"))
     centers = old.unionByName(moved).groupBy("cluster", "bucket").agg(F.sum("v").alias("c"))
-    if write:
-        centers = materialize(centers, f"kmeans-c{state.steps + 1}")
-    else:
-        centers = centers.persist()
-        centers.count()
+    centers = materialize(centers, f"kmeans-c{state.steps + 1}", path=path)
     asg.unpersist()
     return KMeansState(centers, [n[j] + m[j] for j in range(state.k)], state.k, state.n_features, state.steps + 1)
 

@@ -52,8 +52,9 @@ def _margins(state: LinearState, rows: DataFrame, keep: Sequence[str], row_id: s
 
 
 def linear_update(state: LinearState, batch_rows: DataFrame, row_id: str = "row_id",
-                  write: bool = True) -> LinearState:
-    """M5: one sub-gradient step on one batch (row table with ``label``)."""
+                  path: str | None = None) -> LinearState:
+    """M5: one sub-gradient step on one batch (row table with ``label``); the new weights are written
+    to ``path``, by default a fresh folder."""
     t = state.steps + 1
     eta = 1.0 / (state.lam * (t + 1))
     y = (2 * F.col("label") - 1).cast("double")
@@ -80,11 +81,7 @@ def linear_update(state: LinearState, batch_rows: DataFrame, row_id: str = "row_
         .unionByName(grad.select("bucket", (F.col("g") * F.lit(step)).alias("w")))
         .groupBy("bucket").agg(F.sum("w").alias("w"))
     )
-    if write:
-        new_w = materialize(new_w, f"linear-w{t}")
-    else:
-        new_w = new_w.persist()
-        new_w.count()
+    new_w = materialize(new_w, f"linear-w{t}", path=path)
     m.unpersist()
     bias = state.bias + INTERCEPT_DECAY * step * float(scal["sy"])
     return LinearState(new_w, bias, t, state.n_features, state.lam)

@@ -24,10 +24,10 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     writer.parquet(path)
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` to a fresh path in the checkpoint folder and read it back."""
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Write ``df`` to ``path``, by default a fresh one in the checkpoint folder, and read it back."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     write_table(df, path, partition_by)
     # the schema is known: no inference pass over the written files
     written = spark.read.schema(df.schema).parquet(path)

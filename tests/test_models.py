@@ -102,7 +102,7 @@ def test_likelihoods_match_mllib(spark, rows):
 
 def test_linear_step_matches_formula(spark, rows):
     lam = 0.1
-    st = linear_update(linear_init(spark, NF, lam), rows, write=False)
+    st = linear_update(linear_init(spark, NF, lam), rows)
     y = 2 * Y - 1
     eta = 1 / (lam * 2)
     w = eta / len(X) * (y[:, None] * X).sum(0)      # all rows violate at w = 0
@@ -110,7 +110,7 @@ def test_linear_step_matches_formula(spark, rows):
     got = {r["bucket"]: r["w"] for r in st.weights.collect()}
     assert [got.get(f, 0.0) for f in range(NF)] == pytest.approx(list(w), abs=1e-9)
     assert st.bias == pytest.approx(b, abs=1e-12)
-    st2 = linear_update(st, rows, write=False)
+    st2 = linear_update(st, rows)
     margin = y * (X @ w + b)
     v = margin < 1
     eta2 = 1 / (lam * 3)
@@ -131,7 +131,7 @@ def test_kmeans_step_is_weighted_mean(spark, rows):
     lab = d2.argmin(1)
     asg = {r["row_id"]: r["cluster"] for r in kmeans_assign(st, rows, ("sq_x",)).collect()}
     assert [asg[i] for i in range(len(X))] == list(lab)
-    new = kmeans_update(st, rows, write=False)
+    new = kmeans_update(st, rows)
     want = np.array([(c0[j] * st.counts[j] + X[lab == j].sum(0)) / (st.counts[j] + (lab == j).sum())
                      for j in range(2)])
     got = np.zeros((2, NF))
@@ -192,7 +192,7 @@ def test_kmeans_versions_in_one_join_equal_each_alone(spark, rows):
     from batchwise.operators.kmeans import kmeans_assign_versions, kmeans_init_first
 
     first = kmeans_init_first(rows, 2, 8)
-    moved = kmeans_update(first, rows, write=False)
+    moved = kmeans_update(first, rows)
     both = rows.withColumn("batch_no", F.lit(1)).unionByName(rows.withColumn("batch_no", F.lit(2))).unionByName(
         rows.withColumn("batch_no", F.lit(3)))
     both = both.withColumn("row_id", F.col("row_id") + F.col("batch_no") * 1000)
