@@ -13,6 +13,13 @@ One update step on batch B (Sculley's mini-batch k-means, count-weighted):
 assign every row to its nearest center, then c' = (c n + sum x) / (n + m),
 n' = n + m for each cluster with m > 0 assigned rows.  The labels reported
 for a training batch are recomputed with the updated centers.
+
+Re-seeding (off unless ``reseed_ratio`` > 0): after the move, clusters with
+n' below that share of the largest n' are tiny.  The tiny ones, smallest first
+and at most one for two rows of the batch, become rows of the batch drawn with
+probability proportional to d2 (to the centers before the move) by a weighted
+race on MD5 numbers; their n' becomes the least n' of the clusters that are not
+tiny.  Rows that lie on a center are not drawn.
 """
 
 from __future__ import annotations
@@ -56,7 +63,7 @@ def kmeans_init_first(rows: DataFrame, k: int, n_features: int, row_id: str = "r
     return _centers_from_ids(rows, ids, n_features, row_id, write=True)
 
 
-def _unit_hash(row_id: str, seed: int, salt: int):
+def _unit_hash(row_id: str, seed: int, salt: int | str):
     """Deterministic uniform (0, 1) per row: 13 hex digits of the MD5 of "seed|salt|id" (equal in any engine)."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), F.col(row_id).cast("string"))
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
@@ -98,11 +105,17 @@ def kmeans_init_plusplus(rows: DataFrame, k: int, n_features: int, seed: int = 4
     return _centers_from_ids(rows, chosen, n_features, row_id, write=True)
 
 
-def _centers_from_ids(rows: DataFrame, ids: list, n_features: int, row_id: str, write: bool = False) -> KMeansState:
-    idx = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(row_id)) - 1
-    picked = rows.where(F.col(row_id).isin(ids)).withColumn("cluster", idx.cast("int"))
-    centers = long_features(picked, ("cluster",), row_id).where(F.col("bucket").isNotNull()).select(
+def _rows_as_centers(rows: DataFrame, ids: list, clusters: Sequence[int], row_id: str) -> DataFrame:
+    """(cluster, bucket, c): row ids[i] as the center of clusters[i]."""
+    own = F.element_at(F.array(*[F.lit(int(j)) for j in clusters]),
+                       F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(row_id)).cast("int"))
+    picked = rows.where(F.col(row_id).isin(ids)).withColumn("cluster", own)
+    return long_features(picked, ("cluster",), row_id).where(F.col("bucket").isNotNull()).select(
         "cluster", "bucket", F.col("x").alias("c"))
+
+
+def _centers_from_ids(rows: DataFrame, ids: list, n_features: int, row_id: str, write: bool = False) -> KMeansState:
+    centers = _rows_as_centers(rows, ids, range(len(ids)), row_id)
     if write:
         centers = materialize(centers, "kmeans-c0")
     return KMeansState(centers, [0.0] * len(ids), len(ids), n_features)
@@ -164,19 +177,33 @@ def kmeans_assign_versions(versions: Sequence[tuple[KMeansState, Sequence[int]]]
     return out.withColumn("d2", F.element_at("d2s", F.col("cluster") + 1))
 
 
+def tiny_clusters(counts: Sequence[float], ratio: float, n_rows: int) -> list[int]:
+    """Clusters to draw anew: below ``ratio`` of the largest count, smallest first, at most one for two rows."""
+    small = [j for j, n in enumerate(counts) if n < ratio * max(counts)]
+    return sorted(small, key=lambda j: (counts[j], j))[:n_rows // 2]
+
+
+def _draw(assigned: DataFrame, clusters: list[int], seed: int, step: int, row_id: str) -> dict[int, object]:
+    """cluster -> id of a row, rows drawn with probability proportional to d2: the least -ln(u) / d2 win."""
+    key = -F.log(_unit_hash(row_id, seed, f"r{step}")) / F.col("d2")
+    won = (assigned.where(F.col("d2") > 0).select(row_id, key.alias("_key")).orderBy("_key", row_id)
+           .limit(len(clusters)).collect())
+    return {j: r[row_id] for j, r in zip(clusters, won)}
+
+
 def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_id",
-                  path: str | None = None) -> KMeansState:
+                  path: str | None = None, reseed_ratio: float = 0.0, seed: int = 42) -> KMeansState:
     """M8: one mini-batch step (assign with the current centers, then move); the new centers are written
-    to ``path``, by default a fresh folder."""
-    # one row per batch row, used twice (counts, sums): keep it for this step only
-    asg = kmeans_assign(state, batch_rows, ("sq_x",), row_id).select(row_id, "cluster").persist()
+    to ``path``, by default a fresh folder.  ``reseed_ratio`` > 0 draws tiny clusters anew."""
+    # one row per batch row, used two or three times (counts, sums, draws): keep it for this step only
+    asg = kmeans_assign(state, batch_rows, ("sq_x",), row_id).select(row_id, "cluster", "d2").persist()
     got = {r["cluster"]: r["m"] for r in asg.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).collect()}
     m = [float(got.get(j, 0)) for j in range(state.k)]
     n = state.counts
     keep_f = [1.0 if m[j] == 0 else n[j] / (n[j] + m[j]) for j in range(state.k)]
     total = [n[j] + m[j] if m[j] > 0 else 1.0 for j in range(state.k)]
     sums = (
-        long_features(batch_rows.join(asg, row_id), ("cluster",), row_id)
+        long_features(batch_rows.join(asg.select(row_id, "cluster"), row_id), ("cluster",), row_id)
         .where(F.col("bucket").isNotNull())
         .groupBy("cluster", "bucket").agg(F.sum("x").alias("s"))
     )
@@ -185,9 +212,17 @@ def kmeans_update(state: KMeansState, batch_rows: DataFrame, row_id: str = "row_
     moved = sums.select("cluster", "bucket", (F.col("s") / F.element_at(_lit_array(total), F.col("cluster") + 1))
                         .alias("v"))
     centers = old.unionByName(moved).groupBy("cluster", "bucket").agg(F.sum("v").alias("c"))
+    counts = [n[j] + m[j] for j in range(state.k)]
+    tiny = tiny_clusters(counts, reseed_ratio, int(sum(m)))
+    drawn = _draw(asg, tiny, seed, state.steps + 1, row_id) if tiny else {}
+    if drawn:
+        least = min(c for c in counts if c >= reseed_ratio * max(counts))
+        counts = [least if j in drawn else counts[j] for j in range(state.k)]
+        fresh = _rows_as_centers(batch_rows, list(drawn.values()), list(drawn), row_id)
+        centers = centers.where(~F.col("cluster").isin(list(drawn))).unionByName(fresh)
     centers = materialize(centers, f"kmeans-c{state.steps + 1}", path=path)
     asg.unpersist()
-    return KMeansState(centers, [n[j] + m[j] for j in range(state.k)], state.k, state.n_features, state.steps + 1)
+    return KMeansState(centers, counts, state.k, state.n_features, state.steps + 1)
 
 
 def inertia(assigned: DataFrame, by: Sequence[str] = ("batch_no",)) -> DataFrame:

@@ -326,11 +326,16 @@ init_rows AS (
                  FROM rows_t WHERE batch_no = {first}) i WHERE cluster < {k})"""
 
 
+def _unit_sql(salt: int | str, seed: int = 42) -> str:
+    """A number in (0, 1) for each row r, from the MD5 of seed, salt and id."""
+    digits = f"substr(md5('{seed}|{salt}|' || CAST(r.row_id AS VARCHAR)), 1, 13)"
+    return f"((CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) + 0.5) / {float(1 << 52)!r})"
+
+
 def _plusplus_rows_sql(first: int, k: int, seed: int = 42) -> str:
     """k-means++ by an exponential race on MD5 numbers: g{j} is the row of center j, e{j} the least distances so far."""
     def unit(j: int) -> str:
-        digits = f"substr(md5('{seed}|{j}|' || CAST(r.row_id AS VARCHAR)), 1, 13)"
-        return f"((CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) + 0.5) / {float(1 << 52)!r})"
+        return _unit_sql(j, seed)
 
     parts = [f""",
 g0 AS (SELECT r.row_id FROM rows_t r WHERE r.batch_no = {first} ORDER BY {unit(0)}, r.row_id LIMIT 1)"""]
@@ -351,27 +356,45 @@ g{j} AS MATERIALIZED (SELECT r.row_id FROM e{j} r WHERE r.d2 > 0 ORDER BY -ln({u
     return "".join(parts) + f",\ninit_rows AS ({chosen})"
 
 
-def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True, init: str = "first") -> str:
+def _reseed_sql(t: int, ratio: float) -> str:
+    """c{t}, n{t} from the moved centers and counts w{t}c, w{t}n: tiny clusters replaced by rows of the batch."""
+    return f""",
+y{t} AS (SELECT cluster, n < {ratio!r} * (SELECT max(n) FROM w{t}n) AS tiny, n FROM w{t}n),
+p{t} AS MATERIALIZED (
+  SELECT z.cluster, r.row_id
+  FROM (SELECT cluster, row_number() OVER (ORDER BY n, cluster) AS place FROM y{t} WHERE tiny) z
+  JOIN (SELECT r.row_id, row_number() OVER (ORDER BY -ln({_unit_sql(f"r{t}")}) / r.d2, r.row_id) AS place
+        FROM a{t} r WHERE r.d2 > 0) r ON r.place = z.place
+  WHERE z.place <= (SELECT count(*) // 2 FROM a{t})),
+c{t} AS (SELECT cluster, bucket, c FROM w{t}c WHERE cluster NOT IN (SELECT cluster FROM p{t})
+         UNION ALL SELECT p.cluster, x.bucket, x.x AS c FROM p{t} p JOIN xl x ON x.row_id = p.row_id),
+n{t} AS (SELECT y.cluster, CASE WHEN y.cluster IN (SELECT cluster FROM p{t})
+                               THEN (SELECT min(n) FROM y{t} WHERE NOT tiny) ELSE y.n END AS n FROM y{t} y)"""
+
+
+def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True, init: str = "first",
+                      reseed: float = 0.0) -> str:
     start = (_first_rows_sql if init == "first" else _plusplus_rows_sql)(train[0], k)
     parts = [f""",
 clusters AS (SELECT CAST(range AS INTEGER) AS cluster FROM range({k})){start},
 c0 AS (SELECT i.cluster, x.bucket, x.x AS c FROM init_rows i JOIN xl x ON x.row_id = i.row_id),
 n0 AS (SELECT cluster, CAST(0.0 AS DOUBLE) AS n FROM clusters)"""]
     for t, bn in enumerate(train, 1):
+        moved, counted = (f"w{t}c", f"w{t}n") if reseed else (f"c{t}", f"n{t}")
         parts.append(f""",
 a{t} AS {_assign_sql(f"c{t - 1}", _norms_sql(f"c{t - 1}"), bn)},
 m{t} AS (SELECT k.cluster, count(a.row_id) AS m FROM clusters k LEFT JOIN a{t} a ON a.cluster = k.cluster
         GROUP BY k.cluster),
 s{t} AS (SELECT a.cluster, x.bucket, sum(x.x) AS s FROM a{t} a JOIN xl x ON x.row_id = a.row_id
         GROUP BY a.cluster, x.bucket),
-c{t} AS (SELECT cluster, bucket, sum(v) AS c FROM (
+{moved} AS (SELECT cluster, bucket, sum(v) AS c FROM (
           SELECT c.cluster, c.bucket, c.c * (CASE WHEN m.m = 0 THEN 1.0 ELSE n.n / (n.n + m.m) END) AS v
           FROM c{t - 1} c JOIN n{t - 1} n ON n.cluster = c.cluster JOIN m{t} m ON m.cluster = c.cluster
           UNION ALL
           SELECT s.cluster, s.bucket, s.s / (n.n + m.m) AS v
           FROM s{t} s JOIN n{t - 1} n ON n.cluster = s.cluster JOIN m{t} m ON m.cluster = s.cluster) u
         GROUP BY cluster, bucket),
-n{t} AS (SELECT n.cluster, n.n + m.m AS n FROM n{t - 1} n JOIN m{t} m ON m.cluster = n.cluster),
+{counted} AS (SELECT n.cluster, n.n + m.m AS n FROM n{t - 1} n JOIN m{t} m ON m.cluster = n.cluster){_reseed_sql(t, reseed) if reseed else ""},
 l{t} AS {_assign_sql(f"c{t}", _norms_sql(f"c{t}"), bn)}""")
         if silhouettes:
             parts.append(_silhouette_sql(t))
@@ -403,12 +426,12 @@ def kmeans_metrics_sql(k: int = 2, task: str = "language", n_features: int = DEF
 
 def kmeans_train_report_sql(k: int = 2, dense: bool = False, task: str = "language",
                             n_features: int = DEFAULT_N_FEATURES, n_batches: int = 8, n_train: int = 6,
-                            n_total: int = 8, init: str = "first") -> str:
+                            n_total: int = 8, init: str = "first", reseed: float = 0.0) -> str:
     train, _ = train_test_batches(n_batches, n_train, n_total)
     lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))
     sil = " UNION ALL ".join(f"SELECT * FROM si{t}" for t in range(1, len(train) + 1))
     return (_kmeans_base(dense, task, n_features, n_batches, n_train, n_total)
-            + kmeans_chain_ctes(train, k, init=init) + f""",
+            + kmeans_chain_ctes(train, k, init=init, reseed=reseed) + f""",
 lab AS ({lab}),
 sil AS ({sil})
 SELECT i.batch_no, i.n_rows, round(i.inertia, 6) AS inertia, round(s.silhouette, 6) AS silhouette

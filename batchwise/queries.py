@@ -598,6 +598,13 @@ def kmeans_plusplus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10, init="kmeans++"))
 
 
+@register("kmeans_reseeded_report", lambda: O.kmeans_train_report_sql(k=24, dense=True, reseed=0.2))
+def kmeans_reseeded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 with re-seeding: clusters below a fifth of the largest are drawn anew from the batch, embeddings, k = 24."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=24, reseed_ratio=0.2))
+
+
 @register("stream_kmeans_metrics", lambda: O.kmeans_metrics_sql(k=2))
 def stream_kmeans_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1-S3 for the clustering run: the file stream learned by mini-batch
