@@ -356,6 +356,49 @@ g{j} AS MATERIALIZED (SELECT r.row_id FROM e{j} r WHERE r.d2 > 0 ORDER BY -ln({u
     return "".join(parts) + f",\ninit_rows AS ({chosen})"
 
 
+def _parallel_rows_sql(first: int, k: int, rounds: int = 5, oversample: float = 2.0) -> str:
+    """k-means||: h{r} are the candidates of round r, t{r} each row with its nearest so far, g{j} the chosen ones."""
+    def near(r: int) -> str:
+        return f"""
+  SELECT r.row_id, h.row_id AS cand, round(r.sq_x + o.sq_x - 2 * coalesce(d.dot, 0.0), 9) AS d2
+  FROM rows_t r CROSS JOIN h{r} h JOIN rows_t o ON o.row_id = h.row_id
+  LEFT JOIN (SELECT x.row_id, c.row_id AS cand, sum(x.x * c.x) AS dot
+             FROM xl x JOIN xl c ON c.bucket = x.bucket JOIN h{r} h ON h.row_id = c.row_id
+             WHERE x.batch_no = {first} GROUP BY x.row_id, c.row_id) d ON d.row_id = r.row_id AND d.cand = h.row_id
+  WHERE r.batch_no = {first}"""
+
+    parts = [f""",
+h0 AS MATERIALIZED (SELECT r.row_id FROM rows_t r WHERE r.batch_no = {first} ORDER BY {_unit_sql("p0")}, r.row_id LIMIT 1),
+t0 AS MATERIALIZED ({near(0)})"""]
+    for r in range(1, rounds + 1):
+        parts.append(f""",
+h{r} AS MATERIALIZED (
+  SELECT r.row_id FROM t{r - 1} r CROSS JOIN (SELECT sum(d2) AS phi FROM t{r - 1}) p
+  WHERE r.d2 > 0 AND {_unit_sql(f"p{r}")} * p.phi < {oversample * k!r} * r.d2),
+t{r} AS MATERIALIZED (
+  SELECT row_id, cand, d2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d2, cand) AS rk
+    FROM (SELECT * FROM t{r - 1} UNION ALL {near(r)}) u) z WHERE rk = 1)""")
+    parts.append(f""",
+wt AS MATERIALIZED (SELECT cand AS row_id, count(*) AS w FROM t{rounds} GROUP BY cand),
+g0 AS MATERIALIZED (SELECT r.row_id FROM wt r ORDER BY -ln({_unit_sql("w0")}) / r.w, r.row_id LIMIT 1)""")
+    for j in range(1, k):
+        d2 = "round(a.sq_x + b.sq_x - 2 * coalesce(d.dot, 0.0), 9)"
+        least = d2 if j == 1 else f"least(e.d2, {d2})"
+        before = "" if j == 1 else f"JOIN e{j - 1} e ON e.row_id = r.row_id"
+        parts.append(f""",
+e{j} AS MATERIALIZED (
+  SELECT r.row_id, r.w, {least} AS d2
+  FROM wt r JOIN rows_t a ON a.row_id = r.row_id CROSS JOIN g{j - 1} g JOIN rows_t b ON b.row_id = g.row_id {before}
+  LEFT JOIN (SELECT x.row_id, sum(x.x * c.x) AS dot
+             FROM xl x JOIN xl c ON c.bucket = x.bucket JOIN g{j - 1} n ON n.row_id = c.row_id
+             GROUP BY x.row_id) d ON d.row_id = r.row_id),
+g{j} AS MATERIALIZED (
+  SELECT r.row_id FROM e{j} r WHERE r.d2 > 0 ORDER BY -ln({_unit_sql(f"w{j}")}) / (r.w * r.d2), r.row_id LIMIT 1)""")
+    chosen = " UNION ALL ".join(f"SELECT row_id, CAST({j} AS INTEGER) AS cluster FROM g{j}" for j in range(k))
+    return "".join(parts) + f",\ninit_rows AS ({chosen})"
+
+
 def _reseed_sql(t: int, ratio: float) -> str:
     """c{t}, n{t} from the moved centers and counts w{t}c, w{t}n: tiny clusters replaced by rows of the batch."""
     return f""",
@@ -374,7 +417,8 @@ n{t} AS (SELECT y.cluster, CASE WHEN y.cluster IN (SELECT cluster FROM p{t})
 
 def kmeans_chain_ctes(train: list[int], k: int, silhouettes: bool = True, init: str = "first",
                       reseed: float = 0.0) -> str:
-    start = (_first_rows_sql if init == "first" else _plusplus_rows_sql)(train[0], k)
+    starts = {"first": _first_rows_sql, "kmeans++": _plusplus_rows_sql, "kmeans||": _parallel_rows_sql}
+    start = starts[init](train[0], k)
     parts = [f""",
 clusters AS (SELECT CAST(range AS INTEGER) AS cluster FROM range({k})){start},
 c0 AS (SELECT i.cluster, x.bucket, x.x AS c FROM init_rows i JOIN xl x ON x.row_id = i.row_id),
@@ -439,6 +483,15 @@ FROM (SELECT batch_no, count(*) AS n_rows, sum(d2) AS inertia FROM lab GROUP BY
 LEFT JOIN (SELECT batch_no, avg(s) AS silhouette FROM sil GROUP BY batch_no) s ON s.batch_no = i.batch_no""")
 
 
+def kmeans_assignments_sql(k: int, n_batches: int, init: str = "first") -> str:
+    """Final labels of every row, all batches training, dense."""
+    train = list(range(1, n_batches + 1))
+    lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in train)
+    return (_kmeans_base(True, "language", DEFAULT_N_FEATURES, n_batches, n_batches, n_batches)
+            + kmeans_chain_ctes(train, k, silhouettes=False, init=init)
+            + f"\nSELECT row_id, batch_no, cluster, round(d2, 6) + 0.0 AS d2 FROM ({lab}) lab")
+
+
 def _euclidean_ctes(train: list[int]) -> str:
     """lab and sil: silhouettes from the distance of every pair of rows of a batch."""
     lab = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, len(train) + 1))

@@ -25,7 +25,7 @@ from .plans import oracle as O
 from .plans.classify import (BNB, CLASSIFIERS, KMEANS, MNB, classifier_predictions, linear_metrics, linear_replay,
                              model_versions, nb_metrics, nb_predictions, nb_state_through)
 from .plans.asof import asof_metrics
-from .plans.cluster import (kmeans_aligned_metrics, kmeans_euclidean_report, kmeans_euclidean_samples,
+from .plans.cluster import (kmeans_aligned_metrics, kmeans_blocks_assignments, kmeans_euclidean_report, kmeans_euclidean_samples,
                             kmeans_raw_metrics, kmeans_replay, kmeans_train_report)
 from .plans.sweep import sweep_classifier_metrics, sweep_cycle_metrics, sweep_mnb_metrics
 from .plans.tasks import (Schedule, cleaned_emails, embedding_task, labels_task, language_task, schedule_table,
@@ -605,6 +605,22 @@ def kmeans_reseeded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=24, reseed_ratio=0.2))
 
 
+@register("kmeans_parallel_report", lambda: O.kmeans_train_report_sql(k=10, dense=True, init="kmeans||"))
+def kmeans_parallel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 (k-means||: five rounds whatever k) -> M8, M10, M11 on the embeddings, k = 10."""
+    ensure_checkpoint_dir(spark)
+    return kmeans_train_report(kmeans_replay(embedding_task(spark, sf_dir), k=10, init="kmeans||"))
+
+
+@register("kmeans_many_clusters", lambda: O.kmeans_assignments_sql(k=200, n_batches=2))
+def kmeans_many_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7-M9 with centers in tables, blocks of rows against blocks of centers: k = 200, two batches of all embeddings."""
+    ensure_checkpoint_dir(spark)
+    prep = embedding_task(spark, sf_dir, Schedule(2, 2, 2))
+    return kmeans_blocks_assignments(prep, 200, row_block=128, center_block=64).withColumn(
+        "d2", F.round("d2", 6) + F.lit(0.0))
+
+
 @register("stream_kmeans_metrics", lambda: O.kmeans_metrics_sql(k=2))
 def stream_kmeans_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1-S3 for the clustering run: the file stream learned by mini-batch
