@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import binary_metrics
 from ..operators.linear import (DEFAULT_LAMBDA, LinearState, linear_init, linear_predict, linear_terms,
                                 linear_update)
+from ..operators.linear_mixing import linear_mix_update
 from ..operators.naive_bayes import (DEFAULT_ALPHA, NBState, batch_statistics, bnb_predict, bnb_terms, class_scalars,
                                      mnb_predict, mnb_terms, nb_update)
 from ..operators.scoring import Terms
@@ -104,15 +105,18 @@ def batch_numbers(prep: Prepared) -> list[int]:
     return prep.batches()
 
 
-def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearState, DataFrame]:
-    """M5 + M6 over the replay: one step per training batch in order; each test
-    batch is scored with the weights trained on every earlier training batch."""
+def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA, mixing: bool = False) -> tuple[LinearState, DataFrame]:
+    """M5 + M6 over the replay: one step per training batch in order (``mixing``: a pass
+    over its rows, in parts); each test batch is scored with the weights trained on every
+    earlier training batch."""
     sched = prep.schedule
+    size = -(-prep.n_rows // sched.n_batches) if mixing else 0
     state = linear_init(prep.rows.sparkSession, prep.n_features, lam)
     tested: list[tuple[LinearState, list[int]]] = []  # test batches in a row share their weights
     for b in batch_numbers(prep):
         if (b - 1) % sched.n_total < sched.n_train:
-            state = linear_update(state, prep.rows.where(F.col("batch_no") == b))
+            batch = prep.rows.where(F.col("batch_no") == b)
+            state = linear_mix_update(state, batch, size) if mixing else linear_update(state, batch)
         elif tested and tested[-1][0] is state:
             tested[-1][1].append(b)
         else:
@@ -125,8 +129,8 @@ def linear_replay(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> tuple[LinearSt
     return state, union_all(parts, prep.rows.sparkSession, LINEAR_PRED_SCHEMA)
 
 
-def linear_metrics(prep: Prepared, lam: float = DEFAULT_LAMBDA) -> DataFrame:
-    return binary_metrics(linear_replay(prep, lam)[1], by=("cycle", "batch_no", "model"))
+def linear_metrics(prep: Prepared, lam: float = DEFAULT_LAMBDA, mixing: bool = False) -> DataFrame:
+    return binary_metrics(linear_replay(prep, lam, mixing)[1], by=("cycle", "batch_no", "model"))
 
 
 def model_versions(prep: Prepared, lam: float = DEFAULT_LAMBDA, alpha: float = DEFAULT_ALPHA) -> Iterator[

@@ -575,6 +575,24 @@ def clean_text_sql() -> str:
     return _with_features() + "\nSELECT row_id, c0 AS feature0, c1 AS feature1, c0 || ' ' || c1 AS text FROM cleaned"
 
 
+def clean_rare_words_sql() -> str:
+    """Words that occur once in all texts are dropped, the others keep their order."""
+    def words(part: str) -> str:
+        return (f"SELECT row_id, '{part}' AS part, generate_subscripts(l, 1) AS pos, unnest(l) AS word "
+                f"FROM (SELECT row_id, string_split_regex(coalesce({part}, ''), '\\s+') AS l FROM emails) q")
+
+    def text(part: str) -> str:
+        return (f"coalesce((SELECT string_agg(k.word, ' ' ORDER BY k.pos) FROM kept k "
+                f"WHERE k.row_id = e.row_id AND k.part = '{part}'), '') AS {part}")
+
+    return f"""WITH emails AS ({email_source()}),
+w AS (SELECT * FROM ({words("feature0")} UNION ALL {words("feature1")}) u WHERE word <> ''),
+rare AS (SELECT lower(word) AS word FROM w GROUP BY lower(word) HAVING count(*) = 1),
+kept AS (SELECT w.* FROM w ANTI JOIN rare ON rare.word = lower(w.word)),
+joined AS (SELECT e.row_id, {text("feature0")}, {text("feature1")} FROM emails e)
+SELECT row_id, feature0, feature1, feature0 || ' ' || feature1 AS text FROM joined"""
+
+
 def token_counts_sql() -> str:
     return _with_features() + f"""
 SELECT row_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct

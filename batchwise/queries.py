@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import tokenize
+from .functions.text import concat_text, tokenize
 from .operators.evaluate import (binary_metrics, compare_models, confusion, dense_confusion, metric_history,
                                  multiclass_accuracy, summary)
 from .operators.features import (assemble_vectors, class_list, class_values, hashing_tf_vectors, label_dictionary,
                                  long_features)
 from .operators.labels import dictionary_of_batches
 from .operators.naive_bayes import NBState, batch_statistics, mnb_predict
+from .operators.stoplist import strip_listed_words, token_rows, word_counts
 from .operators.vocabulary import count_vectors, holdout_split, idf, vocabulary
 from .operators.scoring import explode_scores
 from .plans import oracle as O
@@ -107,6 +108,13 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.select("row_id", "batch_no", "predicted", F.round("score", 6).alias("score"))
 
 
+@register("linear_mixing_metrics")
+def linear_mixing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 (a pass over the rows of each batch, in parts whose weights are averaged) -> M6 -> E1-E4."""
+    ensure_checkpoint_dir(spark)
+    return linear_metrics(language_task(spark, sf_dir), mixing=True)
+
+
 # --------------------------------------------------------------------------- k-means
 
 @register("kmeans_metrics", lambda: O.kmeans_metrics_sql(k=2))
@@ -199,6 +207,16 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language_cleaned(spark, sf_dir).select("row_id", "feature0", "feature1", "text")
 
 
+@register("clean_rare_words", lambda: O.clean_rare_words_sql())
+def clean_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T4 with a list that grows with the data: every word that occurs once in all texts goes."""
+    ensure_checkpoint_dir(spark)
+    emails, parts = email_rows(spark, sf_dir), ("feature0", "feature1")
+    rare = word_counts(token_rows(emails, parts)).where(F.col("n") == 1).select(F.col("key").alias("word"))
+    cleaned = strip_listed_words(emails, parts, rare)
+    return cleaned.select("row_id", *parts, concat_text("feature0", "feature1").alias("text"))
+
+
 @register("token_counts", lambda: O.token_counts_sql())
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: tokens and distinct tokens per row after cleaning."""
