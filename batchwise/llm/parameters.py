@@ -26,7 +26,7 @@ def pattern() -> str:
 URL_RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
-    Rule("example.org", "/en/1", "allow"),
+    Rule("example.org", "/en/1", "block"),
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
