@@ -36,6 +36,9 @@ from ..store import write_table
 
 # bytes of a bucket's row beside its weights, in the broadcast hash relation
 KEY_BYTES = 48
+# Weights up to this size are broadcast.  Each micro-batch sends them anew through the driver, so the limit is far
+# below that of a join that runs once; larger weights stay where they are and the records' buckets go to them.
+MAX_WEIGHTS_BYTES = 64 << 20
 SCORES_SCHEMA = ("batch_no int, cycle int, line_no int, pos int, model string, version int, actual int, "
                  "predicted int, scores array<double>")
 RECORD = ("batch_no", "line_no", "pos")
@@ -64,7 +67,7 @@ def publish(spark: SparkSession, path: str, version: int, models: Mapping[str, T
 
 
 def scored(lines: DataFrame, path: str, classes: Sequence[str], schedule: Schedule = Schedule(),
-           n_features: int = DEFAULT_N_FEATURES) -> DataFrame:
+           n_features: int = DEFAULT_N_FEATURES, limit: int = MAX_WEIGHTS_BYTES) -> DataFrame:
     """Test records of ``lines`` (batch or streaming) with the scores of every model, in SCORES_SCHEMA."""
     spark, k = lines.sparkSession, len(classes)
     # a few rows for each model and version
@@ -73,8 +76,9 @@ def scored(lines: DataFrame, path: str, classes: Sequence[str], schedule: Schedu
     kinds = {r["model"]: (r["per_row"], r["binary"]) for r in published}
     columns = [_weight(m, j) for m in kinds for j in range(k)]
     weights = spark.read.parquet(f"{path}/weights").where(F.col("version").isin(versions))
-    weights = broadcast_if_bounded(weights.select("version", "bucket", *columns), len(versions) * n_features,
-                                   KEY_BYTES + 8 * len(columns))
+    weights = weights.select("version", "bucket", *columns)
+    # the weights are written: their rows are counted, not estimated
+    weights = broadcast_if_bounded(weights, weights.count(), KEY_BYTES + 8 * len(columns), limit)
 
     whole = line_table(lines).where(F.col("problem").isNull()).dropDuplicates(["batch_no", "line_no"])
     test = explode_records(whole).where(phase("batch_no", schedule.n_train, schedule.n_total) == TEST)

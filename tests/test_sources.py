@@ -89,3 +89,24 @@ def test_assign_batches_sizes(spark):
     df = spark.range(0, 20).select(F.col("id").alias("row_id"))
     got = batch_row_count(assign_batches(df, "row_id", n_batches=8)).orderBy("batch_no").collect()
     assert [r["n_rows"] for r in got] == [3, 3, 3, 3, 3, 3, 2]
+
+
+def test_lines_of_a_batch_are_made_in_few_tasks(spark):
+    """The files of a batch follow its records, not the number of tasks."""
+    import glob
+
+    from batchwise.session import scratch_path
+    from batchwise.streaming.learner import write_stream_files
+
+    rows = spark.range(0, 4000, 1, 8).select(
+        (F.col("id") + 1).alias("ord"), (F.floor(F.col("id") / 1000) + 1).cast("int").alias("batch_no"),
+        F.lit("a").alias("feature0"), F.lit("b").alias("feature1"), F.lit("c").alias("feature2"))
+    path = scratch_path(spark, "t-few-files")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_stream_files(encode_wire_lines(rows, line_size=10), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(glob.glob(f"{path.removeprefix('file:')}/batch=*/part-*")) == 4
+    assert decode_lines(spark.read.option("recursiveFileLookup", "true").text(path)).count() == 4000

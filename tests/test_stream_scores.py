@@ -91,3 +91,16 @@ def test_versions_know_what_the_replay_knows(spark):
     state, _ = linear_replay(prep)
     assert models["linear_sgd"].a == [0.0, state.bias]
     assert classifier_predictions(prep).select("model").distinct().count() == 3
+
+
+def test_large_weights_are_not_broadcast(spark):
+    prep = language_task(spark, SF_SMALL, SCHEDULE)
+    root = scratch_path(spark, "t-scores-large")
+    for version, models in model_versions(prep):
+        publish(spark, root, version, models, 2)
+    lines = encode_wire_lines(scheduled_emails(email_rows(spark, SF_SMALL), SCHEDULE)[0], line_size=10).select("value")
+    small, large = (scored(lines, root, prep.classes, SCHEDULE, limit=limit) for limit in (1 << 20 << 10, 0))
+    hints = [df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") for df in (small, large)]
+    assert hints[0] == hints[1] + 1
+    columns = ("batch_no", "line_no", "pos", "model", "predicted")
+    assert sorted(map(tuple, small.select(*columns).collect())) == sorted(map(tuple, large.select(*columns).collect()))
