@@ -221,3 +221,26 @@ def test_fewer_rows_than_clusters(spark):
     for state in (kmeans_init_first(rows, 4, 2), kmeans_init_plusplus(rows, 4, 2)):
         assert state.k == 2
         assert kmeans_update(state, rows).counts == [1.0, 1.0]
+
+
+def test_waiting_batches_are_learned_together_and_equal_one_by_one(spark, monkeypatch):
+    """Naive Bayes over cycles: all batches in one micro-batch, in two with a cycle cut through, or one at a time."""
+    batched, classes = scheduled_emails(email_rows(spark, SF_SMALL), Schedule(9, 2, 3))
+    lines = encode_wire_lines(batched, line_size=20, ordinal="ord").cache()
+    runs = []
+    own = StreamLearner._learn_run
+    monkeypatch.setattr(StreamLearner, "_learn_run", lambda self, run, *more: (runs.append(len(run)), own(self, run, *more))[1])
+
+    def learned(parts):
+        learner = StreamLearner(spark, scratch_path(spark, "t-runs"), classes, Schedule(9, 2, 3), models=("multinomial_nb", "bernoulli_nb"))
+        for i, where in enumerate(parts):
+            learner(lines.where(where).select("value"), i)
+        again = StreamLearner(spark, learner.root, classes, Schedule(9, 2, 3), models=learner.models)
+        assert again.progress()["nb_version"] == 8 and again.progress()["batch_no"] == 9
+        stats = again._nb_state(8).stats.select("label", "bucket", F.round("sum_x", 9), "n_present")
+        return [sorted(map(tuple, df.collect())) for df in (again.metrics(), again.batch_log(), stats)]
+
+    one_by_one = learned([f"batch_no = {b}" for b in range(1, 10)])
+    assert runs == [] and len(one_by_one[1]) == 9 and len(one_by_one[0]) == 6
+    assert learned(["true"]) == one_by_one and runs == [9]
+    assert learned(["batch_no <= 4", "batch_no > 4"]) == one_by_one and runs == [9, 4, 5]
