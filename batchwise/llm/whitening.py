@@ -106,7 +106,12 @@ class Whitening:
         return np.array([s / self.n for s in self.sums])
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.components / np.sqrt(self.eigenvalues)
+        # entry by entry: a matrix product may round equal rows unlike by their place
+        centred = x - self.mean
+        products = np.zeros((len(x), self.components.shape[1]))
+        for entry, weights in zip(centred.T, self.components):
+            products += np.multiply.outer(entry, weights)
+        return products / np.sqrt(self.eigenvalues)
 
     def deviations(self, x: np.ndarray) -> list[int | None]:
         """The exact sums of (n * x - S)^2."""
