@@ -573,7 +573,8 @@ def vocabulary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("count_vectors", lambda: O.count_vectors_sql())
 def count_vectors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row term counts over that vocabulary."""
-    toks = _language_tokens(spark, sf_dir)
+    # the vocabulary and the counts read the same tokens: cleaned and split once
+    toks = materialize(_language_tokens(spark, sf_dir).select("row_id", "tokens"), "tokens")
     return count_vectors(toks, vocabulary(toks))
 
 

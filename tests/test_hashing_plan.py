@@ -1,4 +1,4 @@
-"""Hashing at scale: feature arrays are made after the last shuffle, and a bucket
+"""Hashing at scale: feature arrays are made after the last shuffle, tokens are made once, and a bucket
 is the same whichever way its digits are read."""
 
 import hashlib
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from batchwise.functions.text import bucket_of
 from batchwise.plans import sweep
 from batchwise.plans.tasks import prepare_email_task
+from batchwise.queries import QUERIES
+from tests.conftest import SF_SMALL
 
 
 @pytest.fixture
@@ -47,6 +49,11 @@ def test_sweep_rows_are_hashed_above_the_shuffle(no_broadcast, emails, monkeypat
     assert n_rows == 16 and [r["ord"] for r in rows.orderBy("row_id").collect()] == list(range(1, 17))
 
 
+def test_count_vectors_splits_the_text_once(spark):
+    plan = QUERIES["count_vectors"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
 @pytest.mark.parametrize("n_features", [1, 16, 1000, 4096, 1 << 18, 1 << 20, 1 << 28])
 def test_bucket_is_the_remainder_of_the_first_digits(spark, n_features):
     words = ["aa", "bb", "été", "_x9", "w" * 300, ""]
