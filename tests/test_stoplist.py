@@ -50,3 +50,25 @@ def test_empty_list_and_empty_table(spark, texts):
     got = strip_listed_words(frame, COLS, none)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, clean_columns(frame, COLS, []).collect()))
     assert strip_listed_words(frame.where(F.lit(False)), COLS, none, limit=0).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1 << 40, 0])
+def test_the_texts_are_shuffled_and_not_their_tokens(spark, texts, limit):
+    frame, words = texts
+    listed = spark.createDataFrame([(w,) for w in words[:5000]], "word string")
+    plan = strip_listed_words(frame, COLS, listed, limit=limit)._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" :+-*") for line in plan.splitlines()]
+    partial = next(i for i, line in enumerate(lines) if "partial_collect_list" in line)
+    assert not any(" Exchange" in f" {line}" for line in lines[partial - 2:partial])     # put together where they are cut
+
+
+@pytest.mark.parametrize("limit", [1 << 40, 0])
+def test_repeated_and_null_ids(spark, limit):
+    rows = [(1, "a Rare b", "s"), (1, "c a rare2 d", None), (2, "b c", "x"), (2, "b c", "x"), (None, "a b rare3", "s"),
+            (3, "", None), (4, "rare b rare2", "rare"), (5, "rare4 a rare", "b " * 3000)]
+    frame = spark.createDataFrame(rows, "row_id long, feature1 string, feature0 string")
+    listed = spark.createDataFrame([("rare",), ("RARE2",), ("rare3",)], "word string")
+    got = sorted(map(tuple, strip_listed_words(frame, COLS, listed, limit=limit).collect()), key=repr)
+    merged = [(1, "a c a b d", "s")] * 2 + [(2, "b b c c", "x x")] * 2
+    want = [*merged, (None, "", ""), (3, "", ""), (4, "b", ""), (5, "rare4 a", ("b " * 3000).strip())]
+    assert got == sorted(want, key=repr)
