@@ -5,7 +5,7 @@ adjacent pair of lowest rank first, until no pair has a rank.  Ids are packed as
 little-endian unsigned 32-bit integers; decoding concatenates the pieces.
 
 The fold over ranked merges is written as Spark higher-order functions
-(``merged``) over byte arrays with a literal rank map.  It is applied to the
+(``merged``) over byte arrays with a map of the ranks, a broadcast row.  It is applied to the
 corpus's most frequent distinct words, a dictionary bounded by DICTIONARY, which
 is broadcast; all other words go through the same fold inside the task that
 reads them (``fold``), so no word is left out and no occurrence is shuffled.
@@ -29,7 +29,7 @@ from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import materialize
@@ -44,8 +44,8 @@ SLOTS = 1 << 14
 NO_RANK = 1 << 32
 # Rows that a task hands back at a time.
 ROWS = 512
-# Tasks that fold the dictionary's words.
-TASKS = 24
+# Groups of the dictionary's words, each folded by one task.
+TASKS = 48
 LONG_TEXT = 1 << 20
 # Bytes of a word beyond which its pairs are kept in a heap.
 LONG_WORD = 256
@@ -137,12 +137,16 @@ def unpack(data: bytes | None) -> array:
     return ids
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: a map looks its keys up one after another, so it is cut into small maps by a hash."""
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row ``ranks``: a map looks its keys up one after another, so the ranks are cut into small maps by a hash.
+
+    A row and no literal: every plan and its text in the driver would carry the literal.
+    """
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         slots[zlib.crc32(piece) % SLOTS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+    row = spark.createDataFrame([(json.dumps(slots),)], "ranks string")
+    return row.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks"))
 
 
 def _let(value: Column, use) -> Column:
@@ -180,14 +184,19 @@ def frequent_words(docs: DataFrame, text_col: str, pattern: str, size: int = DIC
 
 
 def dictionary(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word and pieces for each word, by the merges as higher-order functions."""
-    table = rank_map(ranks)
+    """word and pieces for each word, by the merges as higher-order functions.
 
+    The words, a bounded number, are folded in TASKS groups: the ranks stand beside a group and not beside a word.
+    """
     def rank_of(piece: Column) -> Column:
-        slot = F.element_at(table, (F.pmod(F.crc32(piece), F.lit(SLOTS)) + 1).cast("int"))
+        slot = F.element_at("ranks", (F.pmod(F.crc32(piece), F.lit(SLOTS)) + 1).cast("int"))
         return F.try_element_at(slot, F.hex(piece))
 
-    return words.select("word", merged(F.col("word"), rank_of).alias("pieces"))
+    groups = (words.select("word", F.pmod(F.xxhash64("word"), F.lit(TASKS)).alias("task")).repartition(TASKS, "task")
+              .groupBy("task").agg(F.collect_list("word").alias("words")))
+    groups = groups.crossJoin(F.broadcast(rank_table(words.sparkSession, ranks)))
+    folded = F.transform("words", lambda w: F.struct(w.alias("word"), merged(w, rank_of).alias("pieces")))
+    return groups.select(F.explode(folded).alias("f")).select("f.word", "f.pieces")
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -202,7 +211,7 @@ def known_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col
     """Packed ids of the most frequent words; at most ``size`` small rows reach the driver."""
     words = materialize(frequent_words(docs, text_col, pattern, size), "bpe-words")
     known = {}
-    for word, pieces in dictionary(words.repartition(TASKS), ranks).collect():
+    for word, pieces in dictionary(words, ranks).collect():
         # a word that is a piece itself is not merged
         whole = ranks.get(bytes(word))
         known[bytes(word).decode("utf-8")] = pack((whole,) if whole is not None else (ranks[bytes(p)] for p in pieces))
