@@ -26,13 +26,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
 from .features import long_features
-from .joins import MAX_BROADCAST_BYTES, MODEL_ROW_BYTES, broadcast_if_bounded, join_counted
+from .joins import CHAIN_BROADCAST_BYTES, MODEL_ROW_BYTES, broadcast_if_bounded, join_counted, join_packed, packed_bytes
 from .scoring import argmin, dots_array, drop_dots, sparse_class_sums
 
 DIST_DIGITS = 9
@@ -144,7 +146,7 @@ def kmeans_assign(state: KMeansState, rows: DataFrame, keep: Sequence[str], row_
 
 def versions_per_join(k: int, n_features: int) -> int:
     """Center versions whose table has a bound that may be broadcast; at least one."""
-    return max(1, MAX_BROADCAST_BYTES // (MODEL_ROW_BYTES * k * n_features))
+    return max(1, CHAIN_BROADCAST_BYTES // (MODEL_ROW_BYTES * k * n_features))
 
 
 def kmeans_assign_versions(versions: Sequence[tuple[KMeansState, Sequence[int]]], rows: DataFrame,
@@ -231,32 +233,53 @@ def inertia(assigned: DataFrame, by: Sequence[str] = ("batch_no",)) -> DataFrame
 
 
 def silhouette_samples(assigned: DataFrame, rows: DataFrame, k: int, n_features: int,
-                       by: Sequence[str] = ("batch_no",), row_id: str = "row_id", n_groups: int = 1) -> DataFrame:
+                       by: Sequence[str] = ("batch_no",), row_id: str = "row_id", n_groups: int = 1,
+                       limit: int = CHAIN_BROADCAST_BYTES) -> DataFrame:
     """Per-row silhouette with squared Euclidean distance, within each group.
 
     For cluster C: sum_{j in C} |x_i - x_j|^2 = |C| |x_i|^2 - 2 x_i . S_C + Q_C
     with S_C = sum of the members' vectors and Q_C = sum of their |x|^2, so
     no pair of rows is ever formed.  a(i) excludes i itself (|C| - 1); a
     singleton cluster gives s = 0.  Returns (row_id, by..., cluster, s).
-    The cluster sums, one row per (group, bucket), are joined by ``join_counted``;
+    The cluster sums, one row per (group, bucket), are broadcast (``join_packed``).
+    If those of all groups are more than ``limit`` bytes, the groups follow one another:
+    only the sums of one are broadcast at a time, and no feature is shuffled for them.
+    Sums of one group beyond the limit are joined by ``join_counted``.
     ``n_groups`` (number of distinct ``by`` values) bounds the table of sizes.
     """
     lab = assigned.select(row_id, *by, "cluster")
     # joined once: sizes, sums and dot products read the written rows
     members = materialize(rows.select(row_id, *by, "features", "norm", "sq_x").join(lab, [row_id, *by]),
-                          "silhouette-rows")
+                          "silhouette-rows", partition_by=by)
     sizes = members.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("sq_x").alias("q"))
     # the cluster sums of a group's bucket in one row, with the number of rows that meet them
     feats = long_features(members, (*by, "cluster", "sq_x"), row_id)
     csum = materialize(feats.where(F.col("bucket").isNotNull()).groupBy(*by, "bucket").agg(
         *[F.sum(F.when(F.col("cluster") == j, F.col("x"))).alias(f"_s{j}") for j in range(k)],
-        F.count(F.lit(1)).alias("_rows")), "silhouette-sums")
+        F.count(F.lit(1)).alias("_rows")), "silhouette-sums", partition_by=by)
     cols = [row_id, *by, "cluster", "sq_x", "x", *[f"_s{j}" for j in range(k)]]
-    met = join_counted(feats.where(F.col("bucket").isNotNull()), csum, (*by, "bucket"), "_rows", 48 + 8 * k).select(*cols)
-    none = feats.where(F.col("bucket").isNull()).select(
-        row_id, *by, "cluster", "sq_x", "x", *[F.lit(None).cast("double").alias(f"_s{j}") for j in range(k)])
     dots = [F.coalesce(F.sum(F.col("x") * F.col(f"_s{j}")), F.lit(0.0)).alias(f"_dot{j}") for j in range(k)]
-    per_row = met.unionByName(none).groupBy(row_id, *by, "cluster", "sq_x").agg(*dots)
+
+    def row_dots(own: Column, sizes_of: list[int]) -> DataFrame:
+        """The dot products of the rows of some groups with the cluster sums of their group."""
+        mine, sums = feats.where(own), csum.where(own)
+        if sum(packed_bytes(n, k, n_features) for n in sizes_of) <= limit:
+            met = join_packed(mine, sums, by, [F.col(f"_s{j}") for j in range(k)], [f"_s{j}" for j in range(k)])
+        else:
+            met = join_counted(mine.where(F.col("bucket").isNotNull()), sums, (*by, "bucket"), "_rows", 48 + 8 * k, limit)
+            none = mine.where(F.col("bucket").isNull()).select(
+                row_id, *by, "cluster", "sq_x", "x", *[F.lit(None).cast("double").alias(f"_s{j}") for j in range(k)])
+            met = met.select(*cols).unionByName(none)
+        return met.groupBy(row_id, *by, "cluster", "sq_x").agg(*dots)
+
+    per_group = {tuple(r)[:-1]: r["_n"] for r in csum.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    if len(per_group) > 1 and sum(packed_bytes(n, k, n_features) for n in per_group.values()) > limit:
+        groups = sorted(tuple(r) for r in sizes.select(*by).distinct().collect())
+        parts = [materialize(row_dots(reduce(and_, [F.col(c) == v for c, v in zip(by, g)]), [per_group.get(g, 0)]),
+                             "silhouette-dots") for g in groups]
+        per_row = reduce(DataFrame.unionByName, parts)
+    else:
+        per_row = row_dots(F.lit(True), list(per_group.values()))
     size_arr = sizes.groupBy(*by).agg(
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("size"))), F.lit(0)).alias(f"_n{j}") for j in range(k)],
         *[F.coalesce(F.max(F.when(F.col("cluster") == j, F.col("q"))), F.lit(0.0)).alias(f"_q{j}") for j in range(k)])

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_bounded
+from .joins import MAX_BROADCAST_BYTES, MODEL_ROW_BYTES, join_packed
 
 
 @dataclass
@@ -46,11 +46,14 @@ def sparse_class_sums(long_rows: DataFrame, weights: DataFrame, n_classes: int,
     ``group``: extra key columns shared by rows and weights (e.g. ``plan``);
     the weight table is then bounded by n_groups * k * n_features rows.
     """
-    # one model row per bucket with its k weights: the join keeps the feature side's number of rows
-    per_bucket = weights.groupBy(*group, "bucket").agg(
-        *[F.max(F.when(F.col(class_col) == F.lit(j), F.col(value))).alias(f"_w{j}") for j in range(n_classes)])
-    w = broadcast_if_bounded(per_bucket, n_groups * n_classes * n_features)
-    joined = long_rows.join(w, [*group, "bucket"], "left")
+    # the k weights of a bucket in one model row: the join keeps the feature side's number of rows
+    values = [F.when(F.col(class_col) == F.lit(j), F.col(value)) for j in range(n_classes)]
+    names = [f"_w{j}" for j in range(n_classes)]
+    if n_groups * n_classes * n_features * MODEL_ROW_BYTES <= MAX_BROADCAST_BYTES:
+        joined = join_packed(long_rows, weights, group, values, names)
+    else:
+        per_bucket = weights.groupBy(*group, "bucket").agg(*[F.max(v).alias(n) for v, n in zip(values, names)])
+        joined = long_rows.join(per_bucket, [*group, "bucket"], "left")
     sums = [
         F.coalesce(F.sum(F.col(f"_w{j}") if binary else F.col("x") * F.col(f"_w{j}")), F.lit(0.0)).alias(f"_dot{j}")
         for j in range(n_classes)
